@@ -142,7 +142,7 @@ def split_names(text: str) -> list[str]:
 
 
 def split_names_column(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda n: n != "")
+    return F.filter(F.transform(F.split(text, ","), lambda n: F.trim(n)), lambda n: n != "")
 
 
 def index_date(name: Column) -> Column:

@@ -81,3 +81,8 @@ def with_event_time(rows: DataFrame, fields: Mapping[str, str], default: str, na
 def ripe(catalog: DataFrame, now: datetime, migrate_after_days: int) -> DataFrame:
     """Tables that can hold rows to migrate, judged by the date in their name."""
     return catalog.where(names.ripe_name(F.col("index"), now, migrate_after_days))
+
+
+def index_catalog_of(rows: DataFrame) -> DataFrame:
+    """Distinct table names of some rows, unordered."""
+    return rows.select("index").distinct()
