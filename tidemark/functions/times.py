@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 # The accepted shapes of a time literal.
 NOW_PATTERN = r"^now(?:([+-])([0-9]+)([smhdwMy]))?(?:\|\|[^\n]*)?\z"
 STAMP_PATTERN = (
-    r"^([0-9]{4}-[0-9]{2}-[0-9]{2})"
-    r"(?:T([0-9]{1,2}):([0-9]{2}:[0-9]{2})([.,][0-9]+)?(?:(Z)|([+-])([0-9]{2}):([0-9]{2}))?)?\z"
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"(?:T[0-9]{1,2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})?)?\z"
 )
 
 # Seconds per clock unit.
@@ -94,39 +94,44 @@ def date_math(text: Column, now: Column) -> Column:
     One step only; text after ``||`` is ignored. A count that does not fit 64
     bits is null, a smaller but extreme one saturates.
     """
-    sign_text = F.regexp_extract(text, NOW_PATTERN, 1)
-    sign = F.when(sign_text == "-", F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
-    count = F.regexp_extract(text, NOW_PATTERN, 2).try_cast("bigint")
-    unit = F.regexp_extract(text, NOW_PATTERN, 3)
-
-    result = F.when(sign_text == "", now).when(count.isNull(), F.lit(None).cast("timestamp_ntz"))
-    for name, seconds in CLOCK_UNITS.items():
-        step = _bounded(count, MAX_CLOCK_SECONDS // seconds) * seconds
-        result = result.when(unit == name, F.timestamp_add("SECOND", sign * step, now))
-    result = (
-        result.when(unit == "d", add_days(now, sign * _bounded(count, MAX_CALENDAR_DAYS)))
-        .when(unit == "w", add_days(now, sign * _bounded(count, MAX_CALENDAR_DAYS // 7) * 7))
-        .when(unit == "M", add_months_overflowing(now, sign * _bounded(count, MAX_CALENDAR_MONTHS)))
-        .when(unit == "y", add_months_overflowing(now, sign * _bounded(count, MAX_CALENDAR_MONTHS // 12) * 12))
+    step = F.struct(
+        F.regexp_extract(text, NOW_PATTERN, 1).alias("sign"),
+        F.regexp_extract(text, NOW_PATTERN, 2).try_cast("bigint").alias("count"),
+        F.regexp_extract(text, NOW_PATTERN, 3).alias("unit"),
     )
-    return F.when(F.rlike(text, F.lit(NOW_PATTERN)), result)
+
+    def moved(step: Column) -> Column:
+        count, unit = step["count"], step["unit"]
+        sign = F.when(step["sign"] == "-", F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
+        result = F.when(step["sign"] == "", now).when(count.isNull(), F.lit(None).cast("timestamp_ntz"))
+        for name, seconds in CLOCK_UNITS.items():
+            amount = _bounded(count, MAX_CLOCK_SECONDS // seconds) * seconds
+            result = result.when(unit == name, F.timestamp_add("SECOND", sign * amount, now))
+        months, years = _bounded(count, MAX_CALENDAR_MONTHS), _bounded(count, MAX_CALENDAR_MONTHS // 12) * 12
+        return (
+            result.when(unit == "d", add_days(now, sign * _bounded(count, MAX_CALENDAR_DAYS)))
+            .when(unit == "w", add_days(now, sign * _bounded(count, MAX_CALENDAR_DAYS // 7) * 7))
+            .when(unit == "M", add_months_overflowing(now, sign * months))
+            .when(unit == "y", add_months_overflowing(now, sign * years))
+        )
+
+    return F.when(text.startswith("now") & F.rlike(text, F.lit(NOW_PATTERN)), bind(step, moved))
 
 
 def stamp(text: Column) -> Column:
-    """RFC 3339, ``yyyy-MM-ddTHH:mm:ss`` or ``yyyy-MM-dd`` text -> timestamp, else null."""
-
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, STAMP_PATTERN, group)
-
-    clock = F.when(part(2) == "", F.lit("00:00:00")).otherwise(F.concat(F.lpad(part(2), 2, "0"), F.lit(":"), part(3)))
-    fraction = F.rpad(F.substring(part(4), 2, 6), 6, "0")
-    local = F.concat(part(1), F.lit("T"), clock, F.lit("."), fraction).try_cast("timestamp_ntz")
-    hours, minutes = part(7).try_cast("bigint"), part(8).try_cast("bigint")
-    offset = F.when(part(6) == "", F.lit(0).cast("bigint")).when(
-        (hours <= 24) & (minutes < 60),
-        F.when(part(6) == "-", hours * 60 + minutes).otherwise(-(hours * 60 + minutes)),
+    """RFC 3339, ``yyyy-MM-ddTHH:mm:ss`` or ``yyyy-MM-dd`` text -> timestamp, else null.
+
+    The pattern decides what is a time at all; the cast then reads it and refuses days
+    and hours that do not exist.
+    """
+    zoned = text.endswith("Z") | F.substring(text, -6, 1).isin("+", "-")
+    full = (
+        F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z")))
+        .when(zoned, text)
+        .otherwise(F.concat(text, F.lit("Z")))
     )
-    return F.when(F.rlike(text, F.lit(STAMP_PATTERN)), F.timestamp_add("MINUTE", offset, local))
+    instant = F.translate(full, ",", ".").try_cast("timestamp")
+    return F.when(F.rlike(text, F.lit(STAMP_PATTERN)), at_micros(F.unix_micros(instant)))
 
 
 def time_text(text: Column, now: Column) -> Column:
@@ -136,8 +141,12 @@ def time_text(text: Column, now: Column) -> Column:
 
 def time_value(value: Column, now: Column) -> Column:
     """Time given as a JSON value (VARIANT): text, or a number of epoch milliseconds."""
-    kind = F.schema_of_variant(value)
-    is_number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-    number = F.when(is_number, F.try_variant_get(value, "$", "double"))
-    return F.coalesce(bind(text, lambda t: time_text(t, now)), epoch_millis(number))
+
+    def read(kind: Column) -> Column:
+        is_number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+        text = bind(F.try_variant_get(value, "$", "string"), lambda t: time_text(t, now))
+        return F.when(kind == "STRING", text).when(
+            is_number, epoch_millis(F.try_variant_get(value, "$", "double"))
+        )
+
+    return F.when(value.isNotNull(), bind(F.schema_of_variant(value), read))

@@ -56,9 +56,10 @@ def with_route(
 def with_paging(requests: DataFrame, body: str = "body") -> DataFrame:
     """Add the ``bodies.paging`` columns."""
     return (
-        requests.withColumn("_paging", bodies.paging(bodies.parsed(F.col(body))))
+        requests.withColumn("_parsed", bodies.parsed(F.col(body)))
+        .withColumn("_paging", bodies.paging(F.col("_parsed")))
         .select("*", "_paging.*")
-        .drop("_paging")
+        .drop("_parsed", "_paging")
     )
 
 

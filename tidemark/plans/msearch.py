@@ -83,13 +83,13 @@ def ordered_rows(rows: DataFrame, orders: Mapping[str, str], used: list[str], ke
 
 
 def _best(rows: DataFrame, by: list[str], depth: int) -> DataFrame:
-    """The first ``depth`` rows per group; each task drops the rest of its own rows before the shuffle."""
+    """The first ``depth`` rows per group with their ``place``; each task drops the rest of its own rows before the shuffle."""
     ranked = rows.selectExpr(
         "*",
         f"row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY sort_value, "
-        "CASE WHEN tier = 'hot' THEN 0 ELSE 1 END, index, key) AS _rank",
+        "CASE WHEN tier = 'hot' THEN 0 ELSE 1 END, index, key) AS _place",
     )
-    return ranked.where(F.col("_rank") <= depth).drop("_rank")
+    return ranked.where(F.col("_place") <= depth).drop("place").withColumnRenamed("_place", "place")
 
 
 def best_by_bucket(ordered: DataFrame, depth: int) -> DataFrame:
@@ -101,7 +101,7 @@ def best_by_bucket(ordered: DataFrame, depth: int) -> DataFrame:
 
     def level(rows: DataFrame, name: str, bucket: Column) -> DataFrame:
         columns = [c for c in HIT if c != "index"]
-        return rows.select("index", F.lit(name).alias("level"), bucket.alias("bucket"), "order_key", *columns)
+        return rows.select("index", F.lit(name).alias("level"), bucket.alias("bucket"), "order_key", "place", *columns)
 
     return (
         level(hours, "hour", F.col("hour"))
@@ -195,6 +195,7 @@ def answer(
     Returns page rows ``(req_id, rank, index, key, ts, tier, score)`` and one summary row
     per request ``(req_id, status, error, total, relation, max_score)``.
     """
+    spark = requests.sparkSession
     orders = dict(orders or {"_score": score})
     planned = settled(plan_requests(requests, now, orders, field), "requests")
     valid = planned.where("error IS NULL")
@@ -216,12 +217,15 @@ def answer(
     targets = pairs.join(extents, "index").join(
         valid.select("req_id", "start", "end", "from_", "size", "need", "order_key"), "req_id"
     )
-    nodes, edges = cover(targets)
+    # Every pair fans out below, so they are dealt out by number, not by size.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes, edges = cover(settled(targets.repartition(tasks, "req_id", "index"), "targets"))
 
     ordered = ordered_rows(slim, orders, used, key, score)
     best = best_by_bucket(ordered, depth)
     paging = ["req_id", "from_", "size", "need"]
-    from_nodes = nodes.where("need > 0").join(best, ["index", "level", "bucket", "order_key"]).select(*paging, *HIT)
+    from_nodes = nodes.where("need > 0").join(best, ["index", "level", "bucket", "order_key"])
+    from_nodes = from_nodes.where(F.col("place") <= F.col("need")).select(*paging, *HIT)
     from_edges = (
         edges.where("need > 0")
         .join(ordered, ["index", "hour", "order_key"])

@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal a table that is a few small files out to all cores, for work that is heavy per row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return rows.withColumn("index", daily_name("events-", F.col("ts")))
@@ -141,7 +147,7 @@ def indices_sql(d: Dialect) -> str:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(req_id, indices, body)``, one request per event."""
-    return events(spark, sf_dir).selectExpr(
+    return spread(events(spark, sf_dir)).selectExpr(
         "event_id AS req_id", f"{indices_sql(SPARK)} AS indices", f"{body_sql(SPARK)} AS body"
     )
 
