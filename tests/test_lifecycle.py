@@ -11,7 +11,7 @@ from tidemark.operators import tiers
 from tidemark.operators.windows import in_purge_window, in_window, sliced
 from tidemark.plans.migrate import MigrationError, apply_retention, migrate
 from tidemark.plans.store import TierStore
-from tidemark.sources.files import finish_rewrite, overwrite_partitions, rewrite_keeping
+from tidemark.sources.files import overwrite_partitions, rewrite_keeping
 from tidemark.sources.lines import read_documents, write_documents
 from tidemark.sources.state import get_state, put_state
 from tidemark.streaming.copy import start_copy
@@ -169,16 +169,42 @@ def test_purge_that_failed_is_made_up_for(spark, store, monkeypatch):
     assert shown(store) == list(range(ALL))
 
 
-def test_interrupted_rewrite_is_finished_from_its_staged_rows(spark, store, tmp_path):
+def test_rewrite_cut_short_at_any_point(spark, store, tmp_path, monkeypatch):
+    """Lost before the file list is written: nothing happened. Lost after: finished next time."""
+    import tidemark.sources.files as files
+
     staging = str(tmp_path / "staging")
-    store.hot().where("index = 't1' AND event_id > 100").write.partitionBy("index").parquet(staging)
-    finish_rewrite(spark, store.hot_path, store.hot_schema, ["index"], staging)
-    assert ids(store.hot().where("index = 't1'")) == [i for i in range(101, ALL) if i % 3 == 1]
-    assert ids(store.hot().where("index = 't0'")) == list(range(0, ALL, 3))
-    rewrite_keeping(
-        spark, store.hot_path, store.hot_schema, ["index"], store.hot().withColumn("_keep", F.col("index") != "t0"), staging
-    )
-    assert {r["index"] for r in spark.read.parquet(store.hot_path).select("index").distinct().collect()} == {"t1", "t2"}
+    args = (spark, store.hot_path, store.hot_schema, ["index"], lambda r: r.withColumn("_keep", F.expr("index <> 't0' AND event_id > 100")), staging)
+    finish, calls = files.finish_rewrite, []
+
+    def crash_at_the_end(*a):
+        calls.append(a)
+        if len(calls) > 1:
+            raise RuntimeError("driver lost")
+        finish(*a)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(files, "finish_rewrite", crash_at_the_end)
+        with pytest.raises(RuntimeError):
+            rewrite_keeping(*args)
+    assert ids(store.hot()) == list(range(ALL))
+    store.append_hot(spark.sql("SELECT 7 AS event_id, TIMESTAMP_NTZ'2026-01-05 00:00:00' AS ts, 't1' AS index"))
+    finish(*args[:2], staging)
+    finish(*args[:2], staging)
+    assert ids(store.hot()) == [7] + [i for i in range(101, ALL) if i % 3]
+    (tmp_path / "staging" / "rows" / "index=t1").mkdir(parents=True)  # staged rows without a file list
+    finish(*args[:2], staging)
+    assert ids(store.hot()) == [7] + [i for i in range(101, ALL) if i % 3] and not (tmp_path / "staging").exists()
+
+
+def test_table_names_with_odd_characters(spark, tmp_path):
+    rows = event_rows(spark).withColumn("index", F.concat(F.col("index"), F.lit(" a:b%[c]*")))
+    store = TierStore(spark, str(tmp_path / "store"), StructType(rows.schema.fields[:2]))
+    store.append_hot(rows)
+    migrate(store, NOW, 7, patterns=["t1*", "t0 a:b%[[]c]*"], delete_after=True)
+    moved = [i for i in older(datetime(2026, 1, 24)) if i % 3 != 2]
+    assert ids(store.cold()) == moved
+    assert shown(store) == list(range(ALL))
 
 
 def test_retention(spark, store):

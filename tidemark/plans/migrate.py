@@ -12,7 +12,7 @@ tables; what earlier waves recorded is not copied again when a later one fails.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -188,9 +188,13 @@ def purge(store: TierStore, windows: DataFrame, at: datetime) -> None:
         .select("index", F.col("purged_before").alias("window_from"), "cutoff"),
         "purge",
     )
-    flagged = purge_flags(store.hot(), purge_windows, store.ts)
     rewrite_keeping(
-        store.spark, store.hot_path, store.hot_schema, HOT_PARTITIONS, flagged, f"{store.root}/staging/purge"
+        store.spark,
+        store.hot_path,
+        store.hot_schema,
+        HOT_PARTITIONS,
+        lambda rows: purge_flags(rows, purge_windows, store.ts),
+        store.purge_staging,
     )
     margin = F.expr(f"interval {int(PURGE_MARGIN.total_seconds())} seconds")
     put_state(
@@ -241,8 +245,24 @@ def copy_late(store: TierStore, late: DataFrame, name: str, slices: int = 4) ->
 
 
 def apply_retention(store: TierStore, now: datetime, rules: Mapping[str, int], default: int) -> None:
-    """Delete cold rows past the age limit of their table, by the rules as they are now."""
-    staging = f"{store.root}/staging/retention"
-    finish_rewrite(store.spark, store.cold_path, store.cold_schema, COLD_PARTITIONS, staging)
-    flagged = store.cold().withColumn("_keep", is_kept(F.col("index"), F.col(store.ts), now, rules, default))
-    rewrite_keeping(store.spark, store.cold_path, store.cold_schema, COLD_PARTITIONS, flagged, staging)
+    """Delete cold rows past the age limit of their table, by the rules as they are now.
+
+    First looks only for the tables that hold such rows, with the youngest limit as a
+    literal that skips files by their statistics; the rest is left alone.
+    """
+    finish_rewrite(store.spark, store.cold_path, store.retention_staging)
+    limits = [days for days in (*rules.values(), default) if days > 0]
+    if not limits:
+        return
+    keep = is_kept(F.col("index"), F.col(store.ts), now, rules, default)
+    youngest = ts_literal(now - timedelta(days=min(limits)))
+    expired = store.cold().where((F.col(store.ts) < youngest) & ~keep)
+    touched = settled(expired.select("index").distinct(), "expired")
+    rewrite_keeping(
+        store.spark,
+        store.cold_path,
+        store.cold_schema,
+        COLD_PARTITIONS,
+        lambda rows: rows.join(touched, "index", "left_semi").withColumn("_keep", keep),
+        store.retention_staging,
+    )

@@ -10,10 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from tidemark.sources.files import append_rows, exists, make_folder, read_table
+from tidemark.sources.files import append_rows, finish_rewrite, make_folder, read_table
 from tidemark.sources.state import get_state
 
 HOT_PARTITIONS = ["index"]
@@ -59,12 +58,17 @@ class TierStore:
     def append_hot(self, rows: DataFrame) -> None:
         append_rows(rows.select(*self.hot_schema.fieldNames()), self.hot_path, HOT_PARTITIONS)
 
-    def has_cold(self) -> bool:
-        return exists(self.spark, self.cold_path)
+    @property
+    def purge_staging(self) -> str:
+        return f"{self.root}/staging/purge"
+
+    @property
+    def retention_staging(self) -> str:
+        return f"{self.root}/staging/retention"
 
     def prepare(self) -> None:
+        """Make the folders and finish file replacements a lost driver left half done."""
         for folder in (self.hot_path, self.cold_path):
             make_folder(self.spark, folder)
-
-    def row_key(self):
-        return F.col(self.key)
+        finish_rewrite(self.spark, self.hot_path, self.purge_staging)
+        finish_rewrite(self.spark, self.cold_path, self.retention_staging)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,18 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop_conf(spark: SparkSession):
+    return spark._jsparkSession.sessionState().newHadoopConf()
+
+
 def _path(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path, hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return hadoop_path, hadoop_path.getFileSystem(_hadoop_conf(spark))
+
+
+def _decoded(spark: SparkSession, file_path: str):
+    """Path of a file named by ``_metadata.file_path``, which is percent-encoded."""
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file_path))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -67,45 +77,60 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return spark.read.schema(schema).parquet(path)
 
 
+Flag = Callable[[DataFrame], DataFrame]
+
+
 def rewrite_keeping(
-    spark: SparkSession,
-    path: str,
-    schema: StructType,
-    partition_by: list[str],
-    flagged: DataFrame,
-    staging: str,
+    spark: SparkSession, path: str, schema: StructType, partition_by: list[str], flag: Flag, staging: str
 ) -> None:
-    """Remove the rows of a partitioned table whose ``_keep`` is false.
+    """Remove rows of a partitioned table.
+
+    ``flag`` narrows the table to the partitions to look at and adds a boolean
+    ``_keep``. Files that lose every row are deleted; of files that lose some, the
+    surviving rows are written to ``staging`` first and the file is replaced by them.
+    Files nobody looked at, such as ones added meanwhile, are left alone.
 
-    ``flagged`` is the table (only the partitions to look at) with a boolean
-    ``_keep``. Partitions that lose every row are deleted, partitions that lose some
-    are rewritten, others stay untouched. Nothing is overwritten while it is being
-    read: the surviving rows are first written to ``staging`` and replaced from
-    there, and a swap cut short is finished from the same staged table on the next call.
+    The list of files to replace is written last. From then on the step is finished by
+    ``finish_rewrite``, also after a crash; before that it never happened.
     """
-    finish_rewrite(spark, path, schema, partition_by, staging)
-    verdict = settled(
-        flagged.groupBy(*partition_by).agg(
-            F.count_if(F.col("_keep")).alias("_kept"), F.count_if(~F.col("_keep")).alias("_dropped")
-        ),
-        "partitions",
-    ).where("_dropped > 0")
-    partial = verdict.where("_kept > 0").select(*partition_by)
-    if not partial.isEmpty():
-        survivors = flagged.where("_keep").drop("_keep").join(partial, partition_by, "left_semi")
-        survivors.select(*schema.fieldNames()).write.partitionBy(*partition_by).parquet(staging)
-        finish_rewrite(spark, path, schema, partition_by, staging)
-    # Names of emptied partitions: table metadata, which the driver holds for every scan anyway.
-    for row in verdict.where("_kept = 0").select(*partition_by).toLocalIterator():
-        remove(spark, path + "/" + "/".join(f"{name}={row[name]}" for name in partition_by))
-
-
-def finish_rewrite(
-    spark: SparkSession, path: str, schema: StructType, partition_by: list[str], staging: str
-) -> None:
-    """Put a completely staged rewrite in place; an incomplete one is discarded."""
-    if exists(spark, f"{staging}/_SUCCESS"):
-        overwrite_partitions(spark.read.schema(schema).parquet(staging), path, partition_by)
+    finish_rewrite(spark, path, staging)
+    with_file = read_table(spark, path, schema).select("*", F.col("_metadata.file_path").alias("_file"))
+    counts = flag(with_file).groupBy("_file").agg(
+        F.count_if(F.col("_keep")).alias("_kept"), F.count_if(~F.col("_keep")).alias("_dropped")
+    )
+    replaced = settled(counts.where("_dropped > 0"), "files")
+    # File names: table metadata, of which the driver holds all for any scan of the table.
+    mixed = [_decoded(spark, row["_file"]).toString() for row in replaced.where("_kept > 0").toLocalIterator()]
+    if mixed:
+        rows = spark.read.schema(schema).option("basePath", path).parquet(*mixed)
+        survivors = flag(rows).where("_keep").select(*schema.fieldNames())
+        survivors.write.partitionBy(*partition_by).parquet(f"{staging}/rows")
+    replaced.select("_file").write.parquet(f"{staging}/files")
+    finish_rewrite(spark, path, staging)
+
+
+def finish_rewrite(spark: SparkSession, path: str, staging: str) -> None:
+    """Carry out a completely staged rewrite; an incomplete one is discarded. Can be repeated.
+
+    New files are moved in before old ones are deleted, so no row is ever missing.
+    """
+    if not exists(spark, f"{staging}/files/_SUCCESS"):
+        remove(spark, staging)
+        return
+    if exists(spark, f"{staging}/rows"):
+        source, fs = _path(spark, f"{staging}/rows")
+        source = fs.resolvePath(source)
+        found = fs.listFiles(source, True)
+        while found.hasNext():
+            staged = found.next().getPath()
+            relative = source.toUri().relativize(staged.toUri()).getPath()
+            if staged.getName().startswith("part-"):
+                target, _ = _path(spark, f"{path}/{relative}")
+                fs.mkdirs(target.getParent())
+                fs.rename(staged, target)
+    for row in spark.read.parquet(f"{staging}/files").toLocalIterator():
+        old = _decoded(spark, row["_file"])
+        old.getFileSystem(_hadoop_conf(spark)).delete(old, False)
     remove(spark, staging)
 
 
