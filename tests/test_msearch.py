@@ -78,15 +78,15 @@ def expected(requests, rows):
     return pages, totals
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,dense_rows", [(1, 100_000), (2, 5)])
+def test_against_brute_force(spark, seed, dense_rows):
     rng = random.Random(seed)
     rows = make_rows(rng)
     requests = make_requests(rng, rows)
     pages, totals = expected(requests, rows)
     table = spark.createDataFrame(rows, "event_id INT, index STRING, ts TIMESTAMP_NTZ, tier STRING, score DOUBLE")
     log = spark.createDataFrame(requests, "req_id INT, indices ARRAY<STRING>, body STRING")
-    page, summary = msearch.answer(log, table, NOW, {"_score": "score", "@timestamp": "ts"})
+    page, summary = msearch.answer(log, table, NOW, {"_score": "score", "@timestamp": "ts"}, dense_rows=dense_rows)
     got = {}
     for row in page.orderBy("req_id", "rank").collect():
         got.setdefault(row.req_id, []).append(row.key)

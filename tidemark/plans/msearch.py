@@ -5,8 +5,10 @@ search to every row of its range would cost searches x rows, so the rows are fir
 rolled up by hour, day and table: how many there are, and which are the best K in each
 order asked for, K being the deepest page of the whole batch. A search then reads the
 roll-up of each whole table, day and hour it covers, and real rows only in the two
-broken hours at its ends. The answer is exact: a row outside the best K of an hour
-cannot be on a page no deeper than K that covers that hour.
+broken hours at its ends. Hours that hold very many rows are rolled up by minute as
+well, and such minutes by second, so a burst does not bring searches x rows back. The
+answer is exact: a row outside the best K of a bucket cannot be on a page no deeper than
+K that covers the bucket.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from tidemark.sources.files import settled
 NOT_AN_OBJECT = "body is not a JSON object"
 UNSUPPORTED_ORDER = "order is not one of the declared columns"
 WHOLE_TABLE = "1970-01-01 00:00:00"  # bucket of the table level
+DENSE_ROWS = 100_000  # a bucket with more rows is broken up further
 HIT = ["sort_value", "tier", "index", "key", "ts", "score"]
 
 
@@ -122,27 +125,36 @@ def counts_by_bucket(hourly: DataFrame) -> DataFrame:
     return hours.union(days).union(tables)
 
 
-def cover(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split ``(req_id, index, start, end, first_ts, last_ts, ...)`` into whole buckets and broken hours.
+def _floor(unit: str, at: str) -> str:
+    return f"CAST(date_trunc('{unit}', {at}) AS TIMESTAMP_NTZ)"
 
-    Returns ``nodes`` with ``(level, bucket)`` and ``edges`` with ``(hour, lo, hi)``.
-    """
 
-    def floor(unit: str, at: str) -> str:
-        return f"CAST(date_trunc('{unit}', {at}) AS TIMESTAMP_NTZ)"
+def _ceil(unit: str, at: str) -> str:
+    return f"({_floor(unit, f'({at} - interval 1 microsecond)')} + interval 1 {unit})"
 
-    def ceil(unit: str, at: str) -> str:
-        return f"({floor(unit, f'({at} - interval 1 microsecond)')} + interval 1 {unit})"
 
-    def steps(unit: str, start: str, end: str) -> str:
-        return (
-            f"CASE WHEN {start} < {end} THEN sequence({start}, {end} - interval 1 {unit}, interval 1 {unit}) "
-            "ELSE CAST(array() AS ARRAY<TIMESTAMP_NTZ>) END"
-        )
+def _nodes(level: str, start: str, end: str) -> str:
+    """Whole buckets of a level in ``start .. end``, as an array of structs."""
+    return (
+        f"CASE WHEN {start} < {end} THEN transform(sequence({start}, {end} - interval 1 {level}, interval 1 {level}), "
+        f"b -> named_struct('level', '{level}', 'bucket', b)) "
+        "ELSE CAST(array() AS ARRAY<STRUCT<level: STRING, bucket: TIMESTAMP_NTZ>>) END"
+    )
 
-    def nodes_of(level: str, buckets: str) -> str:
-        return f"transform({buckets}, b -> named_struct('level', '{level}', 'bucket', b))"
 
+def _edges(first: str, last: str) -> str:
+    """What whole buckets from ``first`` to ``last`` leave of ``lo .. hi``: one or two broken ends."""
+    return (
+        f"CASE WHEN {first} > {last} THEN array(named_struct('lo', lo, 'hi', hi)) ELSE filter(array("
+        f"named_struct('lo', lo, 'hi', {first}), named_struct('lo', {last}, 'hi', hi)), e -> e.lo < e.hi) END"
+    )
+
+
+def cover(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split ``(req_id, index, start, end, first_ts, last_ts, ...)`` into whole buckets and broken hours.
+
+    Returns ``nodes`` with ``(level, bucket)`` and ``edges`` with ``(bucket, lo, hi)``.
+    """
     overlapping = targets.where(
         (F.col("start").isNull() | (F.col("start") <= F.col("last_ts")))
         & (F.col("end").isNull() | (F.col("end") > F.col("first_ts")))
@@ -151,34 +163,38 @@ def cover(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     clipped = overlapping.selectExpr(
         "*",
         "(start IS NULL OR start <= first_ts) AND (end IS NULL OR end > last_ts) AS whole",
-        f"CASE WHEN start > first_ts THEN start ELSE {floor('day', 'first_ts')} END AS lo",
-        f"CASE WHEN end <= last_ts THEN end ELSE {floor('day', 'last_ts')} + interval 1 day END AS hi",
+        f"CASE WHEN start > first_ts THEN start ELSE {_floor('day', 'first_ts')} END AS lo",
+        f"CASE WHEN end <= last_ts THEN end ELSE {_floor('day', 'last_ts')} + interval 1 day END AS hi",
     ).where("lo < hi")
     cut = clipped.selectExpr(
         "*",
-        f"{ceil('hour', 'lo')} AS h0",
-        f"{floor('hour', 'hi')} AS h1",
-        f"{ceil('day', 'lo')} AS d0",
-        f"{floor('day', 'hi')} AS d1",
+        f"{_ceil('hour', 'lo')} AS h0",
+        f"{_floor('hour', 'hi')} AS h1",
+        f"{_ceil('day', 'lo')} AS d0",
+        f"{_floor('day', 'hi')} AS d1",
     )
     table_node = f"array(named_struct('level', 'table', 'bucket', TIMESTAMP_NTZ'{WHOLE_TABLE}'))"
     pieces = (
-        f"concat({nodes_of('day', steps('day', 'd0', 'd1'))}, "
-        f"CASE WHEN d0 <= d1 THEN concat({nodes_of('hour', steps('hour', 'h0', 'd0'))}, {nodes_of('hour', steps('hour', 'd1', 'h1'))}) "
-        f"ELSE {nodes_of('hour', steps('hour', 'h0', 'h1'))} END)"
+        f"concat({_nodes('day', 'd0', 'd1')}, CASE WHEN d0 <= d1 THEN concat({_nodes('hour', 'h0', 'd0')}, "
+        f"{_nodes('hour', 'd1', 'h1')}) ELSE {_nodes('hour', 'h0', 'h1')} END)"
     )
     kept = [c for c in targets.columns if c not in ("start", "end", "first_ts", "last_ts")]
     nodes = cut.selectExpr(*kept, f"inline(CASE WHEN whole THEN {table_node} ELSE {pieces} END)")
-    edges = (
-        cut.where("NOT whole")
-        .selectExpr(
-            *kept,
-            "inline(CASE WHEN h0 > h1 THEN array(named_struct('lo', lo, 'hi', hi)) "
-            "ELSE filter(array(named_struct('lo', lo, 'hi', h0), named_struct('lo', h1, 'hi', hi)), e -> e.lo < e.hi) END)",
-        )
-        .selectExpr("*", f"{floor('hour', 'lo')} AS hour")
-    )
-    return nodes, edges
+    edges = cut.where("NOT whole").selectExpr(*kept, f"inline({_edges('h0', 'h1')})")
+    return nodes, edges.selectExpr("*", f"{_floor('hour', 'lo')} AS bucket")
+
+
+def refine(edges: DataFrame, unit: str) -> tuple[DataFrame, DataFrame]:
+    """Split broken ends into whole buckets of a smaller unit and smaller broken ends."""
+    kept = [c for c in edges.columns if c not in ("bucket", "lo", "hi")]
+    cut = edges.selectExpr("*", f"{_ceil(unit, 'lo')} AS u0", f"{_floor(unit, 'hi')} AS u1")
+    nodes = cut.selectExpr(*kept, f"inline({_nodes(unit, 'u0', 'u1')})")
+    ends = cut.selectExpr(*kept, f"inline({_edges('u0', 'u1')})")
+    return nodes, ends.selectExpr("*", f"{_floor(unit, 'lo')} AS bucket")
+
+
+def _in_bucket(rows: DataFrame, unit: str) -> DataFrame:
+    return rows.withColumn("bucket", F.date_trunc(unit, "ts").cast("timestamp_ntz"))
 
 
 def answer(
@@ -189,6 +205,7 @@ def answer(
     field: str = "@timestamp",
     key: str = "event_id",
     score: str = "score",
+    dense_rows: int = DENSE_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Answer every request ``(req_id, indices, body)`` over ``rows`` (see ``union_exact``).
 
@@ -223,16 +240,39 @@ def answer(
 
     ordered = ordered_rows(slim, orders, used, key, score)
     best = best_by_bucket(ordered, depth)
+    counts = counts_by_bucket(hourly)
+
+    # Broken ends with the rows they are compared with, dense buckets broken up further.
+    ends, rows_in, sizes_of = [], ordered, slim.select("index", "ts")
+    dense = hourly.where(F.col("n") > dense_rows).select("index", F.col("hour").alias("bucket"))
+    unit = "hour"
+    for smaller in ("minute", "second"):
+        if dense.isEmpty():
+            break
+        inside = ["index", "bucket"]
+        ends.append((edges.join(dense, inside, "left_anti"), rows_in, sizes_of, unit))
+        edges = edges.join(dense, inside, "left_semi")
+        rows_in = _in_bucket(rows_in, unit).join(dense, inside, "left_semi").drop("bucket")
+        sizes_of = _in_bucket(sizes_of, unit).join(dense, inside, "left_semi").drop("bucket")
+        finer_nodes, edges = refine(edges, smaller)
+        nodes = nodes.unionByName(finer_nodes)
+        finer = settled(_best(_in_bucket(rows_in, smaller), ["index", "bucket", "order_key"], depth), f"best-{smaller}")
+        best = best.unionByName(finer.withColumn("level", F.lit(smaller)).select(*best.columns))
+        finer_counts = settled(
+            _in_bucket(sizes_of, smaller).groupBy("index", "bucket").agg(F.count(F.lit(1)).alias("n")), f"counts-{smaller}"
+        )
+        counts = counts.unionByName(finer_counts.withColumn("level", F.lit(smaller)))
+        dense = finer_counts.where(F.col("n") > dense_rows).select("index", "bucket")
+        unit = smaller
+    ends.append((edges, rows_in, sizes_of, unit))
+
     paging = ["req_id", "from_", "size", "need"]
-    from_nodes = nodes.where("need > 0").join(best, ["index", "level", "bucket", "order_key"])
-    from_nodes = from_nodes.where(F.col("place") <= F.col("need")).select(*paging, *HIT)
-    from_edges = (
-        edges.where("need > 0")
-        .join(ordered, ["index", "hour", "order_key"])
-        .where((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")))
-        .select(*paging, *HIT)
-    )
-    ranked = from_nodes.union(from_edges).selectExpr(
+    hits = nodes.where("need > 0").join(best, ["index", "level", "bucket", "order_key"])
+    hits = hits.where(F.col("place") <= F.col("need")).select(*paging, *HIT)
+    for broken, rows_of, _, at in ends:
+        near = broken.where("need > 0").join(_in_bucket(rows_of, at), ["index", "bucket", "order_key"])
+        hits = hits.union(near.where("ts >= lo AND ts < hi").select(*paging, *HIT))
+    ranked = hits.selectExpr(
         "*",
         "row_number() OVER (PARTITION BY req_id ORDER BY sort_value, "
         "CASE WHEN tier = 'hot' THEN 0 ELSE 1 END, index, key) AS position",
@@ -244,27 +284,23 @@ def answer(
         .select("req_id", "rank", "index", "key", "ts", "tier", "score")
     )
 
-    slim_rows = slim.select("index", "ts", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
-    sizes = nodes.join(counts_by_bucket(hourly), ["index", "level", "bucket"]).select("req_id", "n")
-    edge_sizes = (
-        edges.select("req_id", "index", "hour", "lo", "hi")
-        .join(slim_rows, ["index", "hour"])
-        .where((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")))
-        .select("req_id", F.lit(1).cast("bigint").alias("n"))
-    )
+    no_score = F.lit(None).cast("double").alias("score")
+    facts = nodes.join(counts, ["index", "level", "bucket"]).select("req_id", "n", no_score)
+    for broken, _, rows_of, at in ends:
+        near = broken.select("req_id", "index", "bucket", "lo", "hi").join(_in_bucket(rows_of, at), ["index", "bucket"])
+        facts = facts.union(near.where("ts >= lo AND ts < hi").select("req_id", F.lit(1).cast("bigint"), no_score))
     facts = (
-        sizes.withColumn("score", F.lit(None).cast("double"))
-        .union(edge_sizes.withColumn("score", F.lit(None).cast("double")))
-        .union(page.select("req_id", F.lit(0).cast("bigint"), F.coalesce("score", F.lit(0.0))))
+        facts.union(page.select("req_id", F.lit(0).cast("bigint"), F.coalesce("score", F.lit(0.0))))
         .groupBy("req_id")
         .agg(F.sum("n").alias("total"), F.max("score").alias("max_score"))
     )
+    good = F.col("error").isNull()
     summary = planned.select("req_id", "error").join(facts, "req_id", "left").select(
         "req_id",
-        F.when(F.col("error").isNull(), F.lit(200)).otherwise(F.lit(400)).alias("status"),
+        F.when(good, F.lit(200)).otherwise(F.lit(400)).alias("status"),
         "error",
-        F.when(F.col("error").isNull(), F.coalesce("total", F.lit(0))).alias("total"),
-        F.when(F.col("error").isNull(), F.lit("eq")).alias("relation"),
+        F.when(good, F.coalesce("total", F.lit(0))).alias("total"),
+        F.when(good, F.lit("eq")).alias("relation"),
         "max_score",
     )
     return page, summary

@@ -55,9 +55,9 @@ def marks(rows: DataFrame) -> DataFrame:
     """Marks of a run that reached all daily tables up to the 23rd but those of every fifth day."""
     day = index_date(F.col("index"))
     marked = (day <= F.lit(LAST_MARK.date())) & (F.dayofmonth(day) % 5 != 0)
-    return settled(
-        index_catalog_of(rows).where(marked).withColumn("migrated_before", ts_literal(LAST_MARK)), "marks"
-    )
+    # Settled first: below the distinct the filter would read every row's name, not every table's.
+    catalog = settled(index_catalog_of(rows), "catalog")
+    return catalog.where(marked).withColumn("migrated_before", ts_literal(LAST_MARK))
 
 
 # SQL condition: a row of E lies behind the mark of its table.
