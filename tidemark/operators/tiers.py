@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import is_system_name, select_names
 from tidemark.functions.times import ts_literal
+from tidemark.sources.files import settled
 
 
 def scan(
@@ -88,16 +89,23 @@ def union_exact(
         old = cold.join(marks, "index").where(F.col(ts) < mark).drop("_mark")
     both = union_all(recent, old)
     if include_late:
-        late = behind.join(old.select("index", key), ["index", key], "left_anti")
+        late = behind.join(_held_near(old, behind, ts).select("index", key), ["index", key], "left_anti")
         both = both.unionByName(late.withColumn("tier", F.lit("hot")), allowMissingColumns=True)
     return both
 
 
+def _held_near(cold: DataFrame, rows: DataFrame, ts: str) -> DataFrame:
+    """Cold rows within the time span that ``rows`` have in their table; none elsewhere can equal one of them."""
+    spans = rows.groupBy("index").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    near = F.col(ts).between(F.col("_first"), F.col("_last"))
+    return cold.join(settled(spans, "spans"), "index").where(near).drop("_first", "_last")
+
+
 def late_rows(hot: DataFrame, cold: DataFrame, marks: DataFrame, ts: str = "ts", key: str = "event_id") -> DataFrame:
     """Hot rows older than the mark of their table that cold does not hold."""
     mark = marks.select("index", F.col("migrated_before").alias("_mark"))
     behind = hot.join(mark, "index").where(F.col(ts) < F.col("_mark"))
-    copied = cold.join(mark, "index").where(F.col(ts) < F.col("_mark")).select("index", key)
+    copied = _held_near(cold, behind, ts).select("index", key)
     return behind.join(copied, ["index", key], "left_anti").drop("_mark")
 
 

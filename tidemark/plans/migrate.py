@@ -26,8 +26,8 @@ from tidemark.plans.store import COLD_PARTITIONS, HOT_PARTITIONS, TierStore
 from tidemark.sources.files import finish_rewrite, overwrite_partitions, rewrite_keeping, settled
 from tidemark.sources.state import get_state, open_slices, put_state
 
-# Beyond this many tables without a mark the scan is not narrowed by the earliest mark.
-MAX_UNMARKED_NAMES = 1000
+# Up to this many names are put into a scan as literals; with more the scan is just less narrow.
+MAX_LISTED_NAMES = 1000
 
 
 class MigrationError(RuntimeError):
@@ -44,9 +44,9 @@ def pending_windows(
 ) -> DataFrame:
     """Windows of the selected, ripe tables, resumed where a run was cut short."""
     name = F.col("index")
-    catalog = store.hot().select("index").where(
+    catalog = store.hot_names().where(
         select_names(name, patterns, hide_system=True) & ripe_name(name, now, migrate_after_days)
-    ).distinct()
+    )
     marks = store.marks()
     unfinished = open_slices(get_state(store.spark, store.root, "slice_state"), marks)
     return settled(plan_windows(catalog, marks, unfinished, now, migrate_after_days, slices), "windows")
@@ -59,7 +59,7 @@ def rows_to_scan(store: TierStore, windows: DataFrame) -> DataFrame:
     nothing at or after the latest cutoff, nothing before the earliest mark but for
     tables that have none. Only a handful of values of the control table is looked at.
     """
-    ts, limit = F.col(store.ts), MAX_UNMARKED_NAMES
+    ts, limit = F.col(store.ts), MAX_LISTED_NAMES
     ends = windows.agg(F.min("window_from").alias("start"), F.max("cutoff").alias("end")).first()
     if ends["end"] is None:
         return store.hot().where(F.lit(False))
@@ -94,9 +94,9 @@ def copied_counts(store: TierStore, windows: DataFrame) -> DataFrame:
     wanted = windows.select(
         "index", "cutoff", "slice_max", batch_name(F.col("cutoff")).alias("batch"), F.explode("pending").alias("slice")
     )
-    batches = [r["batch"] for r in wanted.select("batch").distinct().limit(MAX_UNMARKED_NAMES + 1).collect()]
+    batches = [r["batch"] for r in wanted.select("batch").distinct().limit(MAX_LISTED_NAMES + 1).collect()]
     held = store.cold()
-    if len(batches) <= MAX_UNMARKED_NAMES:  # runs of this job, normally one: a partition filter
+    if len(batches) <= MAX_LISTED_NAMES:  # runs of this job, normally one: a partition filter
         held = held.where(F.col("batch").isin(batches))
     counts = held.groupBy("index", "batch", "slice").agg(F.count(F.lit(1)).alias("migrated"))
     return wanted.join(counts, ["index", "batch", "slice"], "left").withColumn(
@@ -228,7 +228,7 @@ def record_runs(
             ts_literal(completed).alias("completed_at"),
             F.coalesce("documents_migrated", F.lit(0)).alias("documents_migrated"),
             F.lit(workers).alias("workers"),
-            F.lit(0).alias("batch_size"),
+            F.lit(int(store.spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))).alias("batch_size"),
             F.lit(error).cast("string").alias("error"),
             "cutoff_time",
         )
@@ -236,8 +236,27 @@ def record_runs(
     put_state(run_reports.run_metrics(runs), store.root, "run_metrics")
 
 
-def copy_late(store: TierStore, late: DataFrame, name: str, slices: int = 4) -> None:
-    """Write rows that arrived behind their mark to cold, as a batch of their own."""
+def copy_late(store: TierStore, arrived: DataFrame, name: str, slices: int = 4) -> None:
+    """Copy those of the arrived rows that lie behind their mark and are not in cold, as a batch of their own.
+
+    Normally there are none. Cold is read only for the tables and the time span of those there
+    are, and reduced to their keys before anything is compared.
+    """
+    marks = settled(store.marks(), "marks").select("index", "migrated_before")
+    behind = arrived.join(marks, "index").where(F.col(store.ts) < F.col("migrated_before")).drop("migrated_before")
+    behind = settled(behind, "behind")
+    span = behind.agg(F.min(store.ts).alias("first"), F.max(store.ts).alias("last")).first()
+    if span["first"] is None:
+        return
+    keys = ["index", store.key]
+    held = store.cold().where(
+        (F.col("batch") != name) & F.col(store.ts).between(ts_literal(span["first"]), ts_literal(span["last"]))
+    )
+    names = [r["index"] for r in behind.select("index").distinct().limit(MAX_LISTED_NAMES + 1).collect()]
+    if len(names) <= MAX_LISTED_NAMES:
+        held = held.where(F.col("index").isin(names))
+    held = settled(held.join(behind.select(*keys), keys, "left_semi").select(*keys), "held")
+    late = behind.join(held, keys, "left_anti")
     rows = late.withColumn("slice", slice_of(F.col(store.key), slices)).withColumn("batch", F.lit(name))
     overwrite_partitions(
         rows.select(*store.cold_schema.fieldNames()), store.cold_path, COLD_PARTITIONS, [F.col(store.ts)]

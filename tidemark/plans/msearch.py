@@ -27,6 +27,7 @@ from tidemark.sources.files import settled
 NOT_AN_OBJECT = "body is not a JSON object"
 UNSUPPORTED_ORDER = "order is not one of the declared columns"
 WHOLE_TABLE = "1970-01-01 00:00:00"  # bucket of the table level
+MAX_LISTED_NAMES = 1000  # up to this many names are put into the scan as literals
 DENSE_ROWS = 100_000  # a bucket with more rows is broken up further
 HIT = ["sort_value", "tier", "index", "key", "ts", "score"]
 
@@ -197,6 +198,15 @@ def _in_bucket(rows: DataFrame, unit: str) -> DataFrame:
     return rows.withColumn("bucket", F.date_trunc(unit, "ts").cast("timestamp_ntz"))
 
 
+def _asked_for(rows: DataFrame, names: DataFrame, first: datetime | None, last: datetime | None) -> DataFrame:
+    """Rows of the tables and within the times that any search asks for."""
+    listed = [r["index"] for r in names.limit(MAX_LISTED_NAMES + 1).collect()]
+    rows = rows.where(F.col("index").isin(listed)) if len(listed) <= MAX_LISTED_NAMES else rows.join(names, "index", "left_semi")
+    if first is not None:
+        rows = rows.where(F.col("ts") >= ts_literal(first))
+    return rows if last is None else rows.where(F.col("ts") < ts_literal(last))
+
+
 def answer(
     requests: DataFrame,
     rows: DataFrame,
@@ -216,10 +226,18 @@ def answer(
     orders = dict(orders or {"_score": score})
     planned = settled(plan_requests(requests, now, orders, field), "requests")
     valid = planned.where("error IS NULL")
-    depth_row = valid.agg(F.max("need").alias("depth"), F.collect_set("order_key").alias("used")).first()
-    depth, used = depth_row["depth"] or 0, sorted(depth_row["used"]) or ["_score:desc"]
+    asked = valid.agg(
+        F.max("need").alias("depth"),
+        F.collect_set("order_key").alias("used"),
+        F.when(F.count_if(F.col("start").isNull()) == 0, F.min("start")).alias("first"),
+        F.when(F.count_if(F.col("end").isNull()) == 0, F.max("end")).alias("last"),
+    ).first()
+    depth, used = asked["depth"] or 0, sorted(asked["used"]) or ["_score:desc"]
 
     slim = rows.select("index", "ts", "tier", F.col(key), *{c for c in [score, *orders.values()] if c != "ts"})
+    wanted = valid.select("req_id", F.explode("indices").alias("pattern"))
+    named = settled(expand_names(wanted, settled(slim.select("index").distinct(), "catalog")), "names")
+    slim = _asked_for(slim, named.select("index").distinct(), asked["first"], asked["last"])
     hourly = settled(
         slim.groupBy("index", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
             F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
@@ -227,9 +245,6 @@ def answer(
         "hourly",
     )
     extents = hourly.groupBy("index").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
-
-    wanted = valid.select("req_id", F.explode("indices").alias("pattern"))
-    named = settled(expand_names(wanted, extents.select("index")), "names")
     pairs = wanted.join(named, "pattern").select("req_id", "index").distinct()
     targets = pairs.join(extents, "index").join(
         valid.select("req_id", "start", "end", "from_", "size", "need", "order_key"), "req_id"

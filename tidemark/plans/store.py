@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from tidemark.sources.files import append_rows, finish_rewrite, make_folder, read_table
+from tidemark.sources.files import append_rows, finish_rewrite, make_folder, partition_values, read_table
 from tidemark.sources.state import get_state
 
 HOT_PARTITIONS = ["index"]
@@ -45,6 +45,11 @@ class TierStore:
             [*self.hot_schema.fields, StructField("batch", StringType()), StructField("slice", IntegerType())]
         )
 
+    def hot_names(self) -> DataFrame:
+        """Names of the hot tables, one row each."""
+        names = partition_values(self.spark, self.hot_path, "index")
+        return self.spark.createDataFrame([(n,) for n in sorted(names)], "index STRING")
+
     def hot(self) -> DataFrame:
         return read_table(self.spark, self.hot_path, self.hot_schema)
 

@@ -51,13 +51,17 @@ def overlapping_tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return rows.where(F.col("ts") >= ts_literal(RETENTION_CUTOFF)), rows.where(F.col("ts") < ts_literal(MIGRATE_CUTOFF))
 
 
+def catalog(rows: DataFrame) -> DataFrame:
+    """Names of the tables, settled: filters on names then read every name once, not every row's."""
+    return settled(index_catalog_of(rows), "catalog")
+
+
 def marks(rows: DataFrame) -> DataFrame:
     """Marks of a run that reached all daily tables up to the 23rd but those of every fifth day."""
     day = index_date(F.col("index"))
-    marked = (day <= F.lit(LAST_MARK.date())) & (F.dayofmonth(day) % 5 != 0)
-    # Settled first: below the distinct the filter would read every row's name, not every table's.
-    catalog = settled(index_catalog_of(rows), "catalog")
-    return catalog.where(marked).withColumn("migrated_before", ts_literal(LAST_MARK))
+    reached = (day <= F.lit(LAST_MARK.date())) & (F.dayofmonth(day) % 5 != 0)
+    named = index_catalog_of(rows).withColumn("migrated_before", F.when(reached, ts_literal(LAST_MARK)))
+    return settled(named, "marks").where("migrated_before IS NOT NULL")
 
 
 # SQL condition: a row of E lies behind the mark of its table.

@@ -84,7 +84,7 @@ def resume_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = planned.where("window_from IS NOT NULL").select("index", F.col("window_from").alias("migrated_before"))
     broken = _done(planned).where(index_date(F.col("index")) < "2024-01-20")
     resumed = windows.plan_windows(
-        indices.ripe(indices.index_catalog_of(rows), NOW, data.MIGRATE_DAYS),
+        indices.ripe(data.catalog(rows), NOW, data.MIGRATE_DAYS),
         marks,
         open_slices(broken, marks),
         NOW,

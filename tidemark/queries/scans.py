@@ -49,7 +49,7 @@ def index_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wildcard_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indices.resolve(indices.index_catalog_of(data.events(spark, sf_dir)), PATTERNS)
+    return indices.resolve(data.catalog(data.events(spark, sf_dir)), PATTERNS)
 
 
 def user_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +72,12 @@ def date_suffix_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "click", F.concat(F.lit("clicks-2024.02."), F.date_format("ts", "dd")))
         .otherwise(F.concat(F.col("event_type"), F.lit("-"), day))
     )
-    catalog = data.events(spark, sf_dir).select(name.alias("index")).distinct()
+    catalog = data.catalog(data.events(spark, sf_dir).withColumn("index", name))
     return indices.ripe(catalog, NOW, data.MIGRATE_DAYS)
 
 
 def retention_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = indices.index_catalog_of(data.events(spark, sf_dir))
+    catalog = data.catalog(data.events(spark, sf_dir))
     return indices.with_retention(catalog, RETENTION_RULES, 365)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,13 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of the first partition column, from the names of the folders; no file is opened."""
+    folder, fs = _path(spark, path)
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    return [unquote(n.removeprefix(f"{column}=")) for n in names if n.startswith(f"{column}=")]
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """A Parquet table; with a schema also one that holds no file yet."""
     if schema is None:

@@ -13,6 +13,11 @@ from tidemark.functions.names import split_names_column
 MAX_LINE_BYTES = 10 * 1024 * 1024
 ODD_LINES = "msearch expects even number of lines"
 LONG_LINE = "line too long"
+# Characters that count as blank at the ends of a line.
+BLANKS = (
+    "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def write_documents(documents: DataFrame, path: str, column: str | None = None, compress: bool = False) -> None:
@@ -52,7 +57,7 @@ def numbered(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     it, so a file of any length is spread over its chunks. Returns the lines with
     ``line`` and the files with ``(lines, longest)``.
     """
-    kept = lines.withColumn("text", F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))).where(F.col("text") != "")
+    kept = lines.withColumn("text", F.btrim("text", F.lit(BLANKS))).where(F.col("text") != "")
     chunks = kept.groupBy("file", "chunk").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("longest")
     )
@@ -80,7 +85,7 @@ def msearch_entries(lines: DataFrame, default_indices: Sequence[str] = ()) -> tu
     checked = files.select("file", "lines", error.alias("error"))
 
     is_header = F.col("line") % 2 == 0
-    pairs = rows.groupBy("file", F.floor(F.col("line") / 2).alias("entry")).agg(
+    pairs = rows.groupBy("file", F.expr("line div 2").alias("entry")).agg(
         F.max(F.when(is_header, F.col("text"))).alias("header"), F.max(F.when(~is_header, F.col("text"))).alias("body")
     )
     member = F.try_variant_get(F.try_parse_json("header"), "$.index", "variant")

@@ -7,17 +7,15 @@ rows are copied by the incremental run when they are old enough.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from tidemark.operators.tiers import late_rows
 from tidemark.plans.migrate import copy_late, migrate
 from tidemark.plans.store import TierStore
-from tidemark.sources.files import settled
 
 
 def arrivals(store: TierStore) -> DataFrame:
@@ -33,10 +31,7 @@ def copy_batch(store: TierStore, new_rows: DataFrame, name: str, now: datetime,
     failure overwrites what it wrote. Rows a regular run already took, because their file
     was there before the stream listed it, are found by an anti join with cold.
     """
-    marks = settled(store.marks(), "marks")
-    held = store.cold().where(F.col("batch") != name)
-    late = late_rows(new_rows, held, marks, store.ts, store.key)
-    copy_late(store, late, name, int(options.get("slices", 4)))
+    copy_late(store, new_rows, name, int(options.get("slices", 4)))
     migrate(store, now, migrate_after_days, **options)
 
 
@@ -55,3 +50,28 @@ def start_copy(
         .trigger(availableNow=True)
         .start()
     )
+
+
+class ProgressLog(StreamingQueryListener):
+    """Logs rows and rate of every trigger; register it with ``spark.streams.addListener``."""
+
+    def __init__(self, log: logging.Logger | None = None) -> None:
+        self.log = log or logging.getLogger("tidemark.copy")
+        self.rows = 0
+
+    def onQueryStarted(self, event) -> None:
+        self.log.info("copy started: %s", event.id)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        self.rows += progress.numInputRows
+        self.log.info(
+            "copy batch %s: %s rows arrived, %.1f per second, %s in all",
+            progress.batchId, progress.numInputRows, progress.processedRowsPerSecond or 0.0, self.rows,
+        )
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.log.info("copy ended: %s", event.exception or "all read")
