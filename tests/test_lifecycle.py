@@ -1,5 +1,6 @@
 """Windows, runs, resumes, purges, retention and the streaming copy."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -14,7 +15,7 @@ from tidemark.plans.store import TierStore
 from tidemark.sources.files import overwrite_partitions, rewrite_keeping
 from tidemark.sources.lines import read_documents, write_documents
 from tidemark.sources.state import get_state, put_state
-from tidemark.streaming.copy import start_copy
+from tidemark.streaming.copy import ProgressLog, start_copy
 
 NOW = datetime(2026, 1, 31)
 ALL = 240
@@ -240,6 +241,8 @@ def test_overwriting_a_slice_twice(spark, tmp_path):
 
 def test_streaming_copy(spark, store, tmp_path):
     checkpoint = str(tmp_path / "checkpoint")
+    log = ProgressLog()
+    spark.streams.addListener(log)
 
     def trigger(now):
         start_copy(store, checkpoint, lambda: now, 7).awaitTermination()
@@ -254,3 +257,9 @@ def test_streaming_copy(spark, store, tmp_path):
     assert shown(store) == list(range(ALL)) + [1000, 1001]
     trigger(NOW)
     assert ids(store.cold()) == older(datetime(2026, 1, 24)) + [1000, 1001]
+    for _ in range(50):  # the listener is told a moment later
+        if log.rows:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(log)
+    assert log.rows >= 2

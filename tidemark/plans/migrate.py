@@ -11,6 +11,7 @@ tables; what earlier waves recorded is not copied again when a later one fails.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timedelta, timezone
 
@@ -30,6 +31,9 @@ from tidemark.sources.state import get_state, open_slices, put_state
 MAX_LISTED_NAMES = 1000
 
 
+log = logging.getLogger("tidemark.migrate")
+
+
 class MigrationError(RuntimeError):
     """Some tables could not be migrated; the others were."""
 
@@ -168,11 +172,13 @@ def _copy(store, windows, slice_by, transform, clock) -> int:
     rows = slice_rows(store, windows, slice_by)
     if transform is not None:
         rows = transform(rows).select(*store.cold_schema.fieldNames())
-    progress = Observation()
+    progress, started = Observation(), clock()
     rows = rows.observe(progress, F.count(F.lit(1)).alias("rows"))
     overwrite_partitions(rows, store.cold_path, COLD_PARTITIONS, [F.col(store.ts)])
     put_state(_slice_state(copied_counts(store, windows), True, clock()), store.root, "slice_state")
-    return progress.get["rows"]
+    rows, seconds = progress.get["rows"], (clock() - started).total_seconds()
+    log.info("copied %d rows in %.1f s, %.0f per second", rows, seconds, rows / seconds if seconds > 0 else 0.0)
+    return rows
 
 
 def purge(store: TierStore, windows: DataFrame, at: datetime) -> None:

@@ -19,9 +19,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import bodies
 from tidemark.functions.times import ts_literal
 from tidemark.operators.indices import expand_names
-from tidemark.operators.requests import with_paging, with_time_range
 from tidemark.sources.files import settled
 
 NOT_AN_OBJECT = "body is not a JSON object"
@@ -38,7 +38,12 @@ def plan_requests(requests: DataFrame, now: datetime, orders: Mapping[str, str],
     ``start`` is inclusive and ``end`` exclusive, strict bounds moved by a microsecond.
     """
     micro = F.expr("interval 1 microsecond")
-    asked = with_paging(with_time_range(requests, now, field))
+    asked = (
+        requests.withColumn("_parsed", bodies.parsed(F.col("body")))
+        .withColumn("_range", bodies.time_range(F.col("_parsed"), F.lit(field), now))
+        .withColumn("_paging", bodies.paging(F.col("_parsed")))
+        .select("req_id", "indices", "_range.*", "_paging.*")
+    )
     known = F.col("sort_field").isin([*orders])
     error = (
         F.when(~F.col("paginate"), F.lit(NOT_AN_OBJECT))
@@ -251,7 +256,7 @@ def answer(
     )
     # Every pair fans out below, so they are dealt out by number, not by size.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes, edges = cover(settled(targets.repartition(tasks, "req_id", "index"), "targets"))
+    nodes, edges = cover(settled(targets.repartition(tasks, "req_id"), "targets"))
 
     ordered = ordered_rows(slim, orders, used, key, score)
     best = best_by_bucket(ordered, depth)

@@ -12,16 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, from ``spark.checkpoint.dir``.
 
-    A folder of this machine is used only where the session names none, as in tests.
+    Only where the session names none and runs within one process, as in tests, a folder
+    of this machine is taken; a cluster has to name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _own_folders[context.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

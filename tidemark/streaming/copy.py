@@ -53,7 +53,11 @@ def start_copy(
 
 
 class ProgressLog(StreamingQueryListener):
-    """Logs rows and rate of every trigger; register it with ``spark.streams.addListener``."""
+    """Logs the rows read of what arrived, and their rate, for every trigger.
+
+    Register it with ``spark.streams.addListener``. A trigger that has no need to look at
+    the arrived rows, there being no marks yet, reports none; rows copied are logged by the run.
+    """
 
     def __init__(self, log: logging.Logger | None = None) -> None:
         self.log = log or logging.getLogger("tidemark.copy")
@@ -66,7 +70,7 @@ class ProgressLog(StreamingQueryListener):
         progress = event.progress
         self.rows += progress.numInputRows
         self.log.info(
-            "copy batch %s: %s rows arrived, %.1f per second, %s in all",
+            "copy batch %s: %s rows read, %.1f per second, %s in all",
             progress.batchId, progress.numInputRows, progress.processedRowsPerSecond or 0.0, self.rows,
         )
 
