@@ -176,6 +176,6 @@ def test_msearch_files_in_pieces(spark, tmp_path, split):
 
 
 def test_long_line_rejects_the_file(spark):
-    lines = spark.sql("SELECT 'f' AS file, 0 AS chunk, id AS position, if(id = 0, '{}', repeat('x', 10485760)) AS text FROM range(2)")
+    lines = spark.sql("SELECT 'f' AS file, 0 AS chunk, id AS position, if(id = 0, '{}', repeat('x', CAST(10485759 + id AS INT))) AS text FROM range(2)")
     _, files = msearch_entries(lines, ["logs"])
     assert files.first().error == LONG_LINE

@@ -245,6 +245,7 @@ def record_runs(
 def copy_late(store: TierStore, arrived: DataFrame, name: str, slices: int = 4) -> None:
     """Copy those of the arrived rows that lie behind their mark and are not in cold, as a batch of their own.
 
+    ``arrived`` is what came in since the last call, or the whole of hot to look for all of them.
     Normally there are none. Cold is read only for the tables and the time span of those there
     are, and reduced to their keys before anything is compared.
     """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import split_names_column
@@ -14,10 +14,15 @@ MAX_LINE_BYTES = 10 * 1024 * 1024
 ODD_LINES = "msearch expects even number of lines"
 LONG_LINE = "line too long"
 # Characters that count as blank at the ends of a line.
-BLANKS = (
-    "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000"
-)
+BLANK = r"[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Blanks at either end; the look-behind keeps long runs of blanks within a line linear.
+BLANK_ENDS = rf"\A{BLANK}++|(?<!{BLANK}){BLANK}++\z"
+
+
+def trimmed(text: Column) -> Column:
+    """Text without blanks at its ends; most lines have none, which two characters tell."""
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(F.rlike(ends, F.lit(BLANK)), F.regexp_replace(text, BLANK_ENDS, "")).otherwise(text)
 
 
 def write_documents(documents: DataFrame, path: str, column: str | None = None, compress: bool = False) -> None:
@@ -57,7 +62,7 @@ def numbered(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     it, so a file of any length is spread over its chunks. Returns the lines with
     ``line`` and the files with ``(lines, longest)``.
     """
-    kept = lines.withColumn("text", F.btrim("text", F.lit(BLANKS))).where(F.col("text") != "")
+    kept = lines.withColumn("text", trimmed(F.col("text"))).where(F.col("text") != "")
     chunks = kept.groupBy("file", "chunk").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("longest")
     )
