@@ -263,3 +263,10 @@ def test_streaming_copy(spark, store, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(log)
     assert log.rows >= 2
+
+
+def test_empty_store(spark, tmp_path):
+    store = TierStore(spark, str(tmp_path / "store"), StructType(event_rows(spark).schema.fields[:2]))
+    assert migrate(store, NOW, 7, delete_after=True) == 0
+    apply_retention(store, NOW, {}, 20)
+    assert shown(store) == []

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.times import micros_of
+
 SUCCESS, FAILED = "success", "failed"
 
 
@@ -18,10 +20,8 @@ def run_metrics(runs: DataFrame) -> DataFrame:
 
     The id is made of the table and the start second, so recording a run again replaces it.
     """
-    micros = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("completed_at"))
-    start_second = F.floor(
-        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("started_at")) / 1_000_000
-    )
+    micros = micros_of(F.col("completed_at")) - micros_of(F.col("started_at"))
+    start_second = F.floor(micros_of(F.col("started_at")) / 1_000_000)
     return runs.withColumn("duration_sec", micros / F.lit(1_000_000.0)).select(
         F.concat(F.lit("metric-"), "index", F.lit("-"), start_second.cast("string")).alias("metric_id"),
         F.col("completed_at").alias("event_ts"),

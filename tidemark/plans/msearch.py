@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import bodies
-from tidemark.functions.times import ts_literal
+from tidemark.functions.times import micros_of, ts_literal
 from tidemark.operators.indices import expand_names
 from tidemark.sources.files import settled
 
@@ -66,8 +66,7 @@ def plan_requests(requests: DataFrame, now: datetime, orders: Mapping[str, str],
 def _sort_value(column: str, rows: DataFrame) -> Column:
     """Column as a number: microseconds of a time, a missing value as zero."""
     if dict(rows.dtypes)[column].startswith("timestamp"):
-        micros = F.timestamp_diff("MICROSECOND", ts_literal(WHOLE_TABLE), F.col(column))
-        return micros.cast("double")
+        return micros_of(F.col(column)).cast("double")
     return F.coalesce(F.col(column).cast("double"), F.lit(0.0))
 
 

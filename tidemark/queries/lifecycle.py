@@ -14,7 +14,7 @@ from tidemark.operators import indices, retention, tiers, windows
 from tidemark.plans.migrate import apply_retention, migrate
 from tidemark.plans.store import TierStore
 from tidemark.queries import data
-from tidemark.queries.data import BEHIND_MARK_SQL, EVENTS_SQL, MIGRATE_CUTOFF, NOW
+from tidemark.queries.data import BEHIND_MARK_SQL, EVENTS_SQL, NOW
 from tidemark.sources.files import new_folder, settled
 from tidemark.sources.state import open_slices, upsert
 from tidemark.streaming.copy import start_copy
