@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate as decon
+from tidemark.llm import pieces, token_files, word_pieces
+from tidemark.sources.files import shared_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -54,3 +58,34 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS B
     coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as wavelet matrices and read back."""
+    path = f"{shared_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether decoding them gives the text back."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return found.select(
+        "doc_id", "n_pieces", F.crc32(F.coalesce("ids", F.lit(b""))).alias("ids_crc32"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece lengths of every document."""
+    return word_pieces.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
