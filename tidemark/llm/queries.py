@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate as decon
-from tidemark.llm import pieces, token_files, word_pieces
+from tidemark.llm import personal, pieces, secrets, token_files, word_pieces
 from tidemark.sources.files import shared_folder
 
 QUERIES, ORACLES = {}, {}
@@ -89,3 +89,22 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece lengths of every document."""
     return word_pieces.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by patterns, and tokens of like format."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans")
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_iban", "n_ssn", "n_local_phone",
+        F.sha2(personal.named(personal.base_only(F.col("found"))), 256).alias("base_sha256"),
+        personal.named(F.col("found")).alias("spans"),
+        F.array_join(F.transform("found", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"),
+    )
