@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate as decon
-from tidemark.llm import personal, pieces, secrets, token_files, word_pieces
+from tidemark.llm import impacts, language, personal, pieces, secrets, token_files, word_pieces
 from tidemark.sources.files import shared_folder
 
 QUERIES, ORACLES = {}, {}
@@ -108,3 +108,30 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         personal.named(F.col("found")).alias("spans"),
         F.array_join(F.transform("found", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"),
     )
+
+
+@query
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector with all others."""
+    rows = impacts.quantised(table(spark, sf_dir, "embeddings"))
+    return impacts.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), 10)
+
+
+ORACLES["op4_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, training=~language.held_out())
+    return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
