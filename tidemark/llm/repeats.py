@@ -26,26 +26,26 @@ from tidemark.llm.suffixes import suffix_order
 from tidemark.llm.texts import documents, kept, merged_spans, pair_hash, row_key, segments, slices
 
 WIDTH = 200
-GRAM = 32
+GRAM = 64
 #: Distinct stretches of an anchor that are sorted together.
 MOST_STRETCHES = 2048
 #: Symbols of the suffix arrays of one step.
 STEP_SYMBOLS = 1 << 20
 
 
-def _chunk_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` bytes (8 at least) at each place, of halves that may overlap."""
-    if len(data) < length:
-        return np.zeros(0, np.uint64)
+def _chunk_hashes(data: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """Hashes of the bytes at each place, by ascending length (8 at least), of halves that may overlap."""
     wide = data.astype(np.uint64)
     for step in (1, 2, 4):
         wide = wide[:-step] | wide[step:] << np.uint64(8 * step)
-    have = 8
-    while have < length:
-        step = min(have, length - have)
-        wide = pair_hash(wide[:-step], wide[step:])
-        have += step
-    return wide
+    have, out = 8, []
+    for length in lengths:
+        while have < length:
+            step = min(have, length - have)
+            wide = pair_hash(wide[:-step], wide[step:])
+            have += step
+        out.append(wide)
+    return out
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WIDTH):
@@ -58,7 +58,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int =
     if n <= 0:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     gram = min(GRAM, width)
-    grams = _chunk_hashes(data, gram)
+    grams, whole = _chunk_hashes(data, gram, width)
     ranked = (grams >> np.uint64(32)) << np.uint64(32) | np.arange(len(grams), dtype=np.uint64)
     span, least = 1, ranked
     grams_of_window = width - gram + 1
@@ -76,7 +76,6 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int =
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
     last = np.append(first[1:], len(window)) - 1
     low, high, at = window[first], window[last], anchor[first]
-    whole = _chunk_hashes(data, width)
     shape = ((at - low).astype(np.uint64) << np.uint64(32)) | (high - low).astype(np.uint64)
     return doc[first], low, high, at, grams[at], pair_hash(pair_hash(whole[low], whole[high]), shape)
 
@@ -108,7 +107,7 @@ def _cut(width: int):
                     "key": pa.array([c["key"] for c in chosen], pa.int64()),
                     "stretch": pa.array([c["stretch"] for c in chosen], pa.int64()),
                     "times": pa.array([c["times"] for c in chosen], pa.int64()),
-                    "many": pa.array([c["many"] for c in chosen], pa.bool_()),
+                    "peers": pa.array([c["peers"] for c in chosen], pa.int64()),
                     "body": pa.array([raw[c["low"] : c["low"] + c["span"] + width] for c in chosen], pa.binary()),
                 })
 
@@ -138,11 +137,8 @@ def repeated_starts(keys: np.ndarray, bodies: list[bytes], width: int) -> list[n
     one, two = start[:-1], start[1:]
     same_key = keys[owner[one]] == keys[owner[two]]
     one, two = one[same_key], two[same_key]
-    equal = np.zeros(len(one), dtype=bool)
-    steps = np.arange(width)
-    for at in range(0, len(one), 8192):
-        a, b = one[at : at + 8192, None] + steps, two[at : at + 8192, None] + steps
-        equal[at : at + 8192] = (symbols[a] == symbols[b]).all(axis=1)
+    (window,) = _chunk_hashes(symbols, width)
+    equal = window[one] == window[two]
     again = np.unique(np.concatenate([one[equal], two[equal]]))
     whose = owner[again]
     cut = np.searchsorted(whose, np.arange(len(bodies) + 1))
@@ -158,7 +154,7 @@ def _runs(places: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _judge(width: int):
-    """Rows come sorted by key; whole keys are judged together, some at a time."""
+    """Rows come sorted by peers and key; whole keys are judged together, some at a time."""
 
     def judge(batches):
         keys, stretches, times, bodies, size = [], [], [], [], 0
@@ -195,7 +191,7 @@ def _windows(width: int):
     def windows(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                found = _chunk_hashes(np.frombuffer(row["body"], dtype=np.uint8), width)
+                (found,) = _chunk_hashes(np.frombuffer(row["body"], dtype=np.uint8), width)
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array([row["key"]] * len(found), pa.int64()), "stretch": pa.array([row["stretch"]] * len(found), pa.int64()),
                     "times": pa.array([row["times"]] * len(found), pa.int64()), "first": pa.array(np.arange(len(found)), pa.int64()),
@@ -243,9 +239,9 @@ def remove_repeats(
     they lose all their text. Other columns are dropped.
     """
     rows = documents(docs, doc_id=doc_id, text=text).select("*", row_key("doc_id", "text"))
-    found = rows.select("row_key", "text").mapInArrow(_stretches(width), _STRETCH)
+    found = kept(rows.select("row_key", "text").mapInArrow(_stretches(width), _STRETCH), "anchors")
     counted = found.groupBy("key").agg(F.count("*").alias("n"), F.min("stretch").alias("a"), F.max("stretch").alias("b"))
-    again = kept(counted.where("n > 1").select("key", (F.col("a") == F.col("b")).alias("alike")), "anchors")
+    again = kept(counted.where("n > 1").select("key", (F.col("a") == F.col("b")).alias("alike")), "again")
     repeats = kept(found.join(again, "key"), "stretches")
 
     by_row = repeats.groupBy("row_key").agg(
@@ -261,19 +257,20 @@ def remove_repeats(
     place = F.struct("row_key", "low", "span")
     distinct = repeats.where("NOT alike").groupBy("key", "stretch").agg(F.count("*").alias("times"), F.min(place).alias("at"))
     distinct = kept(distinct.select("key", "stretch", "times", "at.*"), "distinct")
-    per_key = distinct.groupBy("key").agg((F.count("*") > most_stretches).alias("many"))
+    per_key = distinct.groupBy("key").agg(F.count("*").alias("peers"))
     chosen = distinct.join(per_key, "key").groupBy("row_key").agg(
-        F.collect_list(F.struct("key", "stretch", "times", "many", "low", "span")).alias("chosen")
+        F.collect_list(F.struct("key", "stretch", "times", "peers", "low", "span")).alias("chosen")
     )
     texts = joined.where("spans IS NOT NULL").select("row_key", "text").dropDuplicates(["row_key"])
     bodies = kept(
         texts.join(chosen, "row_key").select("text", "chosen")
-        .mapInArrow(_cut(width), "key long, stretch long, times long, many boolean, body binary"),
+        .mapInArrow(_cut(width), "key long, stretch long, times long, peers long, body binary"),
         "bodies",
     )
-    few = bodies.where("NOT many").select("key", "stretch", "times", "body").repartition("key").sortWithinPartitions("key")
+    # Keys of like size are judged together: their suffix arrays take as many steps.
+    few = bodies.where(F.col("peers") <= most_stretches).repartition("key").sortWithinPartitions("peers", "key")
     judged = few.mapInArrow(_judge(width), "key long, stretch long, first long, last long")
-    single = bodies.where("many").select("key", "stretch", "times", "body").mapInArrow(
+    single = bodies.where(F.col("peers") > most_stretches).select("key", "stretch", "times", "body").mapInArrow(
         _windows(width), "key long, stretch long, times long, first long, window long"
     )
     often = single.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")

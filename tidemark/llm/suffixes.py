@@ -22,7 +22,7 @@ def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def lyndon_groups(symbols: np.ndarray, base: np.ndarray, length: np.ndarray):
-    """First phase. Strings lie one after another; each ends in a symbol 0 that it has nowhere else.
+    """First phase. Strings lie one after another, 2 billion symbols at most; each ends in its only 0.
 
     Returns for every suffix the first slot of its group, and for every slot that begins a
     group its size and the length of its prefix. Slots of a string are those of its symbols.
@@ -34,16 +34,17 @@ def lyndon_groups(symbols: np.ndarray, base: np.ndarray, length: np.ndarray):
     first[1:] = (symbols[at][1:] != symbols[at][:-1]) | (owner[at][1:] != owner[at][:-1])
     heads = np.flatnonzero(first)
     slot_head = np.repeat(heads, np.diff(np.append(heads, total)))
-    head = np.empty(total, dtype=np.int64)  # of the group of a suffix
+    head = np.empty(total, dtype=np.int32)  # of the group of a suffix
     head[at] = slot_head
-    slot = np.empty(total, dtype=np.int64)  # of a suffix
+    slot = np.empty(total, dtype=np.int32)  # of a suffix
     slot[at] = np.arange(total)
-    size, prefix = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
+    at = at.astype(np.int32)
+    size, prefix = np.zeros(total, dtype=np.int32), np.zeros(total, dtype=np.int32)
     size[heads], prefix[heads] = np.diff(np.append(heads, total)), 1
     # The suffix before, or -1 at the front of a string; shifted by one, so that -1 has a place.
-    previous = np.arange(-2, total - 1, dtype=np.int64)
+    previous = np.arange(-2, total - 1, dtype=np.int32)
     previous[0] = previous[base + 1] = -1
-    lowest = np.concatenate([[-1], head])  # the same shift; -1 is below every group
+    lowest = np.concatenate([[-1], head]).astype(np.int32)  # the same shift; -1 is below every group
 
     todo = base + length  # slots from here on are done
     open_ = np.arange(len(base))
@@ -110,7 +111,7 @@ def suffix_order(symbols: np.ndarray, base: np.ndarray, length: np.ndarray) -> n
     heads = np.flatnonzero(size > 0)
     group_of_slot[_ranges(heads, size[heads])] = np.repeat(heads, size[heads])
 
-    out, filled = np.full(total, -1, dtype=np.int64), np.zeros(total, dtype=np.int64)
+    out, filled = np.full(total, -1, dtype=np.int32), np.zeros(total, dtype=np.int32)
     out[base], filled[base] = last, 1
     now, stop = base.copy(), base + length
     open_ = np.arange(len(base))
