@@ -17,7 +17,7 @@ from tidemark.llm.texts import kept
 #: Documents more of whose words than this are benchmark text go; from others the passages are cut.
 MAX_COVERAGE = 0.5
 #: Least probability of the predicted language.
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

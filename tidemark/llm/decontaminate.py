@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import documents, lower_ascii, merged_spans, slices, word_hashes, words
+from tidemark.llm.texts import documents, lower_ascii, merged_spans, packed, slices, unpacked, word_hashes, words
 
 WINDOW = 10
 #: Words of items in one automaton, which bounds what is collected and broadcast at a time.
@@ -250,9 +250,7 @@ def decontaminate(
     ``max_words`` over 0, a hit span is longer than that. Others keep all their columns and lose the hit
     spans; ``n_chars`` names a column to be set to the new length. Texts without hits stay byte for byte.
     """
-    columns = docs.columns
-    rest = tuple(c for c in columns if c not in ("doc_id", text))
-    found = contaminated_spans(docs, benchmark, text=text, window=window, keep=rest)
+    found = contaminated_spans(packed(docs, text=text), benchmark, window=window, keep=("row",))
     pairs = F.transform(F.sequence(F.lit(0), F.size("hit_spans") / 2 - 1).cast("array<int>"), lambda i: i)
     longest = F.when(F.size("hit_spans") == 0, 0).otherwise(
         F.array_max(F.transform(pairs, lambda i: F.get("hit_spans", 2 * i + 1) - F.get("hit_spans", 2 * i)))
@@ -271,9 +269,12 @@ def decontaminate(
         "",
     )
     kept_rows = found.where(~bad).withColumn("text", F.when(F.size("removed") == 0, F.col("text")).otherwise(cut))
+    changed = {}
     if n_chars:
-        kept_rows = kept_rows.withColumn(n_chars, F.when(F.size("removed") == 0, F.col(n_chars)).otherwise(F.length("text")))
-    return kept_rows.select(*[F.col("text").alias(text) if c == text else F.col(c) for c in columns])
+        before = F.col("row").getField(n_chars)
+        length = F.when(F.size("removed") == 0, before).otherwise(F.length("text"))
+        changed[n_chars] = length.cast(docs.schema[n_chars].dataType)
+    return unpacked(kept_rows, docs.columns, text=text, **changed)
 
 
 def n_hit():

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import documents, slices
+from tidemark.llm.texts import documents, packed, slices, unpacked
 
 #: Hashed n-grams of one to three characters.
 DIMENSIONS = 1 << 14
@@ -197,7 +197,7 @@ def train(docs: DataFrame, *, training: Column, doc_id="doc_id", text="text", la
             if i % 5 != 4:
                 model.learn(index, value, label)
     weights = model.weights()
-    scores = np.array([value @ weights[index] for index, value, _ in aside]).reshape(len(aside), -1)
+    scores = np.array([value @ weights[index] for index, value, _ in aside]).reshape(len(aside), weights.shape[1])
     temperature = fit_temperature(scores, np.array([label for _, _, label in aside], dtype=np.int64))
     return LanguageModel(languages, idf, weights.astype(np.float32), temperature)
 
@@ -231,7 +231,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def accepted(docs: DataFrame, model: LanguageModel, *, text="text", min_score: float = 0.5) -> DataFrame:
     """Documents with a language of at least this probability, all columns as they were."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", text))
-    found = identify(docs, model, text=text, keep=tuple(rest))
+    found = identify(packed(docs, text=text), model, keep=("row",))
     good = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
-    return good.select(*[F.col("text").alias(text) if c == text else F.col(c) for c in docs.columns])
+    return unpacked(good, docs.columns, text=text)

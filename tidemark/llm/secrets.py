@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import documents, slices
+from tidemark.llm.texts import documents, packed, slices, unpacked
 
 #: The base patterns.
 ASSIGN = re.compile(r"(?ai:(?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -328,9 +328,10 @@ def find_secrets(
 
 def redact(docs: DataFrame, *, text: str = "text", n_chars: str | None = None) -> DataFrame:
     """All documents and columns; secrets are replaced by a mark, ``n_chars`` set to the new length."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", text))
-    found = find_secrets(docs, text=text, keep=rest)
-    changed = found.withColumn("text", F.coalesce("redacted", "text"))
+    found = find_secrets(packed(docs, text=text), learn(docs, text=text), keep=("row",))
+    left = found.withColumn("text", F.coalesce("redacted", "text"))
+    changed = {}
     if n_chars:
-        changed = changed.withColumn(n_chars, F.when(F.col("redacted").isNull(), F.col(n_chars)).otherwise(F.length("text")))
-    return changed.select(*[F.col("text").alias(text) if c == text else F.col(c) for c in docs.columns])
+        before = F.col("row").getField(n_chars)
+        changed[n_chars] = F.when(F.col("redacted").isNull(), before).otherwise(F.length("text")).cast(docs.schema[n_chars].dataType)
+    return unpacked(left, docs.columns, text=text, **changed)

@@ -84,6 +84,20 @@ def documents(docs: DataFrame, *columns: str, doc_id: str = "doc_id", text: str
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c) for c in columns])
 
 
+def packed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text, and all columns but the text as the one column ``row``, safe from clashing names."""
+    rest = [F.col(c) for c in docs.columns if c != text]
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*rest).alias("row"))
+
+
+def unpacked(found: DataFrame, columns: list[str], *, text: str = "text", **changed: Column) -> DataFrame:
+    """The columns as they were before ``packed``, but the text and those in ``changed``."""
+    return found.select(*[
+        F.col("text").alias(c) if c == text else changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c)
+        for c in columns
+    ])
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
