@@ -22,11 +22,11 @@ QUERY_ROWS = 512
 #: Bits dropped by quantising; a segment holds values that differ below them.
 SHIFT = 4
 #: Share of the largest impact by which one round goes down.
-ROUND = 0.125
+ROUND = 0.2
 #: Rows of a shard that may still be members when reading stops, as a multiple of k.
 FEW = 8
 
-SHARD_SCHEMA = "shard string, n int, dim int, ids binary, vectors binary, orders binary, cuts array<binary>, levels array<binary>"
+SHARD_SCHEMA = "shard string, n int, dim int, ids binary, vectors binary, orders binary, dims binary, begins binary, levels binary"
 
 
 def _matrix(rows: list[list[int]]) -> np.ndarray:
@@ -39,64 +39,69 @@ def _matrix(rows: list[list[int]]) -> np.ndarray:
 
 
 class Shard:
-    """Vectors of some rows and their segments by dimension, from high to low values."""
+    """Vectors of some rows and their segments: by dimension, then from high to low values."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, orders, cuts, levels):
-        self.ids, self.vectors, self.orders, self.cuts, self.levels = ids, vectors, orders, cuts, levels
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, orders: np.ndarray, dims: np.ndarray, begins: np.ndarray, levels: np.ndarray):
+        self.ids, self.vectors, self.orders, self.begins = ids, vectors, orders, begins
+        self.dims, self.levels = dims, levels << SHIFT
+        self.sizes = np.diff(np.append(begins, len(orders)))
+        self.slots = np.repeat(self.levels, self.sizes).astype(np.float64)
+        self.firsts = np.flatnonzero(np.append(True, dims[1:] != dims[:-1])) if len(dims) else begins
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray) -> Shard:
-        orders, cuts, levels = [], [], []
-        for column in vectors.T:
-            level = column >> SHIFT
-            order = np.argsort(-level, kind="stable").astype(np.int32)
-            ordered = level[order]
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            orders.append(order)
-            cuts.append(np.append(first, len(order)).astype(np.int32))
-            levels.append(ordered[first])
-        return cls(ids, vectors, orders, cuts, levels)
+        level = (vectors >> SHIFT).T
+        order = np.argsort(-level, axis=1, kind="stable").astype(np.int32)
+        ordered = np.take_along_axis(level, order.astype(np.int64), axis=1)
+        first = np.ones(ordered.shape, dtype=bool)
+        first[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        dims = np.repeat(np.arange(len(level)), first.sum(axis=1))
+        begins = np.flatnonzero(first.ravel())
+        return cls(ids, vectors, order.ravel(), dims, begins, ordered.ravel()[begins])
 
     def top(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and scores of the best k rows but the query's own, and how many were scored exactly."""
         dim = min(len(query), self.vectors.shape[1])
         query = query[:dim]
-        used = np.flatnonzero(query)
-        n, width = len(self.ids), (1 << SHIFT) - 1
         others = self.ids != own
-        if not len(used):
-            return self._best(np.flatnonzero(others), query, k)
-        # Impact of a segment: what it adds at least and at most, above the least of its dimension.
-        least, most, dims, numbers = [], [], [], []
-        for d in used:
-            base, weight = self.levels[d] << SHIFT, int(query[d])
-            low, high = (weight * base, weight * (base + width)) if weight > 0 else (weight * (base + width), weight * base)
-            floor = low.min()
-            least.append(low - floor)
-            most.append(high - floor)
-            dims.append(np.full(len(base), d))
-            numbers.append(np.arange(len(base)))
-        least, most, dims, numbers = map(np.concatenate, (least, most, dims, numbers))
-        order = np.argsort(-most, kind="stable")
-        least, most, dims, numbers = least[order], most[order], dims[order], numbers[order]
-        # What a dimension can still add: the next unread segment's impact, segments being sorted.
-        low, high = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        rounds = np.searchsorted(-most, -(most[0] * np.arange(1 - ROUND, -ROUND, -ROUND)), side="right")
-        at, candidates = 0, np.flatnonzero(others)
-        for until in np.unique(np.append(rounds, len(order))):
-            for i in range(at, int(until)):
-                d, s = dims[i], numbers[i]
-                rows = self.orders[d][self.cuts[d][s] : self.cuts[d][s + 1]]
-                low[rows] += least[i]
-                high[rows] += most[i]
-            at = int(until)
+        candidates = np.flatnonzero(others)
+        n, width = len(self.ids), (1 << SHIFT) - 1
+        # Impact of a segment: what its rows add at least, above the least that its dimension adds.
+        weight = np.append(query, np.zeros(self.vectors.shape[1] - dim, dtype=np.int64))[self.dims]
+        impact = weight * self.levels + np.minimum(weight * width, 0)
+        shift = np.minimum(weight * width, 0)[self.firsts]
+        if len(impact):
+            least = np.minimum.reduceat(impact, self.firsts)
+            impact, shift = impact - least[self.dims], shift - least
+        slack = int(np.abs(query).sum()) * width  # what quantising hides, at most
+        if not len(impact) or float(impact.max()) * dim + slack >= 2**52:
+            return self._best(candidates, query, k)
+        order = np.argsort(-impact, kind="stable")
+        order = order[: np.searchsorted(-impact[order], 0)]  # segments that add nothing are never read
+        impact, dims, size = impact[order], self.dims[order], self.sizes[order]
+        top = impact[0] if len(impact) else 0
+        rounds = np.searchsorted(-impact, -(top * np.arange(1 - ROUND, -ROUND, -ROUND)), side="right")
+        low, at, read = np.zeros(n), 0, np.zeros(self.vectors.shape[1], dtype=np.int64)
+        for until in np.unique(np.append(rounds, len(impact))).tolist():
+            if until > at:
+                # Segments of a dimension are read from its high end, or from its low end, without gaps.
+                taken = np.bincount(dims[at:until], size[at:until], minlength=len(read)).astype(np.int64)
+                rows, added = [], []
+                for d in np.flatnonzero(taken).tolist():
+                    w, done, more = int(weight[self.firsts[d]]), int(read[d]), int(taken[d])
+                    first = d * n + done if w > 0 else (d + 1) * n - done - more
+                    rows.append(self.orders[first : first + more])
+                    added.append(self.slots[first : first + more] * float(w) + float(shift[d]))
+                low += np.bincount(np.concatenate(rows), np.concatenate(added), minlength=n)
+                read += taken
+            at = until
             if len(candidates) <= k:
                 break
-            open_dims, first = np.unique(dims[at:], return_index=True)
-            rest = int(most[at:][first].sum()) if len(open_dims) else 0
+            # What each dimension can still add: the impact of its next segment.
+            rest = int(impact[at:][np.unique(dims[at:], return_index=True)[1]].sum())
             sure = np.partition(low[candidates], len(candidates) - k)[len(candidates) - k]
             # A row below this cannot be among the best k; ties stay.
-            candidates = candidates[high[candidates] + rest >= sure]
+            candidates = candidates[low[candidates] + slack + rest >= sure]
             if len(candidates) <= FEW * k:
                 break
         return self._best(candidates, query, k)
@@ -118,9 +123,9 @@ def _shards(rows_of_shard: int):
                 "shard": pa.array([f"{part}-{number}"]), "n": pa.array([len(ids)], pa.int32()),
                 "dim": pa.array([matrix.shape[1]], pa.int32()), "ids": pa.array([built.ids.tobytes()], pa.binary()),
                 "vectors": pa.array([matrix.tobytes()], pa.binary()),
-                "orders": pa.array([b"".join(o.tobytes() for o in built.orders)], pa.binary()),
-                "cuts": pa.array([[c.tobytes() for c in built.cuts]], pa.list_(pa.binary())),
-                "levels": pa.array([[x.tobytes() for x in built.levels]], pa.list_(pa.binary())),
+                "orders": pa.array([built.orders.tobytes()], pa.binary()),
+                "dims": pa.array([built.dims.tobytes()], pa.binary()), "begins": pa.array([built.begins.tobytes()], pa.binary()),
+                "levels": pa.array([(built.levels >> SHIFT).tobytes()], pa.binary()),
             })
 
         for batch in batches:
@@ -138,10 +143,10 @@ def _shards(rows_of_shard: int):
 
 def _read(row: dict) -> Shard:
     n, dim = row["n"], row["dim"]
+    wide = (np.frombuffer(row[name], np.int64) for name in ("dims", "begins", "levels"))
     return Shard(
         np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(n, dim),
-        np.frombuffer(row["orders"], np.int32).reshape(dim, n),
-        [np.frombuffer(c, np.int32) for c in row["cuts"]], [np.frombuffer(x, np.int64) for x in row["levels"]],
+        np.frombuffer(row["orders"], np.int32), *wide,
     )
 
 
