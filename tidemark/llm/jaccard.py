@@ -26,10 +26,12 @@ from tidemark.llm.texts import Slice, documents, kept, lower_ascii, pair_hash, r
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
-GROUPS = 64
+GROUPS = 128
 LEAF = 16
 #: Classes of a bucket that are searched together.
 BLOCK_ROWS = 1024
+#: Classes of a block whose sets are verified together.
+VERIFY_ROWS = 128
 #: Counters of the sketch that tells frequent n-grams, and how far above the mean they are.
 SKETCH_BITS = 18
 FREQUENT = 4.0
@@ -137,7 +139,7 @@ def _whole_sets(size: int, groups: int):
             n = np.bincount(owner, minlength=len(part.starts))
             end = np.cumsum(n)
             group = (value % np.uint64(groups)).astype(np.int64)
-            points = np.bincount(owner * groups + group, minlength=len(n) * groups).astype("<i4").reshape(-1, groups)
+            points = np.bincount(owner * groups + group, minlength=len(n) * groups).astype("<u4").reshape(-1, groups)
             raw = value.tobytes()
             yield pa.RecordBatch.from_pydict({
                 "h": part.column("h"), "n": pa.array(n, pa.int64()),
@@ -154,12 +156,24 @@ def needed_overlap(one, two, percent: int = SIMILARITY):
 
 
 def _verify(percent: int):
+    """Rows come sorted by piece of work, in each the sets before the pairs."""
+
     def verify(batches):
+        key, known = None, {}
         for batch in batches:
             a, b = [], []
             for row in batch.to_pylist():
-                one, two = np.frombuffer(row["one"], np.uint64), np.frombuffer(row["two"], np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
+                own = (row["family"], row["low"], row["high"])
+                if own != key:
+                    key, known = own, {}
+                if row["members"] is not None:
+                    known[row["a"]] = np.frombuffer(row["members"], np.uint64)
+                    continue
+                one, two = known[row["a"]], known[row["b"]]
+                if len(one) > len(two):
+                    one, two = two, one
+                place = np.minimum(np.searchsorted(two, one), len(two) - 1)
+                both = int((two[place] == one).sum())
                 if 100 * both >= percent * (len(one) + len(two) - both):
                     a.append(row["a"])
                     b.append(row["b"])
@@ -168,6 +182,34 @@ def _verify(percent: int):
     return verify
 
 
+def verified_links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose sets are similar.
+
+    Pairs that hang together are a family, whose classes are cut into blocks of bounded size. A piece of work
+    is two blocks with a pair between them; it gets each set of the two once, however many pairs there are.
+    """
+    family = components(pairs).select(F.col("id").alias("h"), F.col("label").alias("family"))
+    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("blocks"))
+    placed = kept(
+        family.join(blocks, "family").select("h", "family", F.pmod(F.hash("h"), F.col("blocks")).alias("block")), "placed"
+    )
+    one = placed.select(F.col("h").alias("a"), "family", F.col("block").alias("x"))
+    two = placed.select(F.col("h").alias("b"), F.col("block").alias("y"))
+    asked = kept(
+        pairs.join(one, "a").join(two, "b").select("a", "b", "family", F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")),
+        "asked",
+    )
+    work = asked.select("family", "low", "high").distinct()
+    sides = work.select("*", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    sets = sides.join(placed, ["family", "block"]).join(whole.select("h", "members"), "h")
+    none = F.lit(None)
+    rows = sets.select("family", "low", "high", F.col("h").alias("a"), none.cast("long").alias("b"), "members").unionByName(
+        asked.withColumn("members", none.cast("binary"))
+    )
+    rows = rows.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", F.col("b").isNotNull())
+    return kept(rows.mapInArrow(_verify(percent), "a long, b long"), "verified")
+
+
 class CountTree:
     """R-tree over points: boxes of ``LEAF`` points, of so many boxes, and so on."""
 
@@ -205,7 +247,7 @@ def _search(percent: int, groups: int):
     """Rows come sorted by bucket and pair of blocks; emits pairs of different components that may be similar."""
 
     def found(rows: list[dict]):
-        points = np.frombuffer(b"".join(r["point"] for r in rows), dtype="<i4").reshape(-1, groups)
+        points = np.frombuffer(b"".join(r["point"] for r in rows), dtype="<u4").astype(np.int64).reshape(-1, groups)
         sizes = np.array([r["n"] for r in rows], dtype=np.int64)
         label, h = np.array([r["label"] for r in rows]), np.array([r["h"] for r in rows])
         if (label == label[0]).all():
@@ -277,12 +319,10 @@ def similar_documents(
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = whole.select(F.col("h").alias("a"), F.col("members").alias("one"), F.col("n").alias("n_one"))
-        two = whole.select(F.col("h").alias("b"), F.col("members").alias("two"), F.col("n").alias("n_two"))
-        sized = pairs.join(one.select("a", "n_one"), "a").join(two.select("b", "n_two"), "b")
-        close = sized.where((F.col("n_one") * 100 >= F.col("n_two") * percent) & (F.col("n_two") * 100 >= F.col("n_one") * percent))
-        sets = close.select("a", "b").join(one.drop("n_one"), "a").join(two.drop("n_two"), "b")
-        return kept(sets.mapInArrow(_verify(percent), "a long, b long"), "verified")
+        one, two = (whole.select(F.col("h").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+        close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+        sized = pairs.join(one, "a").join(two, "b").where(close).select("a", "b")
+        return verified_links(kept(sized, "close"), whole, percent)
 
     # The firsts with which a class shares most n-grams: enough to join most near copies.
     firsts = shared.where("first <> h").groupBy(F.col("first").alias("a"), F.col("h").alias("b")).agg(F.count("*").alias("n"))
