@@ -31,7 +31,7 @@ LEAF = 16
 #: Classes of a bucket that are searched together.
 BLOCK_ROWS = 1024
 #: Classes of a block whose sets are verified together.
-VERIFY_ROWS = 128
+VERIFY_ROWS = 1024
 #: Counters of the sketch that tells frequent n-grams, and how far above the mean they are.
 SKETCH_BITS = 18
 FREQUENT = 4.0
