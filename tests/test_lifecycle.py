@@ -123,7 +123,7 @@ def test_done_slices_are_not_copied_again(spark, store):
         "CAST(0 AS BIGINT) AS migrated, id = 0 AS done, TIMESTAMP_NTZ'2026-01-27 00:00:00' AS updated_at FROM range(2)"
     ).withColumn("slice_id", F.col("slice_id").cast("int"))
     put_state(state, store.root, "slice_state")
-    migrate(store, NOW, 7, patterns=["t0"])
+    migrate(store, NOW, 7, patterns=["t0"], late=False)  # late would copy what the made-up state claims was done
     parts = {(r.batch, r.slice) for r in store.cold().select("batch", "slice").distinct().collect()}
     assert parts == {("w20260120000000", 1)}
 
@@ -164,12 +164,63 @@ def test_purge_that_failed_is_made_up_for(spark, store, monkeypatch):
         patch.setattr(job, "rewrite_keeping", crash)
         with pytest.raises(MigrationError):
             migrate(store, NOW, 7, delete_after=True)
-    assert store.marks().count() == 0
+    assert store.marks().count() == 3 and shown(store) == list(range(ALL))  # the marks do not wait for the purge
     assert migrate(store, NOW, 7, delete_after=True) == 0  # slices were done, only the purge was not
     assert ids(store.hot()) == [i for i in range(ALL) if i not in older(datetime(2026, 1, 23, 23))]
     assert shown(store) == list(range(ALL))
 
 
+def added(spark, event_id, ts):
+    return spark.sql(f"SELECT {event_id} AS event_id, TIMESTAMP_NTZ'{ts}' AS ts, 't1' AS index")
+
+
+def test_row_in_the_hour_left_standing_is_not_lost(spark, store):
+    migrate(store, NOW - timedelta(days=10), 7, delete_after=True)
+    store.append_hot(added(spark, 900, "2026-01-13 23:40:00"))  # twenty minutes before the cutoff, after the copy
+    store.append_hot(added(spark, 901, "2026-01-02 00:00:00"))  # before what was purged
+    migrate(store, NOW, 7, delete_after=True)
+    assert shown(store) == [*range(ALL), 900, 901]
+    assert not {900, 901} & set(ids(store.hot()))
+
+
+def test_row_appended_between_copy_and_purge_stays(spark, store, monkeypatch):
+    import tidemark.plans.migrate as job
+
+    real = job.purge
+
+    def append_first(made, *args):
+        made.append_hot(added(spark, 902, "2026-01-05 00:10:00"))
+        real(made, *args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(job, "purge", append_first)
+        migrate(store, NOW, 7, delete_after=True)
+    assert 902 in ids(store.hot())
+    late = tiers.union_exact(store.hot(), store.cold(), store.marks(), include_late=True)
+    assert ids(late) == [*range(ALL), 902]
+    migrate(store, NOW + timedelta(days=1), 7, delete_after=True)
+    assert shown(store) == [*range(ALL), 902]
+
+
+def test_stopped_after_the_purge(spark, store, monkeypatch):
+    import tidemark.plans.migrate as job
+
+    put = job.put_state
+
+    def lost(rows, root, name):
+        if name == "purge_mark":
+            raise RuntimeError("driver lost")
+        put(rows, root, name)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(job, "put_state", lost)
+        with pytest.raises(MigrationError):
+            migrate(store, NOW, 7, delete_after=True)
+    assert shown(store) == list(range(ALL))
+    migrate(store, NOW, 7, delete_after=True)
+    assert shown(store) == list(range(ALL))
+
+
 def test_rewrite_cut_short_at_any_point(spark, store, tmp_path, monkeypatch):
     """Lost before the file list is written: nothing happened. Lost after: finished next time."""
     import tidemark.sources.files as files

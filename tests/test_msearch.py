@@ -101,3 +101,24 @@ def test_against_brute_force(spark, seed, dense_rows):
     assert {r.status for r in by_id.values()} == {200, 400}
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "WindowGroupLimit" in plan
+
+
+def test_queries_that_are_not_evaluated_are_refused(spark):
+    span = {"range": {"@timestamp": {"gte": "2024-01-02"}}}
+    refused = [
+        {"bool": {"filter": [{"term": {"event_type": "view"}}, span]}},
+        {"bool": {"must_not": [span]}},
+        {"bool": {"filter": [span, {"range": {"@timestamp": {"lt": "2024-01-03"}}}]}},
+        {"bool": {"filter": [span], "should": [span]}},
+        {"bool": {"must": [{"bool": {"filter": [span]}}]}},
+        {"range": {"created_at": {"gte": "2024-01-02"}}},
+        {"range": {"@timestamp": {"gte": "someday"}}},
+        {"range": {"@timestamp": {"gte": "2024-01-02", "gt": "2024-01-03"}}},
+        {"range": {"@timestamp": {"gte": "2024-01-02", "boost": 2}}},
+        {"match_all": {}, "range": span["range"]},
+    ]
+    taken = [span, {"bool": {"filter": span}}, {"bool": {"must": [span], "filter": []}}, None]
+    bodies = [{"query": q} if q else {} for q in refused + taken]
+    log = spark.createDataFrame([(i, ["a"], json.dumps(b)) for i, b in enumerate(bodies)], "req_id INT, indices ARRAY<STRING>, body STRING")
+    plan = msearch.plan_requests(log, NOW, {"_score": "score"}).orderBy("req_id").collect()
+    assert [r.error for r in plan] == [msearch.UNSUPPORTED_QUERY] * len(refused) + [None] * len(taken)

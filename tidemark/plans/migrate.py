@@ -12,6 +12,7 @@ tables; what earlier waves recorded is not copied again when a later one fails.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timedelta, timezone
 
@@ -128,13 +129,16 @@ def migrate(
     slices: int = 4,
     waves: int = 1,
     delete_after: bool = False,
+    late: bool = True,
     slice_by: Column | None = None,
     transform: Callable[[DataFrame], DataFrame] | None = None,
     clock: Callable[[], datetime] = utc_now,
 ) -> int:
     """Run one migration over all selected tables; returns the rows copied.
 
-    Order: open the run, copy, record slices, purge, move the marks, write metrics.
+    Order: open the run, copy, record slices, move the marks, write metrics; then rows that
+    came in behind the marks are copied (unless ``late`` is false), and hot is purged of what
+    cold holds. Readers switch at the marks, so a purge only takes away what they no longer read.
     ``transform`` is applied to the rows on their way (unwrapping a document, say).
     Tables of a wave that fails keep their state; the error is raised once the other
     waves are through.
@@ -152,8 +156,6 @@ def migrate(
         started = clock()
         try:
             copied += _copy(store, part, slice_by, transform, clock)
-            if delete_after:
-                purge(store, part, clock())
             put_state(
                 part.select("index", F.col("cutoff").alias("migrated_before"), ts_literal(clock()).alias("updated_at")),
                 store.root,
@@ -163,8 +165,16 @@ def migrate(
         except Exception as error:  # the failed wave is recorded, the others still run
             record_runs(store, part, started, clock(), slices, str(error).splitlines()[0])
             errors.append(error)
+    chosen = select_names(F.col("index"), patterns, hide_system=True)
+    try:
+        if late:
+            copy_late(store, store.hot().where(chosen), f"late{uuid.uuid4().hex}", slices, transform)
+        if delete_after:
+            purge(store, clock(), chosen)
+    except Exception as error:  # made up for by any later run
+        errors.append(error)
     if errors:
-        raise MigrationError(f"{len(errors)} of {waves} waves failed") from errors[0]
+        raise MigrationError(f"{len(errors)} steps of a run of {waves} waves failed") from errors[0]
     return copied
 
 
@@ -181,32 +191,38 @@ def _copy(store, windows, slice_by, transform, clock) -> int:
     return rows
 
 
-def purge(store: TierStore, windows: DataFrame, at: datetime) -> None:
-    """Drop copied rows from hot, up to one hour before the cutoff.
+def purge(store: TierStore, at: datetime, chosen: Column | None = None) -> None:
+    """Drop from hot the rows up to one hour before the mark that cold holds.
 
-    Starts at the purge's own mark, so the hour left standing goes with the next run and
-    a purge that failed is made up for, whatever that run copied.
+    Planned from the marks of copy and purge alone, so the hour left standing goes with a later
+    run and a purge that failed is made up for. A row is dropped only if its key is in cold, so
+    one that came in behind the mark stays until it has been copied.
     """
-    marks = get_state(store.spark, store.root, "purge_mark").select("index", "purged_before")
-    purge_windows = settled(
-        windows.select("index", "cutoff")
-        .join(marks, "index", "left")
-        .select("index", F.col("purged_before").alias("window_from"), "cutoff"),
-        "purge",
-    )
-    rewrite_keeping(
-        store.spark,
-        store.hot_path,
-        store.hot_schema,
-        HOT_PARTITIONS,
-        lambda rows: purge_flags(rows, purge_windows, store.ts),
-        store.purge_staging,
-    )
+    purged = get_state(store.spark, store.root, "purge_mark").select("index", F.col("purged_before").alias("window_from"))
+    marks = store.marks().select("index", F.col("migrated_before").alias("cutoff"))
     margin = F.expr(f"interval {int(PURGE_MARGIN.total_seconds())} seconds")
+    windows = marks.join(purged, "index", "left").where(
+        F.col("window_from").isNull() | (F.col("window_from") < F.col("cutoff") - margin)
+    )
+    if chosen is not None:
+        windows = windows.where(chosen)
+    windows = settled(windows.select("index", "window_from", "cutoff"), "purge")
+    last = windows.agg(F.max("cutoff").alias("last")).first()["last"]
+    if last is None:
+        return
+    # Rows that came in late lie before the last purge's mark: they go too, once they are copied.
+    everything = windows.withColumn("window_from", F.lit(None).cast("timestamp_ntz"))
+    held = store.cold().where(F.col(store.ts) < ts_literal(last)).select("index", store.key).distinct()
+
+    def flags(rows: DataFrame) -> DataFrame:
+        flagged = purge_flags(rows, everything, store.ts)
+        known = held.withColumn("_held", F.lit(True))
+        keep = F.coalesce(F.col("_keep"), F.lit(True)) | F.col("_held").isNull()
+        return flagged.join(known, ["index", store.key], "left").withColumn("_keep", keep).drop("_held")
+
+    rewrite_keeping(store.spark, store.hot_path, store.hot_schema, HOT_PARTITIONS, flags, store.purge_staging)
     put_state(
-        purge_windows.select(
-            "index", (F.col("cutoff") - margin).alias("purged_before"), ts_literal(at).alias("updated_at")
-        ),
+        windows.select("index", (F.col("cutoff") - margin).alias("purged_before"), ts_literal(at).alias("updated_at")),
         store.root,
         "purge_mark",
     )
@@ -242,7 +258,9 @@ def record_runs(
     put_state(run_reports.run_metrics(runs), store.root, "run_metrics")
 
 
-def copy_late(store: TierStore, arrived: DataFrame, name: str, slices: int = 4) -> None:
+def copy_late(
+    store: TierStore, arrived: DataFrame, name: str, slices: int = 4, transform: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
     """Copy those of the arrived rows that lie behind their mark and are not in cold, as a batch of their own.
 
     ``arrived`` is what came in since the last call, or the whole of hot to look for all of them.
@@ -265,6 +283,8 @@ def copy_late(store: TierStore, arrived: DataFrame, name: str, slices: int = 4)
     held = settled(held.join(behind.select(*keys), keys, "left_semi").select(*keys), "held")
     late = behind.join(held, keys, "left_anti")
     rows = late.withColumn("slice", slice_of(F.col(store.key), slices)).withColumn("batch", F.lit(name))
+    if transform is not None:
+        rows = transform(rows)
     overwrite_partitions(
         rows.select(*store.cold_schema.fieldNames()), store.cold_path, COLD_PARTITIONS, [F.col(store.ts)]
     )

@@ -25,6 +25,7 @@ from tidemark.operators.indices import expand_names
 from tidemark.sources.files import settled
 
 NOT_AN_OBJECT = "body is not a JSON object"
+UNSUPPORTED_QUERY = "query is not a single range on the time field"
 UNSUPPORTED_ORDER = "order is not one of the declared columns"
 WHOLE_TABLE = "1970-01-01 00:00:00"  # bucket of the table level
 MAX_LISTED_NAMES = 1000  # up to this many names are put into the scan as literals
@@ -35,19 +36,22 @@ HIT = ["sort_value", "tier", "index", "key", "ts", "score"]
 def plan_requests(requests: DataFrame, now: datetime, orders: Mapping[str, str], field: str = "@timestamp") -> DataFrame:
     """``(req_id, indices, start, end, from_, size, need, order_key, error)`` per request.
 
-    ``start`` is inclusive and ``end`` exclusive, strict bounds moved by a microsecond.
+    ``start`` is inclusive and ``end`` exclusive, strict bounds moved by a microsecond. A query
+    that is more than one range on ``field`` is refused, as its other clauses are not evaluated.
     """
     micro = F.expr("interval 1 microsecond")
     asked = (
         requests.withColumn("_parsed", bodies.parsed(F.col("body")))
         .withColumn("_range", bodies.time_range(F.col("_parsed"), F.lit(field), now))
         .withColumn("_paging", bodies.paging(F.col("_parsed")))
-        .select("req_id", "indices", "_range.*", "_paging.*")
+        .withColumn("_plain", bodies.is_plain_range(F.col("_parsed"), F.lit(field), now))
+        .select("req_id", "indices", "_range.*", "_paging.*", "_plain")
     )
     known = F.col("sort_field").isin([*orders])
     error = (
         F.when(~F.col("paginate"), F.lit(NOT_AN_OBJECT))
         .when(F.col("reason").startswith("search_after") | F.col("reason").startswith("pit"), F.col("reason"))
+        .when(~F.col("_plain"), F.lit(UNSUPPORTED_QUERY))
         .when(~F.coalesce(known, F.lit(False)), F.lit(UNSUPPORTED_ORDER))
     )
     return asked.select(

@@ -143,10 +143,13 @@ def finish_rewrite(spark: SparkSession, path: str, staging: str) -> None:
             if staged.getName().startswith("part-"):
                 target, _ = _path(spark, f"{path}/{relative}")
                 fs.mkdirs(target.getParent())
-                fs.rename(staged, target)
+                if not fs.rename(staged, target):
+                    raise OSError(f"could not move {staged} to {target}; the step is finished by a later run")
     for row in spark.read.parquet(f"{staging}/files").toLocalIterator():
         old = _decoded(spark, row["_file"])
-        old.getFileSystem(_hadoop_conf(spark)).delete(old, False)
+        files = old.getFileSystem(_hadoop_conf(spark))
+        if not files.delete(old, False) and files.exists(old):
+            raise OSError(f"could not delete {old}; the step is finished by a later run")
     remove(spark, staging)
 
 

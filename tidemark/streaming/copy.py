@@ -31,8 +31,9 @@ def copy_batch(store: TierStore, new_rows: DataFrame, name: str, now: datetime,
     failure overwrites what it wrote. Rows a regular run already took, because their file
     was there before the stream listed it, are found by an anti join with cold.
     """
-    copy_late(store, new_rows, name, int(options.get("slices", 4)))
-    migrate(store, now, migrate_after_days, **options)
+    copy_late(store, new_rows, name, int(options.get("slices", 4)), options.get("transform"))
+    # A purge looks through all of hot once more: it must not wait for rows it cannot find in cold.
+    migrate(store, now, migrate_after_days, **{"late": bool(options.get("delete_after")), **options})
 
 
 def start_copy(
