@@ -99,6 +99,14 @@ PAGING = {
     '{"sort":"ts"}': (0, 10, 10, True, True, False),
     '{"sort":["_score","ts"]}': (0, 10, 10, None, True, False),
     '{"sort":{"_score":"asc","ts":"asc"}}': (0, 10, 10, None, True, False),
+    '{"sort":[[[[["_score"]]]]]}': (0, 10, 10, False, True, True),
+    '{"sort":[[[[[[]]]]]]}': (0, 10, 10, False, True, True),
+    '{"sort":[[[[[{"_score":"asc"}]]]]]}': (0, 10, 10, True, True, True),
+    '{"sort":[["_score"],["ts"]]}': (0, 10, 10, None, True, False),
+    '{"sort":[[],[]]}': (0, 10, 10, None, True, False),
+    '{"sort":[[],"_score"]}': (0, 10, 10, None, True, False),
+    '{"sort":[["_score","ts"]]}': (0, 10, 10, None, True, False),
+    '{"sort":["a]"]}': (0, 10, 10, True, True, False),
     '{"sort":3}': (0, 10, 10, None, True, False),
     '{"search_after":null}': (0, 10, 10, False, True, False),
     '{"pit":{"id":"x"}}': (0, 10, 10, False, True, False),
