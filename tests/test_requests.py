@@ -183,7 +183,9 @@ def test_msearch_files_in_pieces(spark, tmp_path, split):
     assert [(r.indices, r.body) for r in rows] == [([f"t{i}"], '{"n":%d}' % i) for i in range(200)]
 
 
-def test_long_line_rejects_the_file(spark):
+def test_long_line_rejects_the_file_only_under_a_limit(spark):
     lines = spark.sql("SELECT 'f' AS file, 0 AS chunk, id AS position, if(id = 0, '{}', repeat('x', CAST(10485759 + id AS INT))) AS text FROM range(2)")
-    _, files = msearch_entries(lines, ["logs"])
+    _, files = msearch_entries(lines, ["logs"], max_line_bytes=10485760)
     assert files.first().error == LONG_LINE
+    entries, files = msearch_entries(lines, ["logs"])
+    assert files.first().error is None and entries.selectExpr("length(body) AS n").first().n == 10485760

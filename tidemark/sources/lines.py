@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import split_names_column
 
-# Limits and messages of a multi-search file.
-MAX_LINE_BYTES = 10 * 1024 * 1024
+# Messages of a multi-search file.
 ODD_LINES = "msearch expects even number of lines"
 LONG_LINE = "line too long"
 # Characters that count as blank at the ends of a line.
@@ -77,16 +76,19 @@ def numbered(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return within.join(offsets, ["file", "chunk"]).select("file", line, "text"), files
 
 
-def msearch_entries(lines: DataFrame, default_indices: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def msearch_entries(
+    lines: DataFrame, default_indices: Sequence[str] = (), *, max_line_bytes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Pair header and body lines of multi-search files.
 
     Returns entries ``(file, entry, indices, body)`` of readable files, and one row per
     file ``(file, entries, error, passthrough)``: ``error`` when it is rejected as a
     whole, ``passthrough`` when an entry names no table or an internal one and so the
-    whole file goes to hot.
+    whole file goes to hot. Lines may have any length, unless ``max_line_bytes`` rejects files with one that long.
     """
     rows, files = numbered(lines)
-    error = F.when(F.col("longest") >= MAX_LINE_BYTES, F.lit(LONG_LINE)).when(F.col("lines") % 2 != 0, F.lit(ODD_LINES))
+    too_long = F.lit(False) if max_line_bytes is None else F.col("longest") >= max_line_bytes
+    error = F.when(too_long, F.lit(LONG_LINE)).when(F.col("lines") % 2 != 0, F.lit(ODD_LINES))
     checked = files.select("file", "lines", error.alias("error"))
 
     is_header = F.col("line") % 2 == 0
