@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate as decon
-from tidemark.llm import impacts, jaccard, language, personal, pieces, repeats, secrets, token_files, word_pieces
+from tidemark.llm import (
+    impacts, jaccard, language, periods, personal, pieces, recompress, repeats, secrets, token_files, tries, word_pieces,
+)
 from tidemark.sources.files import shared_folder
 
 QUERIES, ORACLES = {}, {}
@@ -193,3 +196,99 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+
+#: crc32 of the decimal conv_id, modulo 4.
+_HEAD = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, 1 + len(s)),
+    lambda i: [ascii(s[i::INTEGER])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, b:
+    CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) & 3"""
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of conversations that share the fronts of every twentieth."""
+    found = tries.paths(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    head = (F.crc32(conv.cast("string").cast("binary")) % 4).cast("int")
+    return tries.prefix_trie(tries.spliced(found, conv - conv % 20, head, most=3))
+
+
+ORACLES["op11_conversation_trie"] = rf"""
+WITH s AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+    SELECT conv_id, turn, substr(sha256(concat(strlen(role), ':', role, text)), 1, 32) AS x,
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM s
+), o AS (
+    SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x) AS xs, list(w ORDER BY turn NULLS FIRST, x) AS ws FROM t GROUP BY conv_id
+), c AS (
+    SELECT conv_id, xs, ws, {_HEAD} AS h FROM (SELECT *, CAST(conv_id AS VARCHAR) AS s FROM o)
+), r AS (
+    SELECT c.conv_id, list_concat(coalesce(b.xs[1:c.h], []), c.xs[c.h + 1:]) AS xs,
+        list_concat(coalesce(b.ws[1:c.h], []), c.ws[c.h + 1:]) AS ws
+    FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 20
+), n AS (
+    SELECT conv_id, d, len(xs) AS m, array_to_string(xs[1:d], ',') AS node, CASE WHEN d > 0 THEN array_to_string(xs[1:d - 1], ',') END AS parent,
+        CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w
+    FROM (SELECT *, unnest(range(0, len(xs) + 1)) AS d FROM r)
+), a AS (
+    SELECT node, min(d) AS depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(w) AS w,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = m), '')) AS ends
+    FROM n GROUP BY node
+), k AS (SELECT parent AS node, count(*) AS n FROM a WHERE parent IS NOT NULL GROUP BY parent
+), u AS (SELECT DISTINCT x.node AS top, y.node AS node FROM n x JOIN n y ON x.conv_id = y.conv_id AND x.d <= y.d
+), z AS (
+    SELECT top AS node, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((a.n_convs - 1) * a.w) AS saved
+    FROM u JOIN a ON a.node = u.node LEFT JOIN k ON k.node = u.node GROUP BY top
+)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, a.n_convs, coalesce(k.n, 0) AS n_children,
+    z.n_leaves, CAST(z.saved AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM a JOIN z ON z.node = a.node LEFT JOIN k ON k.node = a.node LEFT JOIN a p ON p.node = a.parent
+"""
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, in every tenth with a tail that repeats itself; a null doc_id leaves them as they are."""
+    n = len(words)
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    root = words[a : a + p]
+    return words[:a] + (root * ((n - a) // p + 1))[: n - a]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and the text with each cut to one period."""
+    found = periods.find_runs(table(spark, sf_dir, "documents"), rewrite=repeated_tail)
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"
+    )
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that lie in no passage of 20 words that occurs earlier."""
+    found = recompress.remove_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op13_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), r AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM x) WHERE k > 1
+), c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r
+), p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), k AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS rest FROM p ANTI JOIN c USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.sources.files import shared_folder
+from tidemark.sources.files import remove, shared_folder
 
 SLICE_BYTES = 4 << 20
 
@@ -103,7 +103,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     schema = StructType.fromJson(df.schema.jsonValue())
-    return df.sparkSession.read.schema(schema).parquet(path)
+    table = df.sparkSession.read.schema(schema).parquet(path)
+    table.kept_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``kept`` wrote and that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.kept_path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
