@@ -1,11 +1,12 @@
 """Periodic runs of words, found in overlapping tiles of every period octave and stitched.
 
 For the octave of periods ``S <= q < 2S`` a text has a boundary at every S-th word. A run that repeats its
-period four times crosses three boundaries or more, and at each of them but the last the next S words
-come again q words later. Boundaries where that is so have a tile: S words before, 4S after. Tiles
+period four times crosses three boundaries or more, and at the first of them the next 2S words come again q words
+later (in the lowest octave, the next four). Boundaries where that is so have a tile: S words before, 5S after. Tiles
 are solved one by one: the Z-function of what follows the boundary tells for all periods at once how far words keep
-agreeing, that of the reversed front how far they agreed before. A tile sees at most S words back and 2S
-ahead, so a run leaves fragments that touch; they are shuffled by document and period and joined.
+agreeing, that of the reversed front how far they agreed before. A tile sees at most S words back and 3S
+ahead, so a run leaves fragments that touch; they are shuffled by document and period and joined. A fragment whose two
+ends a tile sees is dropped there if it is too short.
 
 A period whose root is itself a repetition is not the smallest one and leaves no fragment.
 """
@@ -57,15 +58,26 @@ def prime_factors(q: int) -> list[int]:
     return found + [q] if q > 1 else found
 
 
+def again(octave: int) -> int:
+    """So many words come again at the first boundary within any run of the octave."""
+    return max(2 * octave, LEAST_WORDS - 2)
+
+
+def least_length(period: int) -> int:
+    return max(LEAST_WORDS, LEAST_PERIODS * period)
+
+
 def solve_tile(words: list[int], at: int, octave: int) -> list[tuple[int, int, int]]:
     """Fragments (period, first, last) of a tile: words from first to before last come again a period later.
 
     ``at`` is the boundary's place in the tile. Only smallest periods are returned.
     """
-    ahead = z_function(words[at : at + 4 * octave])
+    least = again(octave)
+    reach = least + octave
+    ahead = z_function(words[at : at + reach + 2 * octave])
     chosen = []
     for q in range(octave, min(2 * octave, len(ahead))):
-        if ahead[q] >= octave and all(ahead[q // r] < q - q // r for r in prime_factors(q)):
+        if ahead[q] >= least and all(ahead[q // r] < q - q // r for r in prime_factors(q)):
             chosen.append(q)
     if not chosen:
         return []
@@ -75,10 +87,18 @@ def solve_tile(words: list[int], at: int, octave: int) -> list[tuple[int, int, i
     found = []
     for q in chosen:
         back = min(behind[len(front) + 1 + end - at - q], len(front)) if front else 0
-        found.append((q, at - back, at + min(ahead[q], 2 * octave)))
+        whole = back < octave and ahead[q] < reach
+        if not whole or back + ahead[q] + q >= least_length(q):
+            found.append((q, at - back, at + min(ahead[q], reach)))
     return found
 
 
+def joined(hashes: np.ndarray, size: int, place: np.ndarray) -> np.ndarray:
+    """Hashes of blocks twice as long; those that go over the end are of no use and made different."""
+    longer = pair_hash(hashes[:-size], hashes[size:]) if len(hashes) > size else hashes[:0]
+    return np.concatenate([longer, mix(place[len(longer) :].astype(np.uint64))])
+
+
 def tiles(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """octave, document, start and boundary of each tile; places are within ``codes``.
 
@@ -90,23 +110,23 @@ def tiles(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterato
     owner = np.repeat(np.arange(len(starts)), lengths + 1)
     octave = 1
     while True:
-        long_enough = lengths >= max(LEAST_WORDS, LEAST_PERIODS * octave)
+        long_enough = lengths >= least_length(octave)
         if not long_enough.any():
             return
         mask = long_enough[owner]
         if not mask.all():
             hashes, place, owner = hashes[mask], place[mask], owner[mask]
         blocks = -(-len(hashes) // octave)
+        longer = joined(hashes, octave, place)
         padded = np.zeros((blocks + 2) * octave, dtype=np.uint64)
-        padded[: len(hashes)] = hashes
+        padded[: len(hashes)] = longer if octave > 1 else joined(longer, 2, place)
         own = padded[: blocks * octave : octave]
         later = padded[octave : octave + blocks * octave].reshape(blocks, octave)
         for b in (np.flatnonzero((later == own[:, None]).any(axis=1)) * octave).tolist():
             doc, boundary = int(owner[b]), int(place[b])
             if boundary < starts[doc] + lengths[doc]:
                 yield octave, doc, max(int(starts[doc]), boundary - octave), boundary
-        longer = pair_hash(hashes[:-octave], hashes[octave:]) if len(hashes) > octave else hashes[:0]
-        hashes = np.concatenate([longer, mix(place[len(longer) :].astype(np.uint64))])
+        hashes = longer
         octave *= 2
 
 
@@ -139,10 +159,12 @@ def _fragments(kind: pa.DataType, rewrite: Rewrite | None):
             starts = np.cumsum(lengths + 1) - lengths - 1
             tiled, found = set(), []
             for octave, doc, begin, boundary in tiles(codes, starts, lengths):
-                tile = codes[begin : min(boundary + 4 * octave, int(starts[doc] + lengths[doc]))].tolist()
-                tiled.add(doc)
+                end = min(boundary + again(octave) + 3 * octave, int(starts[doc] + lengths[doc]))
+                solved = solve_tile(codes[begin:end].tolist(), boundary - begin, octave)
+                if solved:
+                    tiled.add(doc)
                 shift = begin - int(starts[doc])
-                found += [(rows[doc], q, a + shift, b + shift) for q, a, b in solve_tile(tile, boundary - begin, octave)]
+                found += [(rows[doc], q, a + shift, b + shift) for q, a, b in solved]
                 if len(found) >= 50_000:
                     yield table(**dict(zip(("row", "period", "first", "last"), map(list, zip(*found)))))
                     found = []
