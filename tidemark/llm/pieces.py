@@ -145,11 +145,11 @@ def _encode(path: str):
         model = piece_model(path)
         for part in slices(batches):
             ids = [None if t is None else model.encode(t) for t in part.column("text").to_pylist()]
-            model.words.trim()
             columns = {name: part.column(name) for name in part.rows.schema.names}
             columns["ids"] = pa.array(ids, pa.binary())
             columns["n_pieces"] = pa.array([len(x or b"") // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
+        model.words.clear()  # workers are used again for other things
 
     return encode
 

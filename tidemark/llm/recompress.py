@@ -27,7 +27,7 @@ from tidemark.llm.texts import documents, forget, kept, mix, pair_hash, row_key,
 
 WIDTH = 20
 #: Rounds that name pairs, after the one that names runs.
-PAIR_ROUNDS = 4
+PAIR_ROUNDS = 3
 #: A symbol of so many words is taken as an anchor before any shorter one.
 LONG_SYMBOL = 3
 _BLANK = np.zeros(256, dtype=bool)
@@ -253,14 +253,19 @@ def remove_passages(docs: DataFrame, *, width: int = WIDTH, doc_id="doc_id", tex
     touched = chosen.join(seen, "row_key", "full")
     # The one shuffle of the texts; repeated rows are kept once.
     texts = kept(rows.dropDuplicates(["row_key"]).join(touched, "row_key"), "texts")
+    forget(firsts, later)
 
-    windows = kept(
-        texts.where("chosen IS NOT NULL").select("row_key", "doc_id", "text", "chosen")
-        .mapInArrow(_windows(width), f"one long, two long, doc_id {name}, row_key long, low int"),
-        "windows",
-    )
+    # Windows are made twice, which is cheaper than to write them: first to see which can occur again.
+    every = texts.where("chosen IS NOT NULL").select("row_key", "doc_id", "text", "chosen").mapInArrow(
+        _windows(width), f"one long, two long, doc_id {name}, row_key long, low int"
+    )
+    often = kept(every.groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"), "often")
+    windows = kept(every.join(often, "one"), "windows")
+    forget(often)
     earliest = windows.groupBy("one", "two").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n")
     single = windows.join(earliest, ["one", "two"]).where(~place.eqNullSafe(F.col("at")))
+    single = kept(single.select("row_key", "low"), "single")
+    forget(windows)
     more = single.groupBy("row_key").agg(F.collect_list(F.struct("low", F.lit(0).alias("span"))).alias("more"))
     none = F.expr("CAST(array() AS array<struct<low:int,span:int>>)")
     covered = texts.select("row_key", "doc_id", "text", "spans").join(more, "row_key", "left").select(

@@ -98,12 +98,25 @@ def unpacked(found: DataFrame, columns: list[str], *, text: str = "text", **chan
     ])
 
 
+#: Removes the files of its shuffles when a step has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Written to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    What was shuffled for it is removed once it is written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     schema = StructType.fromJson(df.schema.jsonValue())
-    table = df.sparkSession.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
     table.kept_path = path
     return table
 
@@ -176,19 +189,25 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 class Memo(dict):
-    """Results by word. It is emptied between slices when it holds ``limit`` words."""
+    """Results by word. It is emptied when it comes to hold about ``limit`` bytes, entries included."""
 
-    def __init__(self, compute, limit: int = 1_500_000):
+    ENTRY = 200  # bytes of an entry beside its word and result
+
+    def __init__(self, compute, limit: int = 48 << 20):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.held = compute, limit, 0
 
     def __missing__(self, key):
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        self.held += self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if self.held > self.limit:
+            self.clear()
+        self[key] = value
         return value
 
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
 
 
 def segments(lengths: np.ndarray) -> np.ndarray:

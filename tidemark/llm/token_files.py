@@ -8,6 +8,7 @@ counting and occurrence lookup are answered without unpacking the text.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -28,6 +29,7 @@ SHARD_SCHEMA = (
     " doc_ids array<long>, doc_tokens array<long>"
 )
 
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 #: ASCII marks that may be cut off the end of a word before it is encoded.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -42,14 +44,18 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
         row, zeros, planes, ranks = ids, [], [], []
         for level in range(width - 1, -1, -1):
-            bit = (row >> level) & 1 != 0
+            bit = row & ids.dtype.type(1 << level) != 0
             packed = np.packbits(bit, bitorder="little")
-            ones = np.concatenate([[0], np.cumsum(np.add.reduceat(bit, np.arange(0, len(bit), SUPER), dtype=np.int64))])
+            whole = np.zeros(-(-len(packed) // (SUPER // 8)) * (SUPER // 8), dtype=np.uint8)
+            whole[: len(packed)] = packed
+            ones = np.cumsum(np.bitwise_count(whole).reshape(-1, SUPER // 8).sum(axis=1, dtype=np.int64))
             planes.append(packed)
-            ranks.append(ones[:-1].astype(np.uint32) if len(bit) else np.zeros(0, np.uint32))
-            low = row[~bit]
-            zeros.append(len(low))
-            row = np.concatenate([low, row[bit]])
+            ranks.append(np.concatenate([[0], ones[:-1]])[: len(ones)].astype(np.uint32))
+            zeros.append(len(row) - int(ones[-1]) if len(ones) else 0)
+            parted = np.empty_like(row)
+            parted[: zeros[-1]] = row[~bit]
+            parted[zeros[-1] :] = row[bit]
+            row = parted
         return cls(len(ids), zeros, planes, ranks)
 
     def _rank1(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -131,19 +137,24 @@ class WaveletMatrix:
 class WordCoder:
     """Ids of texts by a tokenizer that drops white space and never joins across it.
 
-    Texts are cut at plain spaces and each distinct word is encoded once. A word that ends in ASCII marks
-    after a letter or digit is encoded in two parts, as the tokenizer's own pattern ends a
-    match there.
+    Texts are cut at spaces and line feeds and a distinct word is encoded once while it is remembered. A word that ends
+    in ASCII marks after a letter or digit is encoded in two parts, as the tokenizer's own pattern ends a
+    match there. A part of small Latin letters is one match that normalising leaves alone, so it goes to the model.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spelled(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.words, self.parts = Memo(self._word), Memo(self._part)
         self.top = self.tokenizer.get_vocab_size(with_added_tokens=True) - 1
 
     def _part(self, part: str) -> bytes:
+        if _LETTERS.fullmatch(part):
+            return np.array([t.id for t in self.model.tokenize(part.translate(self.spelling))], dtype="<u4").tobytes()
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
@@ -157,11 +168,11 @@ class WordCoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        return b"".join(map(self.words.__getitem__, text.split(" "))) if text else b""
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
-    def trim(self) -> None:
-        self.words.trim()
-        self.parts.trim()
+    def clear(self) -> None:
+        self.words.clear()
+        self.parts.clear()
 
 
 @lru_cache(maxsize=2)
@@ -198,9 +209,9 @@ def _encode(path: str, end_id: int, block_tokens: int):
                 ids.append(own)
                 doc_ids.append(doc_id)
                 size += len(own)
-            coder.trim()
         if ids:
             yield _block(part, number, width, ids, doc_ids)
+        coder.clear()  # workers are used again for other things
 
     return encode
 

@@ -111,10 +111,10 @@ def _count(path: str):
                 found = text.lower().split() if text else []
                 n_words.append(len(found))
                 pieces.append(sum(map(counts.__getitem__, found)))
-            counts.trim()
             columns = {name: part.column(name) for name in part.rows.schema.names if name != "text"}
             columns |= {"n_words": pa.array(n_words, pa.int64()), "n_tokens": pa.array(pieces, pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
+        counts.clear()  # workers are used again for other things
 
     return count
 
