@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import kept
+from tidemark.llm.texts import forget, kept
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,6 +24,8 @@ def components(links: DataFrame) -> DataFrame:
             labels.join(near, labels.id == near.a).join(jump, "label")
             .select("id", F.least("label", "near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("changed"))
         )
-        labels = kept(moved, "labels")
+        before, labels = labels, kept(moved, "labels")
+        forget(before)
         if labels.where("changed").isEmpty():
+            forget(both)
             return labels.select("id", "label")

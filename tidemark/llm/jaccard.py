@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graphs import components
-from tidemark.llm.texts import Slice, documents, kept, lower_ascii, pair_hash, row_key, segments, slices, word_hashes, words
+from tidemark.llm.texts import Slice, documents, forget, kept, lower_ascii, packed, pair_hash, row_key, segments, slices, unpacked, word_hashes, words
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
@@ -130,24 +130,55 @@ def _documents(size: int, percent: int, levels: np.ndarray):
     return sets
 
 
-def _whole_sets(size: int, groups: int):
-    """The whole set of each chosen document, and the counts of its n-grams by group."""
+def _points(size: int, groups: int):
+    """Size of the set of each document, and the counts of its n-grams by group."""
 
-    def sets(batches):
+    def points(batches):
         for part in slices(batches):
             owner, value = shingle_sets(part, size)
             n = np.bincount(owner, minlength=len(part.starts))
-            end = np.cumsum(n)
             group = (value % np.uint64(groups)).astype(np.int64)
-            points = np.bincount(owner * groups + group, minlength=len(n) * groups).astype("<u4").reshape(-1, groups)
+            counts = np.bincount(owner * groups + group, minlength=len(n) * groups).astype("<u4").reshape(-1, groups)
+            yield pa.RecordBatch.from_pydict({
+                "h": part.column("h"), "n": pa.array(n, pa.int64()), "point": pa.array([p.tobytes() for p in counts], pa.binary()),
+            })
+
+    return points
+
+
+def _members(size: int):
+    """The whole set of each document."""
+
+    def members(batches):
+        for part in slices(batches):
+            owner, value = shingle_sets(part, size)
+            n = np.bincount(owner, minlength=len(part.starts))
+            end = np.cumsum(n)
             raw = value.tobytes()
             yield pa.RecordBatch.from_pydict({
-                "h": part.column("h"), "n": pa.array(n, pa.int64()),
+                "h": part.column("h"),
                 "members": pa.array([raw[8 * (e - k) : 8 * e] for e, k in zip(end.tolist(), n.tolist())], pa.binary()),
-                "point": pa.array([p.tobytes() for p in points], pa.binary()),
             })
 
-    return sets
+    return members
+
+
+def _possible(percent: int, groups: int):
+    """Pairs whose counts by group leave room for the overlap their sizes need."""
+
+    def possible(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                rows = batch.slice(at, 4096)
+                one, two = (
+                    np.frombuffer(b"".join(rows.column(rows.schema.get_field_index(f"point_{x}")).to_pylist()), dtype="<u4").reshape(-1, groups)
+                    for x in "ab"
+                )
+                n_one, n_two = (rows.column(rows.schema.get_field_index(f"n_{x}")).to_numpy() for x in "ab")
+                good = np.minimum(one, two).sum(axis=1, dtype=np.int64) >= needed_overlap(n_one, n_two, percent)
+                yield rows.select(["a", "b"]).filter(pa.array(good))
+
+    return possible
 
 
 def needed_overlap(one, two, percent: int = SIMILARITY):
@@ -182,8 +213,8 @@ def _verify(percent: int):
     return verify
 
 
-def verified_links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets are similar.
+def verified_links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose sets are similar; ``texts`` has a text of each class (h, text).
 
     Pairs that hang together are a family, whose classes are cut into blocks of bounded size. A piece of work
     is two blocks with a pair between them; it gets each set of the two once, however many pairs there are.
@@ -201,13 +232,16 @@ def verified_links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFram
     )
     work = asked.select("family", "low", "high").distinct()
     sides = work.select("*", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-    sets = sides.join(placed, ["family", "block"]).join(whole.select("h", "members"), "h")
+    whole = texts.join(placed.select("h"), "h").select("text", "h").mapInArrow(_members(size), "h long, members binary")
+    sets = sides.join(placed, ["family", "block"]).join(whole, "h")
     none = F.lit(None)
     rows = sets.select("family", "low", "high", F.col("h").alias("a"), none.cast("long").alias("b"), "members").unionByName(
         asked.withColumn("members", none.cast("binary"))
     )
     rows = rows.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", F.col("b").isNotNull())
-    return kept(rows.mapInArrow(_verify(percent), "a long, b long"), "verified")
+    found = kept(rows.mapInArrow(_verify(percent), "a long, b long"), "verified")
+    forget(placed, asked)
+    return found
 
 
 class CountTree:
@@ -311,57 +345,64 @@ def similar_documents(
         entries.groupBy("token").agg(F.min("h").alias("first"), F.max("h").alias("b")).where("first <> b").select("token", "first"), "buckets"
     )
     shared = kept(entries.join(buckets, "token").groupBy("token", "h").agg(F.min("first").alias("first")), "shared")
+    sizes = kept(found.select("doc_id", "n", "h"), "sizes")
+    forget(found, buckets)
     involved = classes.join(shared.select("h").distinct(), "h").select("row_key", "h")
-    whole = kept(
-        keyed.select("row_key", "text").join(involved, "row_key").dropDuplicates(["h"]).select("text", "h")
-        .mapInArrow(_whole_sets(size, groups), "h long, n long, members binary, point binary"),
-        "members",
-    )
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        one, two = (whole.select(F.col("h").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    # The one shuffle of all texts; rows that repeat are side by side then.
+    texts = kept(keyed.select("row_key", "text").join(involved, "row_key").dropDuplicates(["row_key"]).select("text", "h"), "texts")
+    points = kept(texts.mapInArrow(_points(size, groups), "h long, n long, point binary"), "points")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        one, two = (points.select(F.col("h").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
         close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-        sized = pairs.join(one, "a").join(two, "b").where(close).select("a", "b")
-        return verified_links(kept(sized, "close"), whole, percent)
+        sized = pairs.join(one, "a").join(two, "b").where(close)
+        for x in "ab":
+            sized = sized.join(points.select(F.col("h").alias(x), F.col("point").alias(f"point_{x}")), x)
+        return kept(sized.mapInArrow(_possible(percent, groups), "a long, b long"), "close")
 
     # The firsts with which a class shares most n-grams: enough to join most near copies.
     firsts = shared.where("first <> h").groupBy(F.col("first").alias("a"), F.col("h").alias("b")).agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
     tried = kept(firsts.withColumn("place", place).where("place <= 3").select("a", "b"), "tried")
-    links = verified(tried)
+    links = verified_links(possible(tried), texts, size, percent)
     labels = components(links)
 
     labelled = shared.select("token", "h").join(labels.withColumnRenamed("id", "h"), "h", "left")
     labelled = kept(labelled.select("token", "h", F.coalesce("label", "h").alias("label")), "labelled")
+    forget(shared)
     open_ = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).where("x <> y")
     blocks = F.ceil(F.col("rows") / block_rows).cast("int")
     left = labelled.join(open_.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
     work = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", "h", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
-    points = work.join(whole.select("h", "n", "point"), "h").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    maybe = points.mapInArrow(_search(percent, groups), "a long, b long").distinct()
+    searched = work.join(points, "h").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    maybe = searched.mapInArrow(_search(percent, groups), "a long, b long").distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(kept(maybe.join(done, ["a", "b"], "left_anti"), "maybe"))
+    untried = kept(maybe.join(done, ["a", "b"], "left_anti"), "maybe")
+    forget(labelled)
+    more = verified_links(untried, texts, size, percent)
+    forget(texts, points, untried)
     final = components(links.union(more))
 
     named = classes.join(final.withColumnRenamed("id", "h"), "h", "left").select("h", "least", F.coalesce("label", "h").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "label").select("h", "component_id")
-    joined = found.select("doc_id", "n", "h").join(by_class, "h", "left")
+    joined = sizes.join(by_class, "h", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, *, text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without those similar to one of smaller doc_id, by links; all columns as they were.
 
-    Rows that repeat a doc_id are one document: one of them stays. Those without a doc_id stay.
+    Rows that repeat a doc_id are one document: one of them stays. Those without a doc_id stay. Columns may have any names.
     """
-    found = similar_documents(docs, text=text)
+    found = similar_documents(docs, doc_id=doc_id, text=text)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text)))
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    rows = packed(docs, doc_id=doc_id, text=text)
+    rest = rows.join(gone, "doc_id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     single = rest.join(again, "doc_id", "left_anti")
-    double = rest.join(again, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
-    return single.unionByName(double).select(*docs.columns)
+    double = rest.join(again, "doc_id", "left_semi").withColumn("place", place).where("place = 1").drop("place")
+    return unpacked(single.unionByName(double), docs.columns, text=text)
