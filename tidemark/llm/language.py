@@ -177,7 +177,11 @@ def train(docs: DataFrame, *, training: Column, doc_id="doc_id", text="text", la
     seen[list(found)] = list(found.values())
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
 
-    sample = rows.join(limits, "lang").where("key <= _most").select("text", "lang", "key")
+    # A limit for each language, put into the scan: nothing is shuffled to draw the sample.
+    within = F.lit(False)
+    for r in limits.collect():
+        within = within | ((F.col("lang") == r["lang"]) & (F.col("key") <= r["_most"]))
+    sample = rows.where(within).select("text", "lang", "key")
     drawn = sample.mapInArrow(_features, "lang string, key long, index array<int>, value array<float>")
     # Rows that repeat a doc_id share its hash: the limit holds for them too.
     again = F.row_number().over(Window.partitionBy("lang").orderBy("key", "index", "value"))
