@@ -321,3 +321,123 @@ def test_empty_store(spark, tmp_path):
     assert migrate(store, NOW, 7, delete_after=True) == 0
     apply_retention(store, NOW, {}, 20)
     assert shown(store) == []
+
+
+# --- the ledger of files
+
+
+def keyless(spark, ts, index="t1"):
+    return spark.sql(f"SELECT CAST(NULL AS INT) AS event_id, TIMESTAMP_NTZ'{ts}' AS ts, '{index}' AS index")
+
+
+def opened_files(store, monkeypatch, run):
+    """Files whose rows the late pass asked for during ``run``."""
+    import tidemark.plans.migrate as job
+
+    asked, real = [], job.late_rows_of_new_files
+
+    def watched(made, pending):
+        asked.extend(pending.collect())
+        return real(made, pending)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(job, "late_rows_of_new_files", watched)
+        run()
+    return asked
+
+
+def test_rows_without_a_key_are_copied_once(spark, store):
+    migrate(store, NOW, 7)
+    store.append_hot(keyless(spark, "2026-01-03 00:00:00").union(keyless(spark, "2026-01-03 00:00:00")))
+    for hour in range(3):
+        migrate(store, NOW + timedelta(hours=hour), 7)
+        assert store.cold().where("event_id IS NULL").count() == 2
+        seen = tiers.union_exact(store.hot(), store.cold(), store.marks())
+        assert seen.where("event_id IS NULL").count() == 2
+
+
+def test_a_run_without_new_files_reads_nothing_behind_the_marks(spark, store, monkeypatch):
+    migrate(store, NOW, 7)
+    assert opened_files(store, monkeypatch, lambda: migrate(store, NOW + timedelta(hours=1), 7)) == []
+    store.append_hot(added(spark, 950, "2026-01-02 00:00:00"))
+    (entry,) = opened_files(store, monkeypatch, lambda: migrate(store, NOW + timedelta(hours=2), 7))
+    assert entry["file"].startswith("index=t1/") and entry["late_before"] == NOW - timedelta(days=7) + timedelta(hours=1)
+    assert opened_files(store, monkeypatch, lambda: migrate(store, NOW + timedelta(hours=3), 7)) == []
+    assert shown(store) == [*range(ALL), 950]
+
+
+def test_late_rows_left_for_a_later_run(spark, store):
+    migrate(store, NOW, 7)
+    store.append_hot(added(spark, 951, "2026-01-02 00:00:00"))
+    migrate(store, NOW, 7, late=False, delete_after=True)
+    assert 951 in ids(store.hot()) and 951 not in ids(store.cold())
+    migrate(store, NOW + timedelta(hours=1), 7, delete_after=True)
+    assert 951 not in ids(store.hot()) and shown(store) == [*range(ALL), 951]
+
+
+@pytest.mark.parametrize("table", ["hot_files", "run_metrics"])
+def test_late_batch_lost_before_it_was_recorded(spark, store, monkeypatch, table):
+    import tidemark.plans.migrate as job
+
+    migrate(store, NOW, 7)
+    store.append_hot(added(spark, 952, "2026-01-02 00:00:00").union(keyless(spark, "2026-01-03 00:00:00", "t2")))
+    put = job.put_state
+
+    def lost(rows, root, name):
+        if name == table and "late" in "".join(f"{r}" for r in store.cold().select("batch").distinct().collect()):
+            raise RuntimeError("driver lost")
+        put(rows, root, name)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(job, "put_state", lost)
+        with pytest.raises(MigrationError):
+            migrate(store, NOW, 7)
+    migrate(store, NOW + timedelta(hours=1), 7)
+    assert [i for i in ids(store.cold().where("event_id IS NOT NULL")) if i >= ALL] == [952]
+    assert store.cold().where("event_id IS NULL").count() == 1
+    late = get_state(spark, store.root, "run_metrics").where("metric_id LIKE '%-late'")
+    assert {(r["index"], r.documents_migrated) for r in late.collect()} == {("t1", 1), ("t2", 1)}
+
+
+def test_file_that_came_while_a_run_was_half_done(spark, store, monkeypatch):
+    """Slices done before the file came lack its rows: it takes no part in the rest and is late as a whole."""
+    import tidemark.plans.migrate as job
+
+    counts = job.copied_counts
+
+    def half(made, windows):
+        return counts(made, windows).where("slice = 0")
+
+    put = job.put_state
+
+    def no_marks(rows, root, name):
+        if name == "watermark":
+            raise RuntimeError("driver lost")
+        put(rows, root, name)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(job, "copied_counts", half)
+        patch.setattr(job, "put_state", no_marks)
+        with pytest.raises(MigrationError):
+            migrate(store, NOW, 7, slices=2)
+    more = [added(spark, i, "2026-01-04 00:00:00") for i in range(1000, 1008)]
+    for rows in more:
+        store.append_hot(rows)
+    migrate(store, NOW + timedelta(hours=5), 7, slices=2)
+    assert shown(store) == [*range(ALL), *range(1000, 1008)]
+    assert [i for i in ids(store.cold()) if i >= ALL] == list(range(1000, 1008))
+    migrate(store, NOW + timedelta(hours=6), 7, delete_after=True)
+    assert shown(store) == [*range(ALL), *range(1000, 1008)]
+
+
+def test_store_from_before_the_ledger(spark, store):
+    from tidemark.sources.files import remove
+
+    migrate(store, NOW, 7)
+    store.append_hot(added(spark, 953, "2026-01-02 00:00:00").union(keyless(spark, "2026-01-03 00:00:00")))
+    remove(spark, f"{store.root}/state/hot_files")
+    for hour in range(1, 3):
+        migrate(store, NOW + timedelta(hours=hour), 7, delete_after=hour == 2)
+        assert [i for i in ids(store.cold().where("event_id IS NOT NULL")) if i >= ALL] == [953]
+        assert store.cold().where("event_id IS NULL").count() == 1
+    assert store.cold().where("event_id < 240").count() == len(ids(store.cold().where("event_id < 240").distinct()))

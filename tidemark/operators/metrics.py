@@ -15,15 +15,16 @@ def docs_per_sec(documents: Column, duration_sec: Column) -> Column:
     return F.when(duration_sec > 0, documents / duration_sec).otherwise(F.lit(0.0))
 
 
-def run_metrics(runs: DataFrame) -> DataFrame:
+def run_metrics(runs: DataFrame, suffix: str = "") -> DataFrame:
     """Metric rows from ``(index, started_at, completed_at, documents_migrated, workers, batch_size, error, cutoff_time)``.
 
-    The id is made of the table and the start second, so recording a run again replaces it.
+    The id is made of the table and the start second, so recording a run again replaces it; ``suffix`` sets apart what else
+    is recorded of the same second.
     """
     micros = micros_of(F.col("completed_at")) - micros_of(F.col("started_at"))
     start_second = F.floor(micros_of(F.col("started_at")) / 1_000_000)
     return runs.withColumn("duration_sec", micros / F.lit(1_000_000.0)).select(
-        F.concat(F.lit("metric-"), "index", F.lit("-"), start_second.cast("string")).alias("metric_id"),
+        F.concat(F.lit("metric-"), "index", F.lit("-"), start_second.cast("string"), F.lit(suffix)).alias("metric_id"),
         F.col("completed_at").alias("event_ts"),
         "index",
         "started_at",

@@ -5,6 +5,11 @@ of windows and written straight to cold, without a shuffle. Every slice of a run
 its own partition of cold and is overwritten as a whole, so copying it again after a
 lost driver changes nothing. Progress is recorded only after the write committed.
 
+Which files of hot a run has seen is kept in a ledger (state ``hot_files``). A file that comes in behind the mark of
+its table cannot be part of an earlier run's window; its rows before that mark are late, and are the only ones looked for:
+a run without new files reads nothing behind the marks. Each late batch has its name from the run that first
+saw its files, so copying it again after a crash replaces it.
+
 With ``waves`` above one the tables are copied in that many jobs, each over its own
 tables; what earlier waves recorded is not copied again when a later one fails.
 """
@@ -20,18 +25,23 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import ripe_name, select_names
-from tidemark.functions.times import ts_literal
+from tidemark.functions.times import ts_literal, whole_second
 from tidemark.operators import metrics as run_reports
 from tidemark.operators.retention import is_kept
 from tidemark.operators.windows import PURGE_MARGIN, plan_windows, purge_flags, migration_rows, slice_of
 from tidemark.plans.store import COLD_PARTITIONS, HOT_PARTITIONS, TierStore
-from tidemark.sources.files import finish_rewrite, overwrite_partitions, rewrite_keeping, settled
+from tidemark.sources.files import (
+    decoded_path, file_name, finish_rewrite, overwrite_partitions, rewrite_keeping, settled, table_files,
+)
 from tidemark.sources.state import get_state, open_slices, put_state
 
 # Up to this many names are put into a scan as literals; with more the scan is just less narrow.
 MAX_LISTED_NAMES = 1000
 
 
+# In the name of a late batch: cold may hold some of its rows already.
+UNSURE = "unsure"
+
 log = logging.getLogger("tidemark.migrate")
 
 
@@ -57,8 +67,43 @@ def pending_windows(
     return settled(plan_windows(catalog, marks, unfinished, now, migrate_after_days, slices), "windows")
 
 
-def rows_to_scan(store: TierStore, windows: DataFrame) -> DataFrame:
-    """Hot rows that can lie in any of the windows.
+def open_files(store: TierStore, hot: DataFrame, windows: DataFrame, patterns: Sequence[str], at: datetime) -> None:
+    """Enter the files of ``hot`` that no run has seen into the ledger.
+
+    Rows of such a file before ``late_before`` are not in any window it takes part in: that is the mark of its table, or
+    the cutoff of a run that is being resumed, some of whose slices were done without the file. Tables that were migrated
+    before there was a ledger have no entry yet: their files were part of any run, and may hold late rows or not.
+    """
+    index = F.regexp_replace("folder", "^index=", "")
+    ledger = settled(get_state(store.spark, store.root, "hot_files").select("file", "index"), "ledger")
+    tables = settled(ledger.select("index").distinct().withColumn("_kept", F.lit(True)), "tables")
+    new = table_files(hot).select("file", index.alias("index")).where(select_names(F.col("index"), patterns, hide_system=True))
+    resumed = windows.where(F.size("pending") < F.col("slice_max")).select("index", F.col("cutoff").alias("_resumed"))
+    marks = store.marks().select("index", F.col("migrated_before").alias("_mark"))
+    late_before = F.coalesce(F.when(F.col("_kept"), F.col("_resumed")), F.col("_mark"))
+    batch = F.concat(F.lit("late"), F.when(F.col("_kept"), F.lit("")).otherwise(F.lit(UNSURE)), F.lit(uuid.uuid4().hex))
+    entries = (
+        new.join(ledger.select("file"), "file", "left_anti").join(tables, "index", "left")
+        .join(resumed, "index", "left").join(marks, "index", "left")
+        .select(
+            "file", "index", late_before.alias("late_before"), batch.alias("batch"),
+            late_before.isNull().alias("done"), ts_literal(at).alias("updated_at"),
+        )
+    )
+    put_state(settled(entries, "files"), store.root, "hot_files")
+
+
+def _known(files: DataFrame, at: datetime) -> DataFrame:
+    """Ledger entries of files without late rows."""
+    none = F.lit(None)
+    return files.select(
+        "file", "index", none.cast("timestamp_ntz").alias("late_before"), none.cast("string").alias("batch"),
+        F.lit(True).alias("done"), ts_literal(at).alias("updated_at"),
+    )
+
+
+def rows_to_scan(store: TierStore, hot: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows of ``hot`` that can lie in any of the windows.
 
     Restates what the windows have in common as literals, so that it reaches the files:
     nothing at or after the latest cutoff, nothing before the earliest mark but for
@@ -67,8 +112,14 @@ def rows_to_scan(store: TierStore, windows: DataFrame) -> DataFrame:
     ts, limit = F.col(store.ts), MAX_LISTED_NAMES
     ends = windows.agg(F.min("window_from").alias("start"), F.max("cutoff").alias("end")).first()
     if ends["end"] is None:
-        return store.hot().where(F.lit(False))
-    rows = store.hot().where(ts < ts_literal(ends["end"]))
+        return hot.where(F.lit(False))
+    rows = hot.where(ts < ts_literal(ends["end"]))
+    left_out = get_state(store.spark, store.root, "hot_files").where("NOT done").join(windows, "index").where(
+        (F.col("late_before") == F.col("cutoff")) & (F.size("pending") < F.col("slice_max"))
+    ).select("file")
+    left_out = settled(left_out, "left-out")
+    if not left_out.isEmpty():  # files that came in while a run was half done; it is finished without them
+        rows = rows.withColumn("file", file_name(F.col("_metadata.file_path"))).join(left_out, "file", "left_anti").drop("file")
     if ends["start"] is not None:
         unmarked = [r["index"] for r in windows.where("window_from IS NULL").select("index").limit(limit + 1).collect()]
         if len(unmarked) <= limit:
@@ -76,13 +127,13 @@ def rows_to_scan(store: TierStore, windows: DataFrame) -> DataFrame:
     return rows
 
 
-def slice_rows(store: TierStore, windows: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def slice_rows(store: TierStore, hot: DataFrame, windows: DataFrame, slice_by: Column | None = None) -> DataFrame:
     """Rows to copy, with the cold partition they go to."""
     slice_number = slice_of(F.col(store.key), F.col("slice_max")) if slice_by is None else F.pmod(
         slice_by, F.col("slice_max")
     ).cast("int")
     return (
-        migration_rows(rows_to_scan(store, windows), windows, store.ts)
+        migration_rows(rows_to_scan(store, hot, windows), windows, store.ts)
         .withColumn("slice", slice_number)
         .where(F.array_contains("pending", F.col("slice")))
         .withColumn("batch", batch_name(F.col("cutoff")))
@@ -136,15 +187,17 @@ def migrate(
 ) -> int:
     """Run one migration over all selected tables; returns the rows copied.
 
-    Order: open the run, copy, record slices, move the marks, write metrics; then rows that
-    came in behind the marks are copied (unless ``late`` is false), and hot is purged of what
-    cold holds. Readers switch at the marks, so a purge only takes away what they no longer read.
+    Order: open the run, copy, record slices, move the marks, write metrics; then rows of new files
+    behind the marks are copied (unless ``late`` is false; a later run makes up for that), and hot is purged of what
+    cold holds. All of it works on the files hot has when the run opens. Readers switch at the marks, so a purge only takes away what they no longer read.
     ``transform`` is applied to the rows on their way (unwrapping a document, say).
     Tables of a wave that fails keep their state; the error is raised once the other
     waves are through.
     """
     store.prepare()
     windows = pending_windows(store, now, migrate_after_days, patterns, slices)
+    hot = store.hot()
+    open_files(store, hot, windows, patterns, clock())
     fresh = windows.select("index", "cutoff", "slice_max", F.explode("pending").alias("slice")).withColumn(
         "migrated", F.lit(None).cast("bigint")
     )
@@ -155,7 +208,7 @@ def migrate(
         part = windows if waves == 1 else windows.where(F.pmod(F.xxhash64("index"), F.lit(waves)) == wave)
         started = clock()
         try:
-            copied += _copy(store, part, slice_by, transform, clock)
+            copied += _copy(store, hot, part, slice_by, transform, clock)
             put_state(
                 part.select("index", F.col("cutoff").alias("migrated_before"), ts_literal(clock()).alias("updated_at")),
                 store.root,
@@ -168,7 +221,7 @@ def migrate(
     chosen = select_names(F.col("index"), patterns, hide_system=True)
     try:
         if late:
-            copy_late(store, store.hot().where(chosen), f"late{uuid.uuid4().hex}", slices, transform)
+            copy_late(store, chosen, slices, slice_by, transform, clock)
         if delete_after:
             purge(store, clock(), chosen)
     except Exception as error:  # made up for by any later run
@@ -178,8 +231,8 @@ def migrate(
     return copied
 
 
-def _copy(store, windows, slice_by, transform, clock) -> int:
-    rows = slice_rows(store, windows, slice_by)
+def _copy(store, hot, windows, slice_by, transform, clock) -> int:
+    rows = slice_rows(store, hot, windows, slice_by)
     if transform is not None:
         rows = transform(rows).select(*store.cold_schema.fieldNames())
     progress, started = Observation(), clock()
@@ -195,8 +248,8 @@ def purge(store: TierStore, at: datetime, chosen: Column | None = None) -> None:
     """Drop from hot the rows up to one hour before the mark that cold holds.
 
     Planned from the marks of copy and purge alone, so the hour left standing goes with a later
-    run and a purge that failed is made up for. A row is dropped only if its key is in cold, so
-    one that came in behind the mark stays until it has been copied.
+    run and a purge that failed is made up for. Only files whose late rows have been copied are looked at, and all that
+    such a file has before the mark is in cold, so no row is compared with another.
     """
     purged = get_state(store.spark, store.root, "purge_mark").select("index", F.col("purged_before").alias("window_from"))
     marks = store.marks().select("index", F.col("migrated_before").alias("cutoff"))
@@ -212,15 +265,18 @@ def purge(store: TierStore, at: datetime, chosen: Column | None = None) -> None:
         return
     # Rows that came in late lie before the last purge's mark: they go too, once they are copied.
     everything = windows.withColumn("window_from", F.lit(None).cast("timestamp_ntz"))
-    held = store.cold().where(F.col(store.ts) < ts_literal(last)).select("index", store.key).distinct()
+    copied = settled(get_state(store.spark, store.root, "hot_files").where("done").select(F.col("file").alias("_name")), "copied")
 
     def flags(rows: DataFrame) -> DataFrame:
-        flagged = purge_flags(rows, everything, store.ts)
-        known = held.withColumn("_held", F.lit(True))
-        keep = F.coalesce(F.col("_keep"), F.lit(True)) | F.col("_held").isNull()
-        return flagged.join(known, ["index", store.key], "left").withColumn("_keep", keep).drop("_held")
+        known = rows.withColumn("_name", file_name(F.col("_file"))).join(copied, "_name", "left_semi").drop("_name")
+        return purge_flags(known, everything, store.ts).withColumn("_keep", F.coalesce(F.col("_keep"), F.lit(True)))
+
+    def staged(files: DataFrame) -> None:
+        """What is left of a file that was copied is copied too."""
+        files = files.select("file", F.regexp_replace("folder", "^index=", "").alias("index"))
+        put_state(_known(files, at), store.root, "hot_files")
 
-    rewrite_keeping(store.spark, store.hot_path, store.hot_schema, HOT_PARTITIONS, flags, store.purge_staging)
+    rewrite_keeping(store.spark, store.hot_path, store.hot_schema, HOT_PARTITIONS, flags, store.purge_staging, staged)
     put_state(
         windows.select("index", (F.col("cutoff") - margin).alias("purged_before"), ts_literal(at).alias("updated_at")),
         store.root,
@@ -244,50 +300,71 @@ def record_runs(
     runs = (
         windows.select("index", F.col("cutoff").alias("cutoff_time"))
         .join(counts, ["index", "cutoff_time"], "left")
-        .select(
-            "index",
-            ts_literal(started).alias("started_at"),
-            ts_literal(completed).alias("completed_at"),
-            F.coalesce("documents_migrated", F.lit(0)).alias("documents_migrated"),
-            F.lit(workers).alias("workers"),
-            F.lit(int(store.spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))).alias("batch_size"),
-            F.lit(error).cast("string").alias("error"),
-            "cutoff_time",
-        )
     )
+    runs = _timed(store, runs, started, completed, workers, error)
     put_state(run_reports.run_metrics(runs), store.root, "run_metrics")
 
 
+def late_rows_of_new_files(store: TierStore, pending: DataFrame) -> DataFrame:
+    """Rows of the pending files (file, late_before, batch) before ``late_before``; no other file is opened."""
+    names = [r["file"] for r in pending.select("file").toLocalIterator()]
+    paths = [decoded_path(store.spark, f"{store.hot_path}/", name) for name in names]
+    rows = store.spark.read.schema(store.hot_schema).option("basePath", store.hot_path).parquet(*paths)
+    named = rows.withColumn("file", file_name(F.col("_metadata.file_path")))
+    return named.join(pending, "file").where(F.col(store.ts) < whole_second(F.col("late_before"))).drop("file", "late_before")
+
+
 def copy_late(
-    store: TierStore, arrived: DataFrame, name: str, slices: int = 4, transform: Callable[[DataFrame], DataFrame] | None = None
+    store: TierStore, chosen: Column, slices: int = 4, slice_by: Column | None = None,
+    transform: Callable[[DataFrame], DataFrame] | None = None, clock: Callable[[], datetime] = utc_now,
 ) -> None:
-    """Copy those of the arrived rows that lie behind their mark and are not in cold, as a batch of their own.
+    """Copy the late rows of files that the ledger has as not done, each batch of files under its own name.
 
-    ``arrived`` is what came in since the last call, or the whole of hot to look for all of them.
-    Normally there are none. Cold is read only for the tables and the time span of those there
-    are, and reduced to their keys before anything is compared.
+    A file that is gone meanwhile needs nothing. Copied rows are recorded as runs of their tables.
     """
-    marks = settled(store.marks(), "marks").select("index", "migrated_before")
-    behind = arrived.join(marks, "index").where(F.col(store.ts) < F.col("migrated_before")).drop("migrated_before")
-    behind = settled(behind, "behind")
-    span = behind.agg(F.min(store.ts).alias("first"), F.max(store.ts).alias("last")).first()
-    if span["first"] is None:
+    started = clock()
+    entries = get_state(store.spark, store.root, "hot_files").where(~F.col("done") & chosen)
+    there = table_files(store.hot()).select("file")
+    pending = settled(entries.join(there, "file", "left_semi").select("file", "index", "late_before", "batch"), "pending")
+    if pending.isEmpty():
         return
-    keys = ["index", store.key]
-    held = store.cold().where(
-        (F.col("batch") != name) & F.col(store.ts).between(ts_literal(span["first"]), ts_literal(span["last"]))
-    )
-    names = [r["index"] for r in behind.select("index").distinct().limit(MAX_LISTED_NAMES + 1).collect()]
-    if len(names) <= MAX_LISTED_NAMES:
-        held = held.where(F.col("index").isin(names))
-    held = settled(held.join(behind.select(*keys), keys, "left_semi").select(*keys), "held")
-    late = behind.join(held, keys, "left_anti")
-    rows = late.withColumn("slice", slice_of(F.col(store.key), slices)).withColumn("batch", F.lit(name))
+    by = F.col(store.key) if slice_by is None else slice_by
+    number = slice_of(by, slices) if slice_by is None else F.pmod(slice_by, F.lit(slices)).cast("int")
+    rows = late_rows_of_new_files(store, pending.drop("index")).withColumn("slice", number)
+    unsure = F.col("batch").startswith(f"late{UNSURE}")
+    if not pending.where(unsure).isEmpty():  # once for a store from before the ledger
+        held = store.cold().where(~unsure).select("index", F.col(store.key).alias("_key"), F.col(store.ts).alias("_ts"))
+        same = F.col(store.key).eqNullSafe(F.col("_key")) & (F.col(store.ts) == F.col("_ts"))
+        missing = rows.where(unsure).alias("r").join(
+            held.alias("h"), (F.col("r.index") == F.col("h.index")) & same, "left_anti"
+        )
+        rows = rows.where(~unsure).unionByName(missing)
     if transform is not None:
         rows = transform(rows)
     overwrite_partitions(
         rows.select(*store.cold_schema.fieldNames()), store.cold_path, COLD_PARTITIONS, [F.col(store.ts)]
     )
+    batches = pending.select("batch", "index").distinct()
+    counts = store.cold().where(F.col("batch").startswith("late")).join(batches, ["batch", "index"], "left_semi")
+    runs = counts.groupBy("index").agg(F.count(F.lit(1)).alias("documents_migrated")).join(
+        pending.groupBy("index").agg(F.max("late_before").alias("cutoff_time")), "index"
+    )
+    put_state(run_reports.run_metrics(_timed(store, runs, started, clock(), slices, None), "-late"), store.root, "run_metrics")
+    done = _known(pending.select("file", "index"), clock())
+    put_state(done, store.root, "hot_files")
+
+
+def _timed(store, runs, started, completed, workers, error) -> DataFrame:
+    return runs.select(
+        "index",
+        ts_literal(started).alias("started_at"),
+        ts_literal(completed).alias("completed_at"),
+        F.coalesce("documents_migrated", F.lit(0)).alias("documents_migrated"),
+        F.lit(workers).alias("workers"),
+        F.lit(int(store.spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))).alias("batch_size"),
+        F.lit(error).cast("string").alias("error"),
+        "cutoff_time",
+    )
 
 
 def apply_retention(store: TierStore, now: datetime, rules: Mapping[str, int], default: int) -> None:

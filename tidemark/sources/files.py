@@ -63,6 +63,11 @@ def _decoded(spark: SparkSession, file_path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file_path))
 
 
+def decoded_path(spark: SparkSession, folder: str, name: str) -> str:
+    """Path to read of a file that ``file_name`` named, within the folder of its table."""
+    return folder + spark._jvm.java.net.URI(name.replace(":", "%3A")).getPath()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop_path, fs = _path(spark, path)
     return fs.exists(hadoop_path)
@@ -96,15 +101,28 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
 Flag = Callable[[DataFrame], DataFrame]
 
 
+def file_name(file_path: Column) -> Column:
+    """Folder and name of a file in a table with one partition column, as Spark names it in ``_metadata.file_path``."""
+    return F.regexp_extract(file_path, "([^/]+/[^/]+)$", 1)
+
+
+def table_files(rows: DataFrame) -> DataFrame:
+    """(file, folder) of the files a table was read from; they were listed then, no file is opened."""
+    names = [tuple(name.rsplit("/", 2)[1:]) for name in rows.inputFiles()]
+    return rows.sparkSession.createDataFrame([(f"{a}/{b}", unquote(a)) for a, b in names], "file STRING, folder STRING")
+
+
 def rewrite_keeping(
-    spark: SparkSession, path: str, schema: StructType, partition_by: list[str], flag: Flag, staging: str
+    spark: SparkSession, path: str, schema: StructType, partition_by: list[str], flag: Flag, staging: str,
+    staged: Callable[[DataFrame], None] | None = None,
 ) -> None:
     """Remove rows of a partitioned table.
 
     ``flag`` narrows the table to the partitions to look at and adds a boolean
     ``_keep``. Files that lose every row are deleted; of files that lose some, the
     surviving rows are written to ``staging`` first and the file is replaced by them.
-    Files nobody looked at, such as ones added meanwhile, are left alone.
+    Files nobody looked at, such as ones added meanwhile, are left alone. ``flag`` sees the file of each row as ``_file``;
+    ``staged`` is told the new files (``table_files``) before they become part of the table.
 
     The list of files to replace is written last. From then on the step is finished by
     ``finish_rewrite``, also after a crash; before that it never happened.
@@ -119,8 +137,11 @@ def rewrite_keeping(
     mixed = [_decoded(spark, row["_file"]).toString() for row in replaced.where("_kept > 0").toLocalIterator()]
     if mixed:
         rows = spark.read.schema(schema).option("basePath", path).parquet(*mixed)
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"))
         survivors = flag(rows).where("_keep").select(*schema.fieldNames())
         survivors.write.partitionBy(*partition_by).parquet(f"{staging}/rows")
+        if staged is not None:
+            staged(table_files(spark.read.parquet(f"{staging}/rows")))
     replaced.select("_file").write.parquet(f"{staging}/files")
     finish_rewrite(spark, path, staging)
 

@@ -18,6 +18,9 @@ SLICE_STATE = (
     "index STRING, cutoff_time TIMESTAMP_NTZ, slice_max INT, slice_id INT, "
     "migrated BIGINT, done BOOLEAN, updated_at TIMESTAMP_NTZ"
 )
+HOT_FILES = (
+    "file STRING, index STRING, late_before TIMESTAMP_NTZ, batch STRING, done BOOLEAN, updated_at TIMESTAMP_NTZ"
+)
 RUN_METRICS = (
     "metric_id STRING, event_ts TIMESTAMP_NTZ, index STRING, started_at TIMESTAMP_NTZ, "
     "completed_at TIMESTAMP_NTZ, duration_sec DOUBLE, documents_migrated BIGINT, docs_per_sec DOUBLE, "
@@ -29,14 +32,19 @@ KEYS = {
     "purge_mark": ["index"],
     "slice_state": ["index", "cutoff_time", "slice_max", "slice_id"],
     "run_metrics": ["metric_id"],
+    "hot_files": ["file"],
 }
 SCHEMAS = {
     "watermark": WATERMARK,
     "purge_mark": PURGE_MARK,
     "slice_state": SLICE_STATE,
     "run_metrics": RUN_METRICS,
+    "hot_files": HOT_FILES,
 }
-VERSIONS = {"watermark": "updated_at", "purge_mark": "updated_at", "slice_state": "updated_at", "run_metrics": "event_ts"}
+VERSIONS = {
+    "watermark": "updated_at", "purge_mark": "updated_at", "slice_state": "updated_at", "run_metrics": "event_ts",
+    "hot_files": "updated_at",
+}
 
 
 def newest_by_key(rows: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -1,8 +1,7 @@
 """Migration driven by arrivals: a file stream over hot, one run per trigger.
 
-The stream tells which rows are new. Rows that arrived behind the mark of their
-table would never fall into a window again, so they are copied at once; all other
-rows are copied by the incremental run when they are old enough.
+The stream only tells that files came in; which of them hold rows behind the mark of their table, and need to be
+copied out of turn, the run knows from its own ledger of files.
 """
 
 from __future__ import annotations
@@ -14,9 +13,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from tidemark.plans.migrate import copy_late, migrate
+from tidemark.plans.migrate import migrate
 from tidemark.plans.store import TierStore
 
+log = logging.getLogger("tidemark.copy")
+
 
 def arrivals(store: TierStore) -> DataFrame:
     """Rows of files added to hot."""
@@ -24,16 +25,10 @@ def arrivals(store: TierStore) -> DataFrame:
     return store.spark.readStream.schema(store.hot_schema).parquet(store.hot_path)
 
 
-def copy_batch(store: TierStore, new_rows: DataFrame, name: str, now: datetime, migrate_after_days: int, **options: object) -> None:
-    """One trigger: late rows first, then the regular run.
-
-    A late batch is written under its own name, so a trigger that is repeated after a
-    failure overwrites what it wrote. Rows a regular run already took, because their file
-    was there before the stream listed it, are found by an anti join with cold.
-    """
-    copy_late(store, new_rows, name, int(options.get("slices", 4)), options.get("transform"))
-    # A purge looks through all of hot once more: it must not wait for rows it cannot find in cold.
-    migrate(store, now, migrate_after_days, **{"late": bool(options.get("delete_after")), **options})
+def copy_batch(store: TierStore, new_rows: DataFrame, now: datetime, migrate_after_days: int, **options: object) -> None:
+    """One trigger: a regular run. Repeated after a failure it finishes what the first attempt left."""
+    log.info("%d rows arrived", new_rows.count())  # from the files' footers
+    migrate(store, now, migrate_after_days, **options)
 
 
 def start_copy(
@@ -42,7 +37,7 @@ def start_copy(
     """Process everything that has arrived, then stop; run it again to go on."""
 
     def on_batch(new_rows: DataFrame, batch_id: int) -> None:
-        copy_batch(store, new_rows, f"late{batch_id:012d}", now(), migrate_after_days, **options)
+        copy_batch(store, new_rows, now(), migrate_after_days, **options)
 
     return (
         arrivals(store)
