@@ -76,7 +76,7 @@ def open_files(store: TierStore, hot: DataFrame, windows: DataFrame, patterns: S
     """
     index = F.regexp_replace("folder", "^index=", "")
     ledger = settled(get_state(store.spark, store.root, "hot_files").select("file", "index"), "ledger")
-    tables = settled(ledger.select("index").distinct().withColumn("_kept", F.lit(True)), "tables")
+    tables = ledger.select("index").distinct().withColumn("_kept", F.lit(True))
     new = table_files(hot).select("file", index.alias("index")).where(select_names(F.col("index"), patterns, hide_system=True))
     resumed = windows.where(F.size("pending") < F.col("slice_max")).select("index", F.col("cutoff").alias("_resumed"))
     marks = store.marks().select("index", F.col("migrated_before").alias("_mark"))
@@ -114,11 +114,10 @@ def rows_to_scan(store: TierStore, hot: DataFrame, windows: DataFrame) -> DataFr
     if ends["end"] is None:
         return hot.where(F.lit(False))
     rows = hot.where(ts < ts_literal(ends["end"]))
-    left_out = get_state(store.spark, store.root, "hot_files").where("NOT done").join(windows, "index").where(
-        (F.col("late_before") == F.col("cutoff")) & (F.size("pending") < F.col("slice_max"))
-    ).select("file")
-    left_out = settled(left_out, "left-out")
-    if not left_out.isEmpty():  # files that came in while a run was half done; it is finished without them
+    resumed = windows.where(F.size("pending") < F.col("slice_max")).select("index", F.col("cutoff").alias("late_before"))
+    if not resumed.isEmpty():  # files that came in while a run was half done: it is finished without them
+        unseen = get_state(store.spark, store.root, "hot_files").where("NOT done")
+        left_out = settled(unseen.join(resumed, ["index", "late_before"]).select("file"), "left-out")
         rows = rows.withColumn("file", file_name(F.col("_metadata.file_path"))).join(left_out, "file", "left_anti").drop("file")
     if ends["start"] is not None:
         unmarked = [r["index"] for r in windows.where("window_from IS NULL").select("index").limit(limit + 1).collect()]

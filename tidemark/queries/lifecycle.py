@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +12,11 @@ from tidemark.functions.names import index_date
 from tidemark.functions.times import ts_literal
 from tidemark.operators import indices, retention, tiers, windows
 from tidemark.plans.migrate import apply_retention, migrate
+from tidemark.plans.search import tiered_rows
 from tidemark.plans.store import TierStore
 from tidemark.queries import data
 from tidemark.queries.data import BEHIND_MARK_SQL, EVENTS_SQL, NOW
-from tidemark.sources.files import new_folder, settled
+from tidemark.sources.files import new_folder, remove, settled
 from tidemark.sources.state import open_slices, upsert
 from tidemark.streaming.copy import start_copy
 
@@ -178,7 +179,10 @@ def migrate_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def migrate_and_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tiers after runs that purge, read as one table: nothing lost, nothing twice."""
-    store = _migrated(spark, sf_dir, delete_after=True, waves=2)
+    return _shown_after_purge(_migrated(spark, sf_dir, delete_after=True, waves=2))
+
+
+def _shown_after_purge(store: TierStore) -> DataFrame:
     hot_left = store.hot().groupBy("index").agg(F.count(F.lit(1)).alias("in_hot"))
     shown = tiers.union_exact(store.hot(), store.cold(), store.marks())
     counts = shown.groupBy("index").agg(
@@ -194,6 +198,60 @@ def retention_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.cold().groupBy("index").agg(F.count(F.lit(1)).alias("docs"), F.min("ts").alias("first_ts"))
 
 
+def _is_late():
+    return (F.col("ts") < "2024-01-10") & (F.col("value") < 10)
+
+
+def late_by_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cold after three runs, rows behind the marks coming in before the second; some rows have no key."""
+    rows = _typed_tables(spark, sf_dir).withColumn("event_id", F.when(F.col("value") >= 5, F.col("event_id")))
+    store = _store(spark, rows.where(~_is_late()))
+    for now in (NOW - timedelta(days=7), NOW, NOW + timedelta(hours=1)):
+        migrate(store, now, data.MIGRATE_DAYS, slices=data.SLICES, slice_by=F.col("user_id"))
+        if now < NOW:
+            store.append_hot(rows.where(_is_late()))
+    late = F.col("batch").startswith("late").alias("late")
+    return store.cold().groupBy("index", late).agg(F.count(F.lit(1)).alias("docs"), F.count("event_id").alias("keyed"))
+
+
+def migrate_late_then_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late rows that came in after a purge, copied and purged by the next run."""
+    rows = _typed_tables(spark, sf_dir)
+    store = _store(spark, rows.where(~_is_late()))
+    for now in (NOW - timedelta(days=7), NOW):
+        migrate(store, now, data.MIGRATE_DAYS, slices=data.SLICES, delete_after=True)
+        if now < NOW:
+            store.append_hot(rows.where(_is_late()))
+    migrate(store, NOW, data.MIGRATE_DAYS, slices=data.SLICES, delete_after=True)
+    return _shown_after_purge(store)
+
+
+def migrate_stopped_after_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose driver was lost after the purge, before its mark was written, and the one that followed."""
+    store = _migrated(spark, sf_dir, delete_after=True)
+    remove(spark, f"{store.root}/state/purge_mark")
+    migrate(store, NOW, data.MIGRATE_DAYS, slices=data.SLICES, delete_after=True)
+    return _shown_after_purge(store)
+
+
+RANGES = {
+    "old": (datetime(2024, 1, 10, 6), datetime(2024, 1, 12)),
+    "recent": (datetime(2024, 1, 25), datetime(2024, 1, 26, 18)),
+    "across": (datetime(2024, 1, 23, 12), datetime(2024, 1, 24, 12)),
+}
+
+
+def search_pruned_by_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of three ranges of a migrated store; the first two are read from one tier only."""
+    store = _migrated(spark, sf_dir)
+    found = [
+        tiered_rows(store.hot(), store.cold(), store.marks(), a, b, ["*r*"], tables=store.hot_names())
+        .select(F.lit(name).alias("range"), "event_id", "index", "tier")
+        for name, (a, b) in RANGES.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def streaming_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two arrivals into hot, each followed by a trigger; the second brings late rows."""
     rows = _typed_tables(spark, sf_dir)
@@ -224,6 +282,10 @@ QUERIES = {
     "migrate_and_purge": migrate_and_purge,
     "retention_run": retention_run,
     "streaming_copy": streaming_copy,
+    "late_by_ledger": late_by_ledger,
+    "migrate_late_then_purge": migrate_late_then_purge,
+    "migrate_stopped_after_purge": migrate_stopped_after_purge,
+    "search_pruned_by_marks": search_pruned_by_marks,
 }
 
 _WINDOW_SQL = f"""(SELECT *, CASE WHEN day(ts) % 3 <> 0 THEN TIMESTAMP '2024-01-22 06:30:15.75' END AS window_from,
@@ -272,4 +334,11 @@ ORACLES = {
         ELSE ts >= TIMESTAMP '2024-01-11' END GROUP BY 1""",
     "streaming_copy": f"""SELECT event_id, event_type AS "index", ts, ts < TIMESTAMP '2024-01-10' AND value < 10 AS late
       FROM events WHERE {_CUTOFFS}""",
+    "late_by_ledger": """SELECT event_type AS "index", ts < TIMESTAMP '2024-01-10' AND value < 10 AS late, count(*) AS docs,
+      count(*) FILTER (value >= 5) AS keyed FROM events WHERE ts < TIMESTAMP '2024-01-24 01:00:00' GROUP BY 1, 2""",
+    "search_pruned_by_marks": "SELECT r.name AS \"range\", event_id, event_type AS \"index\", "
+    f"CASE WHEN {_CUTOFFS} THEN 'cold' ELSE 'hot' END AS tier FROM events JOIN (VALUES "
+    + ", ".join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n, (a, b) in RANGES.items())
+    + ") r(name, a, b) ON ts BETWEEN a AND b WHERE event_type LIKE '%r%'",
 }
+ORACLES["migrate_late_then_purge"] = ORACLES["migrate_stopped_after_purge"] = ORACLES["migrate_and_purge"]

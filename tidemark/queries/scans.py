@@ -102,6 +102,10 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.table(spark, sf_dir, "documents").select("lang", hit.alias("hit"), F.to_json(source).alias("document"))
 
 
+#: A document with numbers that no binary type holds, blanks, nested braces and an escaped quote.
+RAW_SOURCE = '{"price":%d.10, "n" : 1e40%d,"id":12345678901234567890123456789%d,"s":"%s \\" } ]", "l":[ {"a":[]} ,null]}'
+
+
 def _fields(documents: DataFrame) -> DataFrame:
     parsed = F.from_json("document", "doc_id BIGINT, lang STRING, source STRING, n_chars BIGINT, text STRING")
     return documents.select(parsed.alias("d")).select(
@@ -113,6 +117,15 @@ def unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fields(_hits(spark, sf_dir).select(unwrap_source(F.col("hit")).alias("document")))
 
 
+def unwrap_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose numbers, blanks and escapes have to come out as they were written, the last of repeated members."""
+    parts = ['{"_id":"x","_source":1, "deep":{"_source":[{}]},"_source" : ', "[SOURCE]", ' ,"z":"}\\","}']
+    rows = data.events(spark, sf_dir).select("event_id", "user_id", "event_type")
+    source = F.format_string(RAW_SOURCE, F.col("user_id"), F.col("event_id"), F.col("event_id"), F.col("event_type"))
+    hit = F.concat(F.lit(parts[0]), source, F.lit(parts[2]))
+    return rows.select("event_id", unwrap_source(hit).alias("source"))
+
+
 def unwrap_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English ones come as hits, French ones as plain documents, the rest as text that is no JSON."""
     mixed = (
@@ -147,6 +160,7 @@ QUERIES = {
     "retention_lookup": retention_lookup,
     "timestamp_field": timestamp_field,
     "unwrap_source": unwrap,
+    "unwrap_source_raw": unwrap_raw,
     "unwrap_source_lenient": unwrap_lenient,
     "document_lines": document_lines,
 }
@@ -183,4 +197,5 @@ ORACLES = {
     "unwrap_source_lenient": """SELECT CASE WHEN lang IN ('en', 'fr') THEN doc_id END AS doc_id,
       CASE WHEN lang NOT IN ('en', 'fr') THEN 'plain ' || lang END AS plain FROM documents""",
     "document_lines": _DOCUMENTS_SQL,
+    "unwrap_source_raw": f"SELECT event_id, printf('{RAW_SOURCE}', user_id, event_id, event_id, event_type) AS source FROM events",
 }
