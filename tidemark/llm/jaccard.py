@@ -7,7 +7,8 @@ so buckets of classes that share such an n-gram are small unless the classes are
 1. In each bucket the classes are compared with its first one; the links found already join most near copies.
 2. In buckets that still hold several components, an R-tree over count vectors finds the pairs of different
    components that can be similar: n-grams are hashed into groups, a set is the point of its counts, and the
-   coordinate-wise minima of two points, or of a point and a box, bound the overlap from above.
+   coordinate-wise minima of two points, or of a point and a box, bound the overlap from above. Large sets have
+   finer groups, by which the pairs that the tree finds are bounded once more.
 3. The pairs that are left are verified on whole sets.
 
 Pairs within a component found before need no test, as only components are asked for. Buckets of
@@ -27,6 +28,8 @@ from tidemark.llm.texts import Slice, documents, forget, kept, lower_ascii, pack
 SHINGLE = 5
 SIMILARITY = 80  # percent
 GROUPS = 128
+#: N-grams in a group on the average, at most; a larger set has finer groups.
+PER_GROUP = 4
 LEAF = 16
 #: Classes of a bucket that are searched together.
 BLOCK_ROWS = 1024
@@ -130,6 +133,37 @@ def _documents(size: int, percent: int, levels: np.ndarray):
     return sets
 
 
+def fine_groups(n: np.ndarray, groups: int) -> np.ndarray:
+    """Groups of a set: ``groups`` times a power of two, so that few n-grams fall into one on the average.
+
+    With many in one, sets that share nothing have like counts.
+    """
+    doublings = np.ceil(np.log2(np.maximum(n, 1) / (PER_GROUP * groups)))
+    return groups << np.maximum(doublings, 0).astype(np.int64)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """Counts by fewer groups; both numbers are powers of two apart."""
+    return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0, dtype=point.dtype)
+
+
+def overlap_bounds(points: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Bounds of the overlap of pairs of sets, by the groups that the coarser one has."""
+    own = np.array([len(p) for p in points])
+    shared = np.minimum(own[one], own[two])
+    bound = np.zeros(len(one), dtype=np.int64)
+    for g in np.unique(shared).tolist():
+        some = np.flatnonzero(shared == g)
+        used, place = np.unique(np.concatenate([one[some], two[some]]), return_inverse=True)
+        table = np.stack([folded(points[i], g) for i in used.tolist()])
+        left, right = place[: len(some)], place[len(some) :]
+        step = max(1, (1 << 21) // g)
+        for at in range(0, len(some), step):
+            low = np.minimum(table[left[at : at + step]], table[right[at : at + step]])
+            bound[some[at : at + step]] = low.sum(axis=1, dtype=np.int64)
+    return bound
+
+
 def _points(size: int, groups: int):
     """Size of the set of each document, and the counts of its n-grams by group."""
 
@@ -137,10 +171,14 @@ def _points(size: int, groups: int):
         for part in slices(batches):
             owner, value = shingle_sets(part, size)
             n = np.bincount(owner, minlength=len(part.starts))
-            group = (value % np.uint64(groups)).astype(np.int64)
-            counts = np.bincount(owner * groups + group, minlength=len(n) * groups).astype("<u4").reshape(-1, groups)
+            own = fine_groups(n, groups)
+            end = np.cumsum(own)
+            group = (value % own[owner].astype(np.uint64)).astype(np.int64)
+            counts = np.bincount(end[owner] - own[owner] + group, minlength=int(own.sum())).astype("<u4")
+            raw = counts.tobytes()
             yield pa.RecordBatch.from_pydict({
-                "h": part.column("h"), "n": pa.array(n, pa.int64()), "point": pa.array([p.tobytes() for p in counts], pa.binary()),
+                "h": part.column("h"), "n": pa.array(n, pa.int64()),
+                "point": pa.array([raw[4 * (e - g) : 4 * e] for e, g in zip(end.tolist(), own.tolist())], pa.binary()),
             })
 
     return points
@@ -163,19 +201,19 @@ def _members(size: int):
     return members
 
 
-def _possible(percent: int, groups: int):
+def _possible(percent: int):
     """Pairs whose counts by group leave room for the overlap their sizes need."""
 
     def possible(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 rows = batch.slice(at, 4096)
-                one, two = (
-                    np.frombuffer(b"".join(rows.column(rows.schema.get_field_index(f"point_{x}")).to_pylist()), dtype="<u4").reshape(-1, groups)
-                    for x in "ab"
-                )
+                points = [
+                    np.frombuffer(p, dtype="<u4") for x in "ab" for p in rows.column(rows.schema.get_field_index(f"point_{x}")).to_pylist()
+                ]
                 n_one, n_two = (rows.column(rows.schema.get_field_index(f"n_{x}")).to_numpy() for x in "ab")
-                good = np.minimum(one, two).sum(axis=1, dtype=np.int64) >= needed_overlap(n_one, n_two, percent)
+                at_one = np.arange(rows.num_rows)
+                good = overlap_bounds(points, at_one, at_one + rows.num_rows) >= needed_overlap(n_one, n_two, percent)
                 yield rows.select(["a", "b"]).filter(pa.array(good))
 
     return possible
@@ -249,7 +287,7 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         half = points.shape[1] // 2
-        self.order = np.lexsort((points[:, :half].sum(axis=1), sizes // max(1, LEAF)))
+        self.order = np.lexsort((points[:, :half].sum(axis=1, dtype=np.int64), sizes // max(1, LEAF)))
         high, low = points[self.order], sizes[self.order]
         self.levels = [(high, low)]
         while len(low) > LEAF:
@@ -267,7 +305,7 @@ class CountTree:
             good = np.zeros(len(query), dtype=bool)
             for at in range(0, len(query), 1 << 15):
                 q, v = query[at : at + (1 << 15)], node[at : at + (1 << 15)]
-                bound = np.minimum(points[q], high[v]).sum(axis=1)
+                bound = np.minimum(points[q], high[v]).sum(axis=1, dtype=np.int64)
                 least = np.maximum(low[v], -(-percent * sizes[q] // 100))
                 good[at : at + (1 << 15)] = bound >= needed_overlap(sizes[q], least, percent)
             query, node = query[good], node[good]
@@ -281,7 +319,10 @@ def _search(percent: int, groups: int):
     """Rows come sorted by bucket and pair of blocks; emits pairs of different components that may be similar."""
 
     def found(rows: list[dict]):
-        points = np.frombuffer(b"".join(r["point"] for r in rows), dtype="<u4").astype(np.int64).reshape(-1, groups)
+        fine = [np.frombuffer(r["point"], dtype="<u4") for r in rows]
+        points = np.stack([folded(p, groups) for p in fine])
+        if points.max() < 1 << 16:
+            points = points.astype(np.uint16)
         sizes = np.array([r["n"] for r in rows], dtype=np.int64)
         label, h = np.array([r["label"] for r in rows]), np.array([r["h"] for r in rows])
         if (label == label[0]).all():
@@ -289,7 +330,7 @@ def _search(percent: int, groups: int):
         q, p = CountTree(points, sizes).pairs(points, sizes, percent)
         different = (label[q] != label[p]) & (h[q] < h[p])
         q, p = q[different], p[different]
-        similar = np.minimum(points[q], points[p]).sum(axis=1) >= needed_overlap(sizes[q], sizes[p], percent)
+        similar = overlap_bounds(fine, q, p) >= needed_overlap(sizes[q], sizes[p], percent)
         return h[q[similar]], h[p[similar]]
 
     def search(batches):
@@ -358,7 +399,7 @@ def similar_documents(
         sized = pairs.join(one, "a").join(two, "b").where(close)
         for x in "ab":
             sized = sized.join(points.select(F.col("h").alias(x), F.col("point").alias(f"point_{x}")), x)
-        return kept(sized.mapInArrow(_possible(percent, groups), "a long, b long"), "close")
+        return kept(sized.mapInArrow(_possible(percent), "a long, b long"), "close")
 
     # The firsts with which a class shares most n-grams: enough to join most near copies.
     firsts = shared.where("first <> h").groupBy(F.col("first").alias("a"), F.col("h").alias("b")).agg(F.count("*").alias("n"))
