@@ -142,6 +142,16 @@ def fine_groups(n: np.ndarray, groups: int) -> np.ndarray:
     return groups << np.maximum(doublings, 0).astype(np.int64)
 
 
+def packed_point(counts: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the largest needs, that number first."""
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked_point(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, dtype=f"<u{point[0]}", offset=1).astype(np.uint32)
+
+
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
     """Counts by fewer groups; both numbers are powers of two apart."""
     return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0, dtype=point.dtype)
@@ -174,11 +184,10 @@ def _points(size: int, groups: int):
             own = fine_groups(n, groups)
             end = np.cumsum(own)
             group = (value % own[owner].astype(np.uint64)).astype(np.int64)
-            counts = np.bincount(end[owner] - own[owner] + group, minlength=int(own.sum())).astype("<u4")
-            raw = counts.tobytes()
+            counts = np.bincount(end[owner] - own[owner] + group, minlength=int(own.sum()))
             yield pa.RecordBatch.from_pydict({
                 "h": part.column("h"), "n": pa.array(n, pa.int64()),
-                "point": pa.array([raw[4 * (e - g) : 4 * e] for e, g in zip(end.tolist(), own.tolist())], pa.binary()),
+                "point": pa.array([packed_point(counts[e - g : e]) for e, g in zip(end.tolist(), own.tolist())], pa.binary()),
             })
 
     return points
@@ -209,7 +218,7 @@ def _possible(percent: int):
             for at in range(0, batch.num_rows, 4096):
                 rows = batch.slice(at, 4096)
                 points = [
-                    np.frombuffer(p, dtype="<u4") for x in "ab" for p in rows.column(rows.schema.get_field_index(f"point_{x}")).to_pylist()
+                    unpacked_point(p) for x in "ab" for p in rows.column(rows.schema.get_field_index(f"point_{x}")).to_pylist()
                 ]
                 n_one, n_two = (rows.column(rows.schema.get_field_index(f"n_{x}")).to_numpy() for x in "ab")
                 at_one = np.arange(rows.num_rows)
@@ -319,7 +328,7 @@ def _search(percent: int, groups: int):
     """Rows come sorted by bucket and pair of blocks; emits pairs of different components that may be similar."""
 
     def found(rows: list[dict]):
-        fine = [np.frombuffer(r["point"], dtype="<u4") for r in rows]
+        fine = [unpacked_point(r["point"]) for r in rows]
         points = np.stack([folded(p, groups) for p in fine])
         if points.max() < 1 << 16:
             points = points.astype(np.uint16)
