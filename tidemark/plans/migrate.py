@@ -75,7 +75,7 @@ def open_files(store: TierStore, hot: DataFrame, windows: DataFrame, patterns: S
     before there was a ledger have no entry yet: their files were part of any run, and may hold late rows or not.
     """
     index = F.regexp_replace("folder", "^index=", "")
-    ledger = settled(get_state(store.spark, store.root, "hot_files").select("file", "index"), "ledger")
+    ledger = get_state(store.spark, store.root, "hot_files").select("file", "index")
     tables = ledger.select("index").distinct().withColumn("_kept", F.lit(True))
     new = table_files(hot).select("file", index.alias("index")).where(select_names(F.col("index"), patterns, hide_system=True))
     resumed = windows.where(F.size("pending") < F.col("slice_max")).select("index", F.col("cutoff").alias("_resumed"))
@@ -90,7 +90,7 @@ def open_files(store: TierStore, hot: DataFrame, windows: DataFrame, patterns: S
             late_before.isNull().alias("done"), ts_literal(at).alias("updated_at"),
         )
     )
-    put_state(settled(entries, "files"), store.root, "hot_files")
+    put_state(entries, store.root, "hot_files")
 
 
 def _known(files: DataFrame, at: datetime) -> DataFrame:
