@@ -5,7 +5,9 @@ Documents of the same n-gram set are one class. Two sets of similarity t share o
 so buckets of classes that share such an n-gram are small unless the classes are near copies.
 
 1. In each bucket the classes are compared with its first one; the links found already join most near copies.
-2. In buckets that still hold several components, an R-tree over count vectors finds the pairs of different
+   A bucket of two is a single pair: where it is the first n-gram the two share, their places in the order bound
+   the overlap, and a pair that passes is bounded by its counts. Buckets of the same classes are searched once.
+2. In larger buckets that still hold several components, an R-tree over count vectors finds the pairs of different
    components that can be similar: n-grams are hashed into groups, a set is the point of its counts, and the
    coordinate-wise minima of two points, or of a point and a box, bound the overlap from above. Large sets have
    finer groups, by which the pairs that the tree finds are bounded once more.
@@ -342,22 +344,61 @@ def _search(percent: int, groups: int):
         similar = overlap_bounds(fine, q, p) >= needed_overlap(sizes[q], sizes[p], percent)
         return h[q[similar]], h[p[similar]]
 
+    def single_leaves(buckets: list[list[dict]]):
+        """Many buckets that are a single leaf each, at once."""
+        rows = [r for bucket in buckets for r in bucket]
+        length = np.array([len(b) for b in buckets])
+        first = np.repeat(np.cumsum(length) - length, length)
+        width = np.repeat(length, length)
+        q = np.repeat(np.arange(len(rows)), width)
+        p = np.repeat(first, width) + segments(width)
+        sizes = np.array([r["n"] for r in rows], dtype=np.int64)
+        label, h = np.array([r["label"] for r in rows]), np.array([r["h"] for r in rows])
+        low, high = np.minimum(sizes[q], sizes[p]), np.maximum(sizes[q], sizes[p])
+        good = (label[q] != label[p]) & (h[q] < h[p]) & (100 * low >= percent * high)
+        q, p = q[good], p[good]
+        known, code = np.unique(h, return_inverse=True)
+        _, once = np.unique(code[q] * len(known) + code[p], return_index=True)
+        q, p = q[once], p[once]
+        used, place = np.unique(np.concatenate([q, p]), return_inverse=True)
+        fine = [unpacked_point(rows[i]["point"]) for i in used.tolist()]
+        similar = overlap_bounds(fine, place[: len(q)], place[len(q) :]) >= needed_overlap(sizes[q], sizes[p], percent)
+        return h[q[similar]], h[p[similar]]
+
     def search(batches):
-        rows, key, out, size = [], None, [], 0
+        rows, key, out, size, small, held = [], None, [], 0, [], 0
+
+        def ended() -> None:
+            nonlocal rows, small, held, size
+            if len(rows) > LEAF:
+                out.append(found(rows))
+                size += len(out[-1][0])
+            elif rows:
+                small.append(rows)
+                held += len(rows)
+            rows = []
+
+        def leaves() -> None:
+            nonlocal small, held, size
+            if small:
+                out.append(single_leaves(small))
+                size += len(out[-1][0])
+            small, held = [], 0
+
         for batch in batches:
             for row in batch.to_pylist():
                 own = (row["token"], row["low"], row["high"])
-                if own != key and rows:
-                    out.append(found(rows))
-                    size += len(out[-1][0])
-                    rows = []
+                if own != key:
+                    ended()
+                    if held > 8192:
+                        leaves()
                     if size > 50_000:
                         yield _pairs(out)
                         out, size = [], 0
                 key = own
                 rows.append(row)
-        if rows:
-            out.append(found(rows))
+        ended()
+        leaves()
         if out:
             yield _pairs(out)
 
@@ -390,11 +431,12 @@ def similar_documents(
     classes = kept(
         found.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key")), "classes"
     )
-    entries = found.where("n > 0").select("h", F.explode("tokens").alias("token"))
+    entries = found.where("n > 0").select("h", "n", F.posexplode("tokens").alias("at", "token"))
     buckets = kept(
         entries.groupBy("token").agg(F.min("h").alias("first"), F.max("h").alias("b")).where("first <> b").select("token", "first"), "buckets"
     )
-    shared = kept(entries.join(buckets, "token").groupBy("token", "h").agg(F.min("first").alias("first")), "shared")
+    one_each = [F.min(c).alias(c) for c in ("first", "n", "at")]  # a set has one size, and an n-gram one place in it
+    shared = kept(entries.join(buckets, "token").groupBy("token", "h").agg(*one_each), "shared")
     sizes = kept(found.select("doc_id", "n", "h"), "sizes")
     forget(found, buckets)
     involved = classes.join(shared.select("h").distinct(), "h").select("row_key", "h")
@@ -402,10 +444,13 @@ def similar_documents(
     texts = kept(keyed.select("row_key", "text").join(involved, "row_key").dropDuplicates(["row_key"]).select("text", "h"), "texts")
     points = kept(texts.mapInArrow(_points(size, groups), "h long, n long, point binary"), "points")
 
+    close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+
     def possible(pairs: DataFrame) -> DataFrame:
         one, two = (points.select(F.col("h").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-        close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-        sized = pairs.join(one, "a").join(two, "b").where(close)
+        return bounded(pairs.join(one, "a").join(two, "b").where(close))
+
+    def bounded(sized: DataFrame) -> DataFrame:
         for x in "ab":
             sized = sized.join(points.select(F.col("h").alias(x), F.col("point").alias(f"point_{x}")), x)
         return kept(sized.mapInArrow(_possible(percent), "a long, b long"), "close")
@@ -417,19 +462,32 @@ def similar_documents(
     links = verified_links(possible(tried), texts, size, percent)
     labels = components(links)
 
-    labelled = shared.select("token", "h").join(labels.withColumnRenamed("id", "h"), "h", "left")
-    labelled = kept(labelled.select("token", "h", F.coalesce("label", "h").alias("label")), "labelled")
+    labelled = shared.select("token", "h", "n", "at").join(labels.withColumnRenamed("id", "h"), "h", "left")
+    labelled = kept(labelled.select("token", "h", "n", "at", F.coalesce("label", "h").alias("label")), "labelled")
     forget(shared)
-    open_ = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).where("x <> y")
-    blocks = F.ceil(F.col("rows") / block_rows).cast("int")
-    left = labelled.join(open_.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
+    entry, mixed = F.struct("h", "n", "at"), F.xxhash64("h")
+    buckets = labelled.groupBy("token").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows"), F.min(entry).alias("one"), F.max(entry).alias("two"),
+        F.bit_xor(mixed).alias("mixed"), F.sum(F.shiftright(mixed, 24)).alias("summed"),
+    )
+    open_ = kept(buckets.where("x <> y").drop("x", "y"), "open")
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # If a pair shares no n-gram before this one, it shares no more than the shorter rest of the two.
+    rest = F.least(F.col("n_a") - F.col("one.at"), F.col("n_b") - F.col("two.at"))
+    enough = rest * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    twos = open_.where("rows = 2").select("*", *[F.col(f"{s}.{c}").alias(n) for s, c, n in (("one", "h", "a"), ("two", "h", "b"), ("one", "n", "n_a"), ("two", "n", "n_b"))])
+    single = bounded(twos.where(close & enough).select("a", "b", "n_a", "n_b").distinct().join(done, ["a", "b"], "left_anti"))
+    # Buckets of the same classes give the same pairs: one of them is searched.
+    blocks = F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")
+    several = open_.where("rows > 2").groupBy("rows", "mixed", "summed").agg(F.min("token").alias("token")).select("token", blocks)
+    left = labelled.drop("n", "at").join(several, "token").withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
     work = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", "h", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
     searched = work.join(points, "h").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     maybe = searched.mapInArrow(_search(percent, groups), "a long, b long").distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    untried = kept(maybe.join(done, ["a", "b"], "left_anti"), "maybe")
+    untried = kept(maybe.join(done, ["a", "b"], "left_anti").union(single).distinct(), "maybe")
+    forget(open_, single)
     forget(labelled)
     more = verified_links(untried, texts, size, percent)
     forget(texts, points, untried)
