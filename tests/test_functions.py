@@ -96,14 +96,14 @@ def test_wildcards_as_literals_and_as_data(spark):
 
 def test_index_dates(spark):
     cases = {
-        "dev-c3j1-syslog-2026.02.08": datetime(2026, 2, 8).date(),
-        "logs-2025-01-01": datetime(2025, 1, 1).date(),
-        "logs-2025.01.01": datetime(2025, 1, 1).date(),
-        "myindex-2024.12.31": datetime(2024, 12, 31).date(),
-        "logs-2024.02.31": None,
-        "logs-2024.01.01-x": None,
-        "logs": None,
-        "logs-v2": None,
+        "web-eu-2023.07.19": datetime(2023, 7, 19).date(),
+        "audit-2022-11-30": datetime(2022, 11, 30).date(),
+        "a-b-2024.02.29": datetime(2024, 2, 29).date(),
+        "jobs-2023.02.29": None,
+        "jobs-2023.13.01": None,
+        "jobs-2023.05.06-old": None,
+        "jobs-20230506": None,
+        "jobs": None,
         "": None,
     }
     df = spark.createDataFrame([(n,) for n in cases], "n STRING")
@@ -111,9 +111,9 @@ def test_index_dates(spark):
 
 
 def test_only_old_names_are_ripe(spark):
-    df = spark.createDataFrame([("logs-2026.02.08",), ("logs-2026.01.14",), ("logs-2026.01.13",), ("logs",)], "n STRING")
-    kept = {r.n for r in df.where(names.ripe_name(F.col("n"), datetime(2026, 2, 8, 12), 25)).collect()}
-    assert kept == {"logs-2026.01.13", "logs"}
+    df = spark.createDataFrame([("jobs-2023.05.10",), ("jobs-2023.05.01",), ("jobs-2023.04.30",), ("jobs",)], "n STRING")
+    kept = {r.n for r in df.where(names.ripe_name(F.col("n"), datetime(2023, 5, 10, 12), 9)).collect()}
+    assert kept == {"jobs-2023.04.30", "jobs"}
 
 
 def test_names_are_selected(spark):
@@ -131,10 +131,10 @@ def test_names_are_selected(spark):
 
 
 def test_cold_days(spark):
-    rules = {"security-audit": 1095, "compliance-*": 2555, "comp*": 10}
-    df = spark.createDataFrame([("security-audit",), ("compliance-2026",), ("company",), ("logs-2026.01.01",)], "n STRING")
-    got = [r.d for r in df.select(names.cold_days(F.col("n"), rules, 365).alias("d")).collect()]
-    assert got == [1095, 2555, 10, 365]
+    rules = {"bills": 3000, "bill-*": 700, "b*": 21}
+    df = spark.createDataFrame([("bills",), ("bill-7",), ("bolt",), ("zeta",)], "n STRING")
+    got = [r.d for r in df.select(names.cold_days(F.col("n"), rules, 90).alias("d")).collect()]
+    assert got == [3000, 700, 21, 90]
     assert [r.d for r in df.select(names.cold_days(F.col("n"), {}, 0).alias("d")).collect()] == [0, 0, 0, 0]
 
 

@@ -116,6 +116,30 @@ def test_failed_wave_is_resumed_with_its_cutoff(spark, store):
     assert shown(store) == list(range(ALL))
 
 
+def test_one_bad_table_of_many_in_one_wave(spark, tmp_path):
+    """With default arguments the tables that can be read are copied, marked and recorded."""
+    rows = event_rows(spark).withColumn("index", F.concat(F.lit("n"), F.col("event_id") % 7))
+    store = TierStore(spark, str(tmp_path / "store"), StructType(rows.schema.fields[:2]))
+    store.append_hot(rows)
+    bad = F.col("index") == "n4"
+    jobs = []
+
+    def fails(found):
+        jobs.append(1)
+        return found.withColumn("ts", F.when(bad, F.raise_error(F.lit("lost"))).otherwise(F.col("ts")))
+
+    with pytest.raises(MigrationError):
+        migrate(store, NOW, 7, late=False, transform=fails)
+    assert {r["index"] for r in store.marks().collect()} == {f"n{i}" for i in range(7)} - {"n4"}
+    runs = {(r["index"], r.status) for r in get_state(spark, store.root, "run_metrics").collect()}
+    assert runs == {(f"n{i}", "failed" if i == 4 else "success") for i in range(7)}
+    assert len(jobs) < 13  # not a job for each table
+    assert shown(store) == list(range(ALL))
+    migrate(store, NOW, 7)
+    assert ids(store.cold()) == older(datetime(2026, 1, 24))
+    assert shown(store) == list(range(ALL))
+
+
 def test_done_slices_are_not_copied_again(spark, store):
     """A run cut short after slice 0 of t0: only the rest is copied, and copying twice changes nothing."""
     state = spark.sql(

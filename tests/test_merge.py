@@ -141,8 +141,8 @@ def test_missing_columns_are_null(spark):
 
 def test_metric_rows(spark):
     rows = [
-        ("logs", datetime(2026, 2, 8), datetime(2026, 2, 8, 0, 5), 150000, 4, 5000, None, B),
-        ("logs", datetime(2026, 2, 8, 1), datetime(2026, 2, 8, 1), 0, 4, 5000, "slice 1: lost", B),
+        ("sales", datetime(2025, 3, 9, 12), datetime(2025, 3, 9, 12, 1, 30), 7200, 3, 800, None, B),
+        ("sales", datetime(2025, 3, 9, 13), datetime(2025, 3, 9, 13), 0, 3, 800, "disk full", B),
     ]
     runs = spark.createDataFrame(
         rows,
@@ -150,13 +150,13 @@ def test_metric_rows(spark):
     )
     done = metrics.run_metrics(runs)
     good, bad = done.orderBy("started_at").collect()
-    assert (good.duration_sec, good.docs_per_sec, good.status, good.error) == (300.0, 500.0, "success", None)
-    assert (bad.docs_per_sec, bad.status, bad.error) == (0.0, "failed", "slice 1: lost")
-    assert good.metric_id == "metric-logs-1770508800"
-    assert metrics.migrated_per_day(done).first().documents_migrated == 150000
+    assert (good.duration_sec, good.docs_per_sec, good.status, good.error) == (90.0, 80.0, "success", None)
+    assert (bad.docs_per_sec, bad.status, bad.error) == (0.0, "failed", "disk full")
+    assert good.metric_id == "metric-sales-1741521600"
+    assert metrics.migrated_per_day(done).first().documents_migrated == 7200
     assert {r.status: r.share for r in metrics.status_share(done).collect()} == {"success": 0.5, "failed": 0.5}
     assert metrics.recent_runs(done, 1).first().status == "failed"
-    assert metrics.rate_over_time(done).first().docs_per_sec == 250.0
+    assert metrics.rate_over_time(done).first().docs_per_sec == 40.0
 
 
 def test_plans(spark, tmp_path):

@@ -2,11 +2,13 @@
 
 import json
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.plans import msearch
+from tidemark.plans import msearch, msearch_aggs
+from tidemark.sources.lines import EMPTY, ODD_LINES
 
 NOW = datetime(2024, 2, 1)
 START = datetime(2024, 1, 1, 5, 20)
@@ -50,24 +52,28 @@ def make_requests(rng, rows):
     return requests + [(900, ["a"], "not json"), (901, ["a"], '{"sort":["_score","x"]}'), (902, ["a"], '{"pit":1}')]
 
 
-def expected(requests, rows):
+def hits_of(names, body, rows):
     wild = {"*": {"a", "b", "hot-one"}, "hot-*": {"hot-one"}, "[ab]": {"a", "b"}}
+    bounds = {k: datetime.fromisoformat(v) for k, v in body["query"]["range"]["@timestamp"].items()}
+    tables = set().union(*[wild.get(n, {n}) for n in names])
+    return [
+        r
+        for r in rows
+        if r[1] in tables
+        and ("gte" not in bounds or r[2] >= bounds["gte"])
+        and ("gt" not in bounds or r[2] > bounds["gt"])
+        and ("lte" not in bounds or r[2] <= bounds["lte"])
+        and ("lt" not in bounds or r[2] < bounds["lt"])
+    ]
+
+
+def expected(requests, rows):
     pages, totals = {}, {}
     for req_id, names, text in requests:
         if req_id >= 900:
             continue
         body = json.loads(text)
-        bounds = {k: datetime.fromisoformat(v) for k, v in body["query"]["range"]["@timestamp"].items()}
-        tables = set().union(*[wild.get(n, {n}) for n in names])
-        hits = [
-            r
-            for r in rows
-            if r[1] in tables
-            and ("gte" not in bounds or r[2] >= bounds["gte"])
-            and ("gt" not in bounds or r[2] > bounds["gt"])
-            and ("lte" not in bounds or r[2] <= bounds["lte"])
-            and ("lt" not in bounds or r[2] < bounds["lt"])
-        ]
+        hits = hits_of(names, body, rows)
         sort = json.dumps(body.get("sort", "_score"))
         value = (lambda r: r[2].timestamp()) if "timestamp" in sort else (lambda r: r[4] or 0.0)
         sign = 1 if "asc" in sort else -1
@@ -122,3 +128,83 @@ def test_queries_that_are_not_evaluated_are_refused(spark):
     log = spark.createDataFrame([(i, ["a"], json.dumps(b)) for i, b in enumerate(bodies)], "req_id INT, indices ARRAY<STRING>, body STRING")
     plan = msearch.plan_requests(log, NOW, {"_score": "score"}).orderBy("req_id").collect()
     assert [r.error for r in plan] == [msearch.UNSUPPORTED_QUERY] * len(refused) + [None] * len(taken)
+
+
+@pytest.mark.parametrize("seed,dense_rows", [(3, 100_000), (4, 5)])
+def test_aggregations_against_brute_force(spark, seed, dense_rows):
+    rng = random.Random(seed)
+    rows = make_rows(rng)
+    requests = [r for r in make_requests(rng, rows)[:60]]
+    aggs = {
+        "t": {"terms": {"field": "tier"}},
+        "s": {"terms": {"field": "points", "size": 3}},
+        "s2": {"terms": {"field": "points", "size": 1}},
+        "h": {"date_histogram": {"field": "@timestamp", "calendar_interval": "hour"}},
+        "d": {"date_histogram": {"field": "@timestamp", "fixed_interval": "1d"}},
+        "avg": {"avg": {"field": "points"}},
+        "nested": {"terms": {"field": "tier"}, "aggs": {"x": {"terms": {"field": "points"}}}},
+        "unknown": {"terms": {"field": "other"}},
+    }
+    log = [(i, names, json.dumps(json.loads(text) | {"aggs": aggs})) for i, names, text in requests]
+    table = spark.createDataFrame(rows, "event_id INT, index STRING, ts TIMESTAMP_NTZ, tier STRING, score DOUBLE")
+    asked = spark.createDataFrame(
+        [*log, (900, ["a"], "not json"), (901, ["a"], '{"pit":1,"aggs":{"t":{"terms":{"field":"tier"}}}}'), (902, ["a"], "{}")],
+        "req_id INT, indices ARRAY<STRING>, body STRING",
+    )
+    buckets, refused = msearch_aggs.aggregate(
+        asked, table, NOW, {"tier": "tier", "points": "score"}, {"_score": "score", "@timestamp": "ts"}, dense_rows=dense_rows
+    )
+    want = set()
+    for i, names, text in log:
+        hits = hits_of(names, json.loads(text), rows)
+        by = {
+            "t": Counter(r[3] for r in hits), "s": Counter(str(r[4]) for r in hits if r[4] is not None),
+            "h": Counter(r[2].strftime("%Y-%m-%d %H:00:00") for r in hits), "d": Counter(r[2].strftime("%Y-%m-%d 00:00:00") for r in hits),
+        }
+        for name, size in (("t", 10), ("s", 3), ("s2", 1), ("h", None), ("d", None)):
+            order = sorted(by[name[0]].items(), key=lambda b: (-b[1] if size else 0, b[0]))[:size]
+            want |= {(i, name, place, value, n) for place, (value, n) in enumerate(order, 1)}
+    assert {tuple(r) for r in buckets.collect()} == want
+    errors = {(r.req_id, r.name): r.error for r in refused.collect()}
+    assert set(errors) == {(i, n) for i, _, _ in log for n in ("avg", "nested", "unknown")} | {(901, "t")}
+    assert set(errors.values()) == {msearch_aggs.UNSUPPORTED_AGGREGATION, "pit is not supported for cross-tier merge"}
+    plan = buckets._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_responses_to_files_come_by_entry(spark):
+    rows = make_rows(random.Random(5))
+    table = spark.createDataFrame(rows, "event_id INT, index STRING, ts TIMESTAMP_NTZ, tier STRING, score DOUBLE")
+    span = {"query": {"range": {"@timestamp": {"gte": "2024-01-02T00:00:00"}}}, "size": 3}
+    files = {
+        "good": ['{"index":"a, b"}', json.dumps(span), '{"index":"nothing"}', "{}", '{"index":"a"}', "not json"],
+        "hot": ["{}", json.dumps(span), '{"index":"a"}', json.dumps(span)],
+        "odd": ['{"index":"a"}'],
+        "blank": ["", "  "],
+    }
+    lines = [(f, 0, i, text) for f, texts in files.items() for i, text in enumerate(texts)]
+    found = msearch.answer_files(spark.createDataFrame(lines, "file STRING, chunk INT, position INT, text STRING"), table, NOW)
+    got = {(r.file, r.entry): (r.status, r.error, r.total, [h.key for h in r.hits or []]) for r in found.collect()}
+
+    def page(names, kept):
+        hits = sorted(hits_of(names, span, kept), key=lambda r: (-(r[4] or 0.0), r[3] != "hot", r[1], r[0]))
+        return 200, None, len(hits), [r[0] for r in hits[:3]]
+
+    assert got == {
+        ("good", 0): page(["a", "b"], rows),
+        ("good", 1): (200, None, 0, []),
+        ("good", 2): (400, msearch.NOT_AN_OBJECT, None, []),
+        ("hot", 0): (200, None, 0, []),
+        ("hot", 1): page(["a"], [r for r in rows if r[3] == "hot"]),
+        ("odd", None): (400, ODD_LINES, None, []),
+        ("blank", None): (400, EMPTY, None, []),
+    }
+
+
+@pytest.mark.parametrize("depth", [999, 1000, 50_000])
+def test_ranks_are_bounded_before_the_shuffle_at_any_depth(spark, depth):
+    table = spark.createDataFrame(make_rows(random.Random(6)), "event_id INT, index STRING, ts TIMESTAMP_NTZ, tier STRING, score DOUBLE")
+    msearch.bound_ranks(spark, depth)
+    ordered = msearch.ordered_rows(table, {"_score": "score"}, ["_score:desc"], "event_id", "score")
+    best = msearch._best(ordered, ["index", "order_key"], depth)
+    assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()

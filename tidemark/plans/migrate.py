@@ -190,8 +190,8 @@ def migrate(
     behind the marks are copied (unless ``late`` is false; a later run makes up for that), and hot is purged of what
     cold holds. All of it works on the files hot has when the run opens. Readers switch at the marks, so a purge only takes away what they no longer read.
     ``transform`` is applied to the rows on their way (unwrapping a document, say).
-    Tables of a wave that fails keep their state; the error is raised once the other
-    waves are through.
+    A wave that fails is halved and tried again until the tables that make it fail stand alone, which takes jobs
+    by the logarithm of its tables for each of them. Those keep their state, and the error is raised once all others are through.
     """
     store.prepare()
     windows = pending_windows(store, now, migrate_after_days, patterns, slices)
@@ -203,20 +203,25 @@ def migrate(
     put_state(_slice_state(fresh, False, clock()), store.root, "slice_state")
 
     copied, errors = 0, []
-    for wave in range(waves):
-        part = windows if waves == 1 else windows.where(F.pmod(F.xxhash64("index"), F.lit(waves)) == wave)
-        started = clock()
+    wave = F.pmod(F.xxhash64("index"), F.lit(waves))
+    waiting = [windows] if waves == 1 else [windows.where(wave == number) for number in range(waves)]
+    while waiting:
+        part, started = waiting.pop(0), clock()
         try:
-            copied += _copy(store, hot, part, slice_by, transform, clock)
+            rows = _copy(store, hot, part, slice_by, transform, clock)
             put_state(
                 part.select("index", F.col("cutoff").alias("migrated_before"), ts_literal(clock()).alias("updated_at")),
                 store.root,
                 "watermark",
             )
             record_runs(store, part, started, clock(), slices, None)
-        except Exception as error:  # the failed wave is recorded, the others still run
-            record_runs(store, part, started, clock(), slices, str(error).splitlines()[0])
-            errors.append(error)
+            copied += rows
+        except Exception as error:  # a table that fails alone is recorded, the others still run
+            parts = halves(part)
+            waiting = [*parts, *waiting]
+            if not parts:
+                record_runs(store, part, started, clock(), slices, str(error).splitlines()[0])
+                errors.append(error)
     chosen = select_names(F.col("index"), patterns, hide_system=True)
     try:
         if late:
@@ -226,10 +231,21 @@ def migrate(
     except Exception as error:  # made up for by any later run
         errors.append(error)
     if errors:
-        raise MigrationError(f"{len(errors)} steps of a run of {waves} waves failed") from errors[0]
+        raise MigrationError(f"{len(errors)} tables or steps of a run failed") from errors[0]
     return copied
 
 
+def halves(windows: DataFrame) -> list[DataFrame]:
+    """Two parts of some tables, by a bit in which hashes of their names differ; none where there is one table only."""
+    name = F.xxhash64("index")
+    seen = windows.agg(F.bit_or(name).alias("some"), F.bit_and(name).alias("all")).first()
+    differing = ((seen["some"] or 0) ^ (seen["all"] or 0)) & (2**64 - 1)
+    if not differing:
+        return []
+    bit = F.getbit(name, F.lit(differing.bit_length() - 1))
+    return [windows.where(bit == value) for value in (0, 1)]
+
+
 def _copy(store, hot, windows, slice_by, transform, clock) -> int:
     rows = slice_rows(store, hot, windows, slice_by)
     if transform is not None:

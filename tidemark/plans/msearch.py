@@ -13,16 +13,17 @@ K that covers the bucket.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import bodies
 from tidemark.functions.times import micros_of, ts_literal
 from tidemark.operators.indices import expand_names
 from tidemark.sources.files import settled
+from tidemark.sources.lines import msearch_entries
 
 NOT_AN_OBJECT = "body is not a JSON object"
 UNSUPPORTED_QUERY = "query is not a single range on the time field"
@@ -31,6 +32,7 @@ WHOLE_TABLE = "1970-01-01 00:00:00"  # bucket of the table level
 MAX_LISTED_NAMES = 1000  # up to this many names are put into the scan as literals
 DENSE_ROWS = 100_000  # a bucket with more rows is broken up further
 HIT = ["sort_value", "tier", "index", "key", "ts", "score"]
+RANK_BOUND = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def plan_requests(requests: DataFrame, now: datetime, orders: Mapping[str, str], field: str = "@timestamp") -> DataFrame:
@@ -94,6 +96,11 @@ def ordered_rows(rows: DataFrame, orders: Mapping[str, str], used: list[str], ke
     ).select("*", "_order.*").drop("_order")
 
 
+def bound_ranks(spark: SparkSession, depth: int) -> None:
+    """Have Spark drop rows beyond a rank before the shuffle for ranks up to ``depth``; by itself it does so below 1,000 only."""
+    spark.conf.set(RANK_BOUND, str(max(depth + 1, int(spark.conf.get(RANK_BOUND)))))
+
+
 def _best(rows: DataFrame, by: list[str], depth: int) -> DataFrame:
     """The first ``depth`` rows per group with their ``place``; each task drops the rest of its own rows before the shuffle."""
     ranked = rows.selectExpr(
@@ -241,6 +248,7 @@ def answer(
         F.when(F.count_if(F.col("end").isNull()) == 0, F.max("end")).alias("last"),
     ).first()
     depth, used = asked["depth"] or 0, sorted(asked["used"]) or ["_score:desc"]
+    bound_ranks(spark, depth)
 
     slim = rows.select("index", "ts", "tier", F.col(key), *{c for c in [score, *orders.values()] if c != "ts"})
     wanted = valid.select("req_id", F.explode("indices").alias("pattern"))
@@ -327,3 +335,35 @@ def answer(
         "max_score",
     )
     return page, summary
+
+
+def answer_files(
+    lines: DataFrame, rows: DataFrame, now: datetime, default_indices: Sequence[str] = (), **options: object
+) -> DataFrame:
+    """Responses to multi-search files (``read_lines``), one row per entry, to be read in order of ``(file, entry)``.
+
+    Columns ``(file, entry, status, error, total, relation, max_score, hits)``, ``hits`` being the page as an array of
+    ``(rank, index, key, ts, tier, score)``. A file rejected as a whole is one row without ``entry``. A file with an entry that
+    names no table or an internal one is answered from hot alone; such an entry asks for just the tables it names.
+    """
+    entries, report = msearch_entries(lines, default_indices)
+    report = settled(report, "files")
+    good = entries.join(report.where("error IS NULL").select("file", "passthrough"), "file")
+    asked = settled(
+        good.select(F.struct("file", "entry").alias("req_id"), "passthrough", "indices", "body"), "entries"
+    )
+    answers = [answer(asked.where("NOT passthrough").drop("passthrough"), rows, now, **options)]
+    if not report.where("passthrough").isEmpty():
+        answers.append(answer(asked.where("passthrough").drop("passthrough"), rows.where("tier = 'hot'"), now, **options))
+    responses = []
+    for page, summary in answers:
+        hit = F.struct(*[c for c in page.columns if c != "req_id"])
+        pages = page.groupBy("req_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+        responses.append(summary.join(pages, "req_id", "left").select("req_id.*", *[c for c in summary.columns if c != "req_id"], "hits"))
+    none = {c: F.lit(None).cast(responses[0].schema[c].dataType).alias(c) for c in responses[0].columns}
+    rejected = report.where("error IS NOT NULL").select(
+        *["file" if c == "file" else "error" if c == "error" else F.lit(400).alias(c) if c == "status" else none[c] for c in none]
+    )
+    for more in (*responses[1:], rejected):
+        responses[0] = responses[0].unionByName(more)
+    return responses[0]

@@ -11,13 +11,13 @@ from pyspark.sql.types import StructType
 from tidemark.functions.names import index_date
 from tidemark.functions.times import ts_literal
 from tidemark.operators import indices, retention, tiers, windows
-from tidemark.plans.migrate import apply_retention, migrate
+from tidemark.plans.migrate import MigrationError, apply_retention, migrate
 from tidemark.plans.search import tiered_rows
 from tidemark.plans.store import TierStore
 from tidemark.queries import data
 from tidemark.queries.data import BEHIND_MARK_SQL, EVENTS_SQL, NOW
 from tidemark.sources.files import new_folder, remove, settled
-from tidemark.sources.state import open_slices, upsert
+from tidemark.sources.state import get_state, open_slices, upsert
 from tidemark.streaming.copy import start_copy
 
 COLD_RULES = {"events-2024.01.05": 0, "events-2024.01.0*": 24, "events-2024.01.2*": 9}
@@ -191,6 +191,24 @@ def _shown_after_purge(store: TierStore) -> DataFrame:
     return counts.join(hot_left, "index", "left")
 
 
+def migrate_with_bad_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tables stand after two runs, in the first of which one table cannot be read."""
+
+    def unreadable(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("ts", F.when(F.col("index") == "view", F.raise_error(F.lit("cannot be read"))).otherwise(F.col("ts")))
+
+    store = _store(spark, _typed_tables(spark, sf_dir))
+    try:
+        migrate(store, NOW - timedelta(days=7), data.MIGRATE_DAYS, transform=unreadable)
+    except MigrationError:
+        migrate(store, NOW, data.MIGRATE_DAYS)
+    runs = get_state(spark, store.root, "run_metrics").groupBy("index").agg(
+        F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "success").alias("succeeded")
+    )
+    held = store.cold().groupBy("index").agg(F.count(F.lit(1)).alias("docs"), F.max("ts").alias("last_ts"))
+    return store.marks().select("index", "migrated_before").join(runs, "index").join(held, "index", "left")
+
+
 def retention_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cold after a retention run that deletes whole tables and parts of others."""
     store = _migrated(spark, sf_dir)
@@ -280,6 +298,7 @@ QUERIES = {
     "late_rows": late_rows,
     "migrate_incremental": migrate_incremental,
     "migrate_and_purge": migrate_and_purge,
+    "migrate_with_bad_table": migrate_with_bad_table,
     "retention_run": retention_run,
     "streaming_copy": streaming_copy,
     "late_by_ledger": late_by_ledger,
@@ -329,6 +348,10 @@ ORACLES = {
     "migrate_and_purge": f"""SELECT event_type AS "index", count(*) FILTER (NOT {_CUTOFFS}) AS from_hot,
       count(*) FILTER ({_CUTOFFS}) AS from_cold, count(*) FILTER (ts >= TIMESTAMP '2024-01-23 23:00:00') AS in_hot
       FROM events GROUP BY 1""",
+    "migrate_with_bad_table": """SELECT event_type AS "index", max(cutoff) AS migrated_before, max(failed) AS failed, 2 - max(failed) AS succeeded,
+        count(*) FILTER (ts < cutoff) AS docs, max(ts) FILTER (ts < cutoff) AS last_ts
+      FROM (SELECT *, CASE WHEN event_type = 'view' THEN TIMESTAMP '2024-01-17' ELSE TIMESTAMP '2024-01-24' END AS cutoff,
+        CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS failed FROM events) GROUP BY 1""",
     "retention_run": f"""SELECT event_type AS "index", count(*) AS docs, min(ts) AS first_ts FROM events
       WHERE {_CUTOFFS} AND CASE WHEN event_type = 'error' THEN true WHEN event_type LIKE 'v%' THEN ts >= TIMESTAMP '2024-01-19'
         ELSE ts >= TIMESTAMP '2024-01-11' END GROUP BY 1""",

@@ -11,6 +11,7 @@ from tidemark.functions.names import split_names_column
 
 # Messages of a multi-search file.
 ODD_LINES = "msearch expects even number of lines"
+EMPTY = "empty msearch"
 LONG_LINE = "line too long"
 # Characters that count as blank at the ends of a line.
 BLANK = r"[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -59,11 +60,12 @@ def numbered(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Lines are numbered within their chunk and shifted by the counts of the chunks before
     it, so a file of any length is spread over its chunks. Returns the lines with
-    ``line`` and the files with ``(lines, longest)``.
+    ``line`` and the files with ``(lines, longest)``, those of blank lines only too.
     """
-    kept = lines.withColumn("text", trimmed(F.col("text"))).where(F.col("text") != "")
-    chunks = kept.groupBy("file", "chunk").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("longest")
+    every = lines.withColumn("text", trimmed(F.col("text")))
+    kept = every.where(F.col("text") != "")
+    chunks = every.groupBy("file", "chunk").agg(
+        F.count_if(F.col("text") != "").alias("n"), F.max(F.octet_length("text")).alias("longest")
     )
     files = chunks.groupBy("file").agg(F.sum("n").alias("lines"), F.max("longest").alias("longest"))
     offsets = chunks.selectExpr(
@@ -88,7 +90,9 @@ def msearch_entries(
     """
     rows, files = numbered(lines)
     too_long = F.lit(False) if max_line_bytes is None else F.col("longest") >= max_line_bytes
-    error = F.when(too_long, F.lit(LONG_LINE)).when(F.col("lines") % 2 != 0, F.lit(ODD_LINES))
+    error = (
+        F.when(too_long, F.lit(LONG_LINE)).when(F.col("lines") % 2 != 0, F.lit(ODD_LINES)).when(F.col("lines") == 0, F.lit(EMPTY))
+    )
     checked = files.select("file", "lines", error.alias("error"))
 
     is_header = F.col("line") % 2 == 0
