@@ -389,6 +389,7 @@ def apply_retention(store: TierStore, now: datetime, rules: Mapping[str, int], d
     literal that skips files by their statistics; the rest is left alone.
     """
     finish_rewrite(store.spark, store.cold_path, store.retention_staging)
+    store.finish_packing()
     limits = [days for days in (*rules.values(), default) if days > 0]
     if not limits:
         return

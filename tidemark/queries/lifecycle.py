@@ -12,11 +12,12 @@ from tidemark.functions.names import index_date
 from tidemark.functions.times import ts_literal
 from tidemark.operators import indices, retention, tiers, windows
 from tidemark.plans.migrate import MigrationError, apply_retention, migrate
+from tidemark.plans.packing import fold_states, pack_cold
 from tidemark.plans.search import tiered_rows
 from tidemark.plans.store import TierStore
 from tidemark.queries import data
 from tidemark.queries.data import BEHIND_MARK_SQL, EVENTS_SQL, NOW
-from tidemark.sources.files import new_folder, remove, settled
+from tidemark.sources.files import new_folder, read_table, remove, settled
 from tidemark.sources.state import get_state, open_slices, upsert
 from tidemark.streaming.copy import start_copy
 
@@ -177,6 +178,23 @@ def migrate_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cold_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cold after two runs, a packing, a third run and another packing; small files are few, rows and order of time are kept."""
+    store = _migrated(spark, sf_dir)
+    pack_cold(store)
+    fold_states(store)
+    migrate(store, NOW + timedelta(days=1), data.MIGRATE_DAYS, slices=data.SLICES, slice_by=F.col("user_id"))
+    pack_cold(store)
+    fold_states(store)
+    files = F.col("_metadata.file_path")
+    rows = read_table(spark, store.cold_path, store.cold_schema).withColumn("_file", files)
+    marks = store.marks().select("index", "migrated_before")
+    return rows.groupBy("index").agg(
+        F.count(F.lit(1)).alias("docs"), F.count_distinct("_file").alias("files"), F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"), F.sum("event_id").alias("ids"),
+    ).join(marks, "index")
+
+
 def migrate_and_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tiers after runs that purge, read as one table: nothing lost, nothing twice."""
     return _shown_after_purge(_migrated(spark, sf_dir, delete_after=True, waves=2))
@@ -299,6 +317,7 @@ QUERIES = {
     "migrate_incremental": migrate_incremental,
     "migrate_and_purge": migrate_and_purge,
     "migrate_with_bad_table": migrate_with_bad_table,
+    "cold_compacted": cold_compacted,
     "retention_run": retention_run,
     "streaming_copy": streaming_copy,
     "late_by_ledger": late_by_ledger,
@@ -348,6 +367,9 @@ ORACLES = {
     "migrate_and_purge": f"""SELECT event_type AS "index", count(*) FILTER (NOT {_CUTOFFS}) AS from_hot,
       count(*) FILTER ({_CUTOFFS}) AS from_cold, count(*) FILTER (ts >= TIMESTAMP '2024-01-23 23:00:00') AS in_hot
       FROM events GROUP BY 1""",
+    "cold_compacted": """SELECT event_type AS "index", count(*) AS docs, 1 AS files, min(ts) AS first_ts, max(ts) AS last_ts,
+        CAST(sum(event_id) AS BIGINT) AS ids, TIMESTAMP '2024-01-25' AS migrated_before
+      FROM events WHERE ts < TIMESTAMP '2024-01-25' GROUP BY 1""",
     "migrate_with_bad_table": """SELECT event_type AS "index", max(cutoff) AS migrated_before, max(failed) AS failed, 2 - max(failed) AS succeeded,
         count(*) FILTER (ts < cutoff) AS docs, max(ts) FILTER (ts < cutoff) AS last_ts
       FROM (SELECT *, CASE WHEN event_type = 'view' THEN TIMESTAMP '2024-01-17' ELSE TIMESTAMP '2024-01-24' END AS cutoff,

@@ -83,6 +83,21 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
+def remove_files(spark: SparkSession, names: list[str]) -> None:
+    """Delete files named as in ``inputFiles``; one that is gone already is no error."""
+    for name in names:
+        file = _decoded(spark, name)
+        file.getFileSystem(_hadoop_conf(spark)).delete(file, False)
+
+
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes) of the Parquet files below a folder, from its listing; no file is opened."""
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    )
+    return listed.select("path", F.col("length").alias("bytes"))
+
+
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of the first partition column, from the names of the folders; no file is opened."""
     folder, fs = _path(spark, path)
