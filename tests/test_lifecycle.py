@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions.documents import unwrap_source
 from tidemark.operators import tiers
+from tidemark.operators.retention import retention_limits
 from tidemark.operators.windows import in_purge_window, in_window, sliced
 from tidemark.plans.migrate import MigrationError, apply_retention, migrate
 from tidemark.plans.store import TierStore
@@ -292,6 +293,14 @@ def test_retention(spark, store):
     assert kept == sorted([i for i in cold if i % 3 == 0] + [i for i in young if i % 3 == 2])
 
 
+def test_limits_are_found_once_per_table(spark):
+    names = spark.createDataFrame([("t1",), ("t2",), ("own",), ("ever",), (None,)], "index STRING")
+    rules = {"t*": 3, "t2": 5, "ever": 0}
+    limits = {r["index"]: r["kept_from"] for r in retention_limits(names, NOW, rules, 9).collect()}
+    assert limits == {"t1": NOW - timedelta(days=3), "t2": NOW - timedelta(days=5), "own": NOW - timedelta(days=9)}
+    assert retention_limits(names, NOW, {}, 0).isEmpty()
+
+
 def test_documents_are_unwrapped_on_the_way(spark, tmp_path):
     rows = event_rows(spark).withColumn("doc", F.concat(F.lit('{"_id":"x","_source":{"n":'), "event_id", F.lit("}}")))
     rows = rows.select("event_id", "ts", "doc", "index")

@@ -18,5 +18,12 @@ def is_kept(index: Column, ts: Column, now: datetime, rules: Mapping[str, int],
     return (days <= 0) | (ts >= F.timestamp_add("DAY", -days, ts_literal(now)))
 
 
+def retention_limits(names: DataFrame, now: datetime, rules: Mapping[str, int], default: int) -> DataFrame:
+    """(index, kept_from) of the tables that have an age limit: the rules are matched once per table, not per row."""
+    days = cold_days(F.col("index"), rules, default)
+    limits = names.where(F.col("index").isNotNull()).select("index", days.alias("_days")).where("_days > 0")
+    return limits.select("index", F.timestamp_add("DAY", -F.col("_days"), ts_literal(now)).alias("kept_from"))
+
+
 def retained(rows: DataFrame, now: datetime, rules: Mapping[str, int], default: int, ts: str = "ts") -> DataFrame:
     return rows.where(is_kept(F.col("index"), F.col(ts), now, rules, default))

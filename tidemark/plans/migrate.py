@@ -19,7 +19,7 @@ from __future__ import annotations
 import logging
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import ripe_name, select_names
 from tidemark.functions.times import ts_literal, whole_second
 from tidemark.operators import metrics as run_reports
-from tidemark.operators.retention import is_kept
+from tidemark.operators.retention import retention_limits
 from tidemark.operators.windows import PURGE_MARGIN, plan_windows, purge_flags, migration_rows, slice_of
 from tidemark.plans.store import COLD_PARTITIONS, HOT_PARTITIONS, TierStore
 from tidemark.sources.files import (
-    decoded_path, file_name, finish_rewrite, overwrite_partitions, rewrite_keeping, settled, table_files,
+    decoded_path, file_name, finish_rewrite, make_folder, overwrite_partitions, rewrite_keeping, settled, table_files,
 )
 from tidemark.sources.state import get_state, open_slices, put_state
 
@@ -385,23 +385,25 @@ def _timed(store, runs, started, completed, workers, error) -> DataFrame:
 def apply_retention(store: TierStore, now: datetime, rules: Mapping[str, int], default: int) -> None:
     """Delete cold rows past the age limit of their table, by the rules as they are now.
 
-    First looks only for the tables that hold such rows, with the youngest limit as a
+    The rules are matched with the names of cold's folders; rows are compared with the limit of their table.
+    First looks only for the tables that hold older ones, with the youngest limit as a
     literal that skips files by their statistics; the rest is left alone.
     """
     finish_rewrite(store.spark, store.cold_path, store.retention_staging)
+    make_folder(store.spark, store.cold_path)
     store.finish_packing()
-    limits = [days for days in (*rules.values(), default) if days > 0]
-    if not limits:
+    limits = settled(retention_limits(store.cold_names(), now, rules, default), "limits")
+    youngest = limits.agg(F.max("kept_from").alias("youngest")).first()["youngest"]
+    if youngest is None:
         return
-    keep = is_kept(F.col("index"), F.col(store.ts), now, rules, default)
-    youngest = ts_literal(now - timedelta(days=min(limits)))
-    expired = store.cold().where((F.col(store.ts) < youngest) & ~keep)
-    touched = settled(expired.select("index").distinct(), "expired")
+    ts = F.col(store.ts)
+    old = store.cold().where(ts < ts_literal(youngest)).join(limits, "index").where(ts < F.col("kept_from"))
+    touched = settled(old.select("index", "kept_from").distinct(), "expired")
     rewrite_keeping(
         store.spark,
         store.cold_path,
         store.cold_schema,
         COLD_PARTITIONS,
-        lambda rows: rows.join(touched, "index", "left_semi").withColumn("_keep", keep),
+        lambda rows: rows.join(touched, "index").withColumn("_keep", F.coalesce(ts >= F.col("kept_from"), F.lit(True))),
         store.retention_staging,
     )

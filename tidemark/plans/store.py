@@ -50,7 +50,14 @@ class TierStore:
 
     def hot_names(self) -> DataFrame:
         """Names of the hot tables, one row each."""
-        names = partition_values(self.spark, self.hot_path, "index")
+        return self._names(self.hot_path)
+
+    def cold_names(self) -> DataFrame:
+        """Names of the cold tables, one row each."""
+        return self._names(self.cold_path)
+
+    def _names(self, path: str) -> DataFrame:
+        names = partition_values(self.spark, path, "index")
         return self.spark.createDataFrame([(n,) for n in sorted(names)], "index STRING")
 
     def hot(self) -> DataFrame:
