@@ -10,13 +10,14 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from tidemark.llm import (  # noqa: E402
-    decontaminate, impacts, jaccard, language, personal, pieces, repeats, secrets, suffixes, token_files, word_pieces,
+    decontaminate, impacts, jaccard, language, personal, pieces, repeats, secrets, suffixes, texts, token_files, word_pieces,
 )
 
 public = pytest.importorskip("public_tokenizers")
@@ -102,6 +103,19 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_batches_and_slices_are_bounded_by_bytes(spark):
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            most = max(len(part.data) for part in texts.slices(iter([batch])))
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows]), "bytes": pa.array([batch.nbytes]), "slice": pa.array([most])})
+
+    found = texts.documents(docs).mapInArrow(sizes, "rows long, bytes long, slice long").collect()
+    assert sum(r["rows"] for r in found) == 3000
+    assert max(r["bytes"] for r in found) <= 2 * texts.BATCH_BYTES and max(r["slice"] for r in found) <= 1 << 20
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n in (0, 1, 511, 512, 513, 4000):
