@@ -8,6 +8,7 @@ import sys
 import zlib
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,32 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_memo_keeps_frequent_words_within_its_bytes():
+    made = Counter()
+
+    def compute(word):
+        made[word] += 1
+        return word.encode()
+
+    memo = texts.Memo(compute, limit=40 * 210)
+    for i in range(1000):
+        assert memo["often"] == b"often" and memo[f"once{i}"] == f"once{i}".encode()
+        assert len(memo) + len(memo.older) <= 42
+    assert made["often"] < 60 and all(made[f"once{i}"] == 1 for i in range(1000))
+
+
+def test_words_are_remembered_by_later_tasks(monkeypatch):
+    monkeypatch.setattr(token_files.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    coder = token_files.word_coder(WORD_FILE)
+    coder.words.clear()
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": pa.array(["Some words, some été", "RÉ e's été..."])})
+    write = token_files._encode(WORD_FILE, 2, 1 << 10)
+    (first,), before = list(write(iter([rows]))), dict(coder.words)
+    (second,) = list(write(iter([rows])))
+    assert before and before == dict(coder.words)
+    assert first.select(["n_tokens", "planes", "doc_tokens"]) == second.select(["n_tokens", "planes", "doc_tokens"])
+
+
 def test_batches_and_slices_are_bounded_by_bytes(spark):
     docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
 

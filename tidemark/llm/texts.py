@@ -199,25 +199,33 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 class Memo(dict):
-    """Results by word. It is emptied when it comes to hold about ``limit`` bytes, entries included."""
+    """Results by word, of about ``limit`` bytes at most, entries included.
+
+    When half of that is held, it becomes the older half and the one before it goes; a word of the older half that comes
+    again is taken over, so frequent words stay.
+    """
 
     ENTRY = 200  # bytes of an entry beside its word and result
 
     def __init__(self, compute, limit: int = 48 << 20):
         super().__init__()
-        self.compute, self.limit, self.held = compute, limit, 0
+        self.compute, self.limit, self.held, self.older = compute, limit, 0, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.compute(key)
         self.held += self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
-        if self.held > self.limit:
-            self.clear()
+        if self.held > self.limit // 2:
+            self.older = dict(self)
+            super().clear()
+            self.held = 0
         self[key] = value
         return value
 
     def clear(self) -> None:
         super().clear()
-        self.held = 0
+        self.held, self.older = 0, {}
 
 
 def segments(lengths: np.ndarray) -> np.ndarray:

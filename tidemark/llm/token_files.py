@@ -9,6 +9,7 @@ counting and occurrence lookup are answered without unpacking the text.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ from tidemark.llm.texts import Memo, documents, segments, ship, slices
 #: Tokens of a block, unless one document alone has more; bounds the memory of a task.
 BLOCK_TOKENS = 1 << 20
 SUPER = 512
+#: Bytes of words and their ids that a worker remembers.
+MEMO_BYTES = 96 << 20
 
 SHARD_SCHEMA = (
     "part int, block int, n_tokens long, width int, zeros array<long>, planes array<binary>, ranks array<binary>,"
@@ -134,12 +137,18 @@ class WaveletMatrix:
         return value
 
 
+def _little_endian(ids: list[int]) -> bytes:
+    """As 32-bit integers; for a few ids quicker than an array of numpy."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordCoder:
     """Ids of texts by a tokenizer that drops white space and never joins across it.
 
     Texts are cut at spaces and line feeds and a distinct word is encoded once while it is remembered. A word that ends
     in ASCII marks after a letter or digit is encoded in two parts, as the tokenizer's own pattern ends a
     match there. A part of small Latin letters is one match that normalising leaves alone, so it goes to the model.
+    What is remembered is bounded and serves all tasks of a worker.
     """
 
     def __init__(self, path: str):
@@ -149,31 +158,26 @@ class WordCoder:
         self.model = self.tokenizer.model
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelling = {c: spelled(chr(c))[0][0] for c in range(0xDF, 0x100)}
-        self.words, self.parts = Memo(self._word), Memo(self._part)
+        self.words = Memo(self._word, MEMO_BYTES)
         self.top = self.tokenizer.get_vocab_size(with_added_tokens=True) - 1
 
-    def _part(self, part: str) -> bytes:
-        if _LETTERS.fullmatch(part):
-            return np.array([t.id for t in self.model.tokenize(part.translate(self.spelling))], dtype="<u4").tobytes()
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
     def _word(self, word: str) -> bytes:
-        head = word.rstrip(_MARKS)
-        if head and len(head) < len(word) and (head[-1].isalpha() or head[-1].isnumeric()):
-            tail = word[len(head) :]
-            # A special token such as <|name|> ends in marks and has to stay whole.
-            if "<|" not in word:
-                return self.parts[head.lower() if head.isascii() else head] + self.parts[tail]
-        return self.parts[word.lower() if word.isascii() and "<|" not in word else word]
+        if _LETTERS.fullmatch(word):
+            spelled = word if word.isascii() else word.translate(self.spelling)
+            return _little_endian([t.id for t in self.model.tokenize(spelled)])
+        # A special token such as <|name|> ends in marks and has to stay whole.
+        if "<|" not in word:
+            head = word.rstrip(_MARKS)
+            if head and len(head) < len(word) and (head[-1].isalpha() or head[-1].isnumeric()):
+                return self.words[head] + self.words[word[len(head) :]]
+            if word.isascii() and (small := word.lower()) != word:
+                return self.words[small]
+        return _little_endian(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
-    def clear(self) -> None:
-        self.words.clear()
-        self.parts.clear()
-
 
 @lru_cache(maxsize=2)
 def word_coder(path: str) -> WordCoder:
@@ -211,7 +215,6 @@ def _encode(path: str, end_id: int, block_tokens: int):
                 size += len(own)
         if ids:
             yield _block(part, number, width, ids, doc_ids)
-        coder.clear()  # workers are used again for other things
 
     return encode
 
