@@ -5,9 +5,10 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
-from tidemark.plans import msearch, msearch_aggs
+from tidemark.plans import msearch, msearch_aggs, msearch_ends
 from tidemark.sources.lines import EMPTY, ODD_LINES
 
 NOW = datetime(2024, 2, 1)
@@ -208,3 +209,38 @@ def test_ranks_are_bounded_before_the_shuffle_at_any_depth(spark, depth):
     ordered = msearch.ordered_rows(table, {"_score": "score"}, ["_score:desc"], "event_id", "score")
     best = msearch._best(ordered, ["index", "order_key"], depth)
     assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n,k", [(1, 1), (13, 3), (64, 16), (100, 200)])
+def test_smallest_within_ranges(n, k):
+    rng = np.random.default_rng(n)
+    rank = rng.permutation(n).astype(np.int32)
+    begin, end = rng.integers(0, n + 1, 200), rng.integers(0, n + 1, 200)
+    found = msearch_ends.smallest_within(rank, begin, end, k)
+    for a, b, row in zip(begin.tolist(), end.tolist(), found.tolist()):
+        best = sorted(rank[a:b].tolist())[:k]
+        assert row == best + [n] * (k - len(best))
+
+
+def test_many_ends_in_one_hour_are_not_compared_with_all_its_rows(spark):
+    rng = random.Random(7)
+    hour = datetime(2024, 1, 10, 7)
+    rows = [(i, "a", hour + timedelta(seconds=rng.randrange(3600)), rng.choice(["hot", "cold"]), float(rng.randrange(9))) for i in range(400)]
+    requests = []
+    for i in range(300):
+        first, last = sorted(hour + timedelta(seconds=rng.randrange(3600)) for _ in range(2))
+        body = {"query": {"range": {"@timestamp": {"gte": first.isoformat(), "lt": last.isoformat()}}}, "from": i % 3, "size": 4}
+        requests.append((i, ["a"], json.dumps(body | ({"sort": {"_score": "asc"}} if i % 2 else {}))))
+    pages, totals = expected(requests, rows)
+    table = spark.createDataFrame(rows, "event_id INT, index STRING, ts TIMESTAMP_NTZ, tier STRING, score DOUBLE")
+    log = spark.createDataFrame(requests, "req_id INT, indices ARRAY<STRING>, body STRING")
+    edges = spark.createDataFrame([("a", hour, i) for i in range(300)] + [("b", hour, 0)], "index STRING, bucket TIMESTAMP_NTZ, req_id INT")
+    sizes = spark.createDataFrame([("a", hour, 400), ("b", hour, 400)], "index STRING, bucket TIMESTAMP_NTZ, n INT")
+    few, many = msearch_ends.split_ends(edges, sizes, msearch.DENSE_ROWS)
+    assert (few.count(), many.count()) == (1, 300)
+    page, summary = msearch.answer(log, table, NOW, {"_score": "score"})
+    got = {}
+    for row in page.orderBy("req_id", "rank").collect():
+        got.setdefault(row.req_id, []).append(row.key)
+    assert got == {k: v for k, v in pages.items() if v}
+    assert {r.req_id: (r.total, r.max_score) for r in summary.collect()} == totals
