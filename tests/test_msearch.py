@@ -244,3 +244,27 @@ def test_many_ends_in_one_hour_are_not_compared_with_all_its_rows(spark):
         got.setdefault(row.req_id, []).append(row.key)
     assert got == {k: v for k, v in pages.items() if v}
     assert {r.req_id: (r.total, r.max_score) for r in summary.collect()} == totals
+
+
+def test_aggregations_of_many_ends_in_one_hour_are_not_joined_with_its_rows(spark):
+    rng = random.Random(8)
+    hour = datetime(2024, 1, 10, 7)
+    rows = [(i, "a", hour + timedelta(seconds=rng.randrange(3600)), "hot", rng.choice([None, *map(float, range(9))])) for i in range(400)]
+    requests = []
+    for i in range(300):
+        first, last = sorted(hour + timedelta(seconds=rng.randrange(3600)) for _ in range(2))
+        body = {"query": {"range": {"@timestamp": {"gte": first.isoformat(), "lt": last.isoformat()}}}}
+        aggs = {"s": {"terms": {"field": "points", "size": 4}}} | ({"h": {"date_histogram": {"field": "@timestamp", "fixed_interval": "1h"}}} if i % 2 else {})
+        requests.append((i, rng.choice([["a"], ["*"]]), json.dumps(body | {"aggs": aggs})))
+    table = spark.createDataFrame(rows, "event_id INT, index STRING, ts TIMESTAMP_NTZ, tier STRING, score DOUBLE")
+    log = spark.createDataFrame(requests, "req_id INT, indices ARRAY<STRING>, body STRING")
+    buckets, _ = msearch_aggs.aggregate(log, table, NOW, {"points": "score"})
+    want = set()
+    for i, names, text in requests:
+        hits = hits_of(names, json.loads(text), [(*r[:1], "a", *r[2:]) for r in rows])
+        kinds = sorted(Counter(str(r[4]) for r in hits if r[4] is not None).items(), key=lambda b: (-b[1], b[0]))[:4]
+        want |= {(i, "s", place, value, n) for place, (value, n) in enumerate(kinds, 1)}
+        if i % 2 and hits:
+            want.add((i, "h", 1, "2024-01-10 07:00:00", len(hits)))
+    assert {tuple(r) for r in buckets.collect()} == want
+    assert "CoGroup" in buckets._jdf.queryExecution().executedPlan().toString()
