@@ -241,6 +241,29 @@ def test_count_tree_loses_no_pair():
                 assert (i, j) in found
 
 
+def test_parities_refute_near_copies_that_are_not_similar_and_no_link():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = []
+    for i in range(60):
+        drawn = base.copy()
+        changed = rng.permutation(400)[: (30, 50, 4)[i % 3]]
+        drawn[changed] = rng.integers(0, 1 << 63, len(changed)).astype(np.uint64)
+        sets.append(np.unique(drawn[: 400 - i]))
+    sizes = np.array([len(x) for x in sets])
+    owner, value = np.repeat(np.arange(60), sizes), np.concatenate(sets)
+    parities = jaccard.set_parities(owner, value, sizes)
+    points = [np.bincount((x % np.uint64(128)).astype(np.int64), minlength=128).astype(np.uint32) for x in sets]
+    one, two = np.triu_indices(60, 1)
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(one, two)])
+    assert (jaccard.least_differences(parities, one, two) <= sizes[one] + sizes[two] - 2 * both).all()
+    linked = 100 * both >= 80 * (sizes[one] + sizes[two] - both)
+    good = jaccard.may_be_similar(points, parities, sizes, one, two, 80)
+    assert good[linked].all()
+    by_counts = jaccard.overlap_bounds(points, one, two) >= jaccard.needed_overlap(sizes[one], sizes[two])
+    assert (by_counts & ~linked).sum() > 100 and (by_counts & ~linked).sum() > 3 * (good & ~linked).sum()
+
+
 def test_secrets(spark):
     learned = [(1000 + i, f"x password={hashlib.md5(str(i).encode()).hexdigest()[:20]} y") for i in range(300)]
     found = secrets.find_secrets(table(spark, TEXTS + learned)).collect()

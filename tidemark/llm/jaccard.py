@@ -10,7 +10,9 @@ so buckets of classes that share such an n-gram are small unless the classes are
 2. In larger buckets that still hold several components, an R-tree over count vectors finds the pairs of different
    components that can be similar: n-grams are hashed into groups, a set is the point of its counts, and the
    coordinate-wise minima of two points, or of a point and a box, bound the overlap from above. Large sets have
-   finer groups, by which the pairs that the tree finds are bounded once more.
+   finer groups, by which the pairs that the tree finds are bounded once more. Counts cannot refute near copies that are
+   a little less similar than asked for, which come in squares; parities can. Of many more groups than n-grams each set
+   has whether its count is odd: groups in which two sets differ hold at least as many n-grams that only one has.
 3. The pairs that are left are verified on whole sets.
 
 Pairs within a component found before need no test, as only components are asked for. Buckets of
@@ -32,6 +34,8 @@ SIMILARITY = 80  # percent
 GROUPS = 128
 #: N-grams in a group on the average, at most; a larger set has finer groups.
 PER_GROUP = 4
+#: Groups of parities for each n-gram of a set, at least.
+PARITIES = 4
 LEAF = 16
 #: Classes of a bucket that are searched together.
 BLOCK_ROWS = 1024
@@ -176,8 +180,51 @@ def overlap_bounds(points: list[np.ndarray], one: np.ndarray, two: np.ndarray) -
     return bound
 
 
+def parity_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the parities of a set; a power of two."""
+    doublings = np.ceil(np.log2(np.maximum(PARITIES * n, 64) / 64))
+    return 1 << doublings.astype(np.int64)
+
+
+def set_parities(owner: np.ndarray, value: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each set which groups have an odd number of its n-grams."""
+    own = 64 * parity_words(n)
+    end = np.cumsum(own)
+    group = ((value >> np.uint64(24)) % own[owner].astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(end[owner] - own[owner] + group, minlength=int(own.sum())) & 1
+    raw = np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    return [raw[(e - g) // 8 : e // 8] for e, g in zip(end.tolist(), own.tolist())]
+
+
+def least_differences(parities: list[bytes], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many n-grams at least are in one set of a pair only, by the groups that the smaller of the two has."""
+    own = np.array([len(p) // 8 for p in parities])
+    shared = np.minimum(own[one], own[two])
+    least = np.zeros(len(one), dtype=np.int64)
+    for g in np.unique(shared).tolist():
+        some = np.flatnonzero(shared == g)
+        used, place = np.unique(np.concatenate([one[some], two[some]]), return_inverse=True)
+        table = np.stack([np.bitwise_xor.reduce(np.frombuffer(parities[i], "<u8").reshape(-1, g), axis=0) for i in used.tolist()])
+        left, right = place[: len(some)], place[len(some) :]
+        step = max(1, (1 << 18) // g)
+        for at in range(0, len(some), step):
+            differ = np.bitwise_count(table[left[at : at + step]] ^ table[right[at : at + step]])
+            least[some[at : at + step]] = differ.sum(axis=1, dtype=np.int64)
+    return least
+
+
+def may_be_similar(points: list[np.ndarray], parities: list[bytes], sizes: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    """Whether counts and parities leave room for the overlap that the sizes of a pair need."""
+    needed = needed_overlap(sizes[one], sizes[two], percent)
+    good = overlap_bounds(points, one, two) >= needed
+    left = np.flatnonzero(good)
+    differ = least_differences(parities, one[left], two[left])
+    good[left] = sizes[one[left]] + sizes[two[left]] - differ >= 2 * needed[left]
+    return good
+
+
 def _points(size: int, groups: int):
-    """Size of the set of each document, and the counts of its n-grams by group."""
+    """Size of the set of each document, and the counts and parities of its n-grams by group."""
 
     def points(batches):
         for part in slices(batches):
@@ -190,6 +237,7 @@ def _points(size: int, groups: int):
             yield pa.RecordBatch.from_pydict({
                 "h": part.column("h"), "n": pa.array(n, pa.int64()),
                 "point": pa.array([packed_point(counts[e - g : e]) for e, g in zip(end.tolist(), own.tolist())], pa.binary()),
+                "parity": pa.array(set_parities(owner, value, n), pa.binary()),
             })
 
     return points
@@ -213,18 +261,16 @@ def _members(size: int):
 
 
 def _possible(percent: int):
-    """Pairs whose counts by group leave room for the overlap their sizes need."""
+    """Pairs whose counts and parities by group leave room for the overlap their sizes need."""
 
     def possible(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 rows = batch.slice(at, 4096)
-                points = [
-                    unpacked_point(p) for x in "ab" for p in rows.column(rows.schema.get_field_index(f"point_{x}")).to_pylist()
-                ]
-                n_one, n_two = (rows.column(rows.schema.get_field_index(f"n_{x}")).to_numpy() for x in "ab")
+                points, parities = ([p for x in "ab" for p in rows.column(f"{c}_{x}").to_pylist()] for c in ("point", "parity"))
+                sizes = np.concatenate([rows.column(f"n_{x}").to_numpy() for x in "ab"])
                 at_one = np.arange(rows.num_rows)
-                good = overlap_bounds(points, at_one, at_one + rows.num_rows) >= needed_overlap(n_one, n_two, percent)
+                good = may_be_similar([unpacked_point(p) for p in points], parities, sizes, at_one, at_one + rows.num_rows, percent)
                 yield rows.select(["a", "b"]).filter(pa.array(good))
 
     return possible
@@ -341,7 +387,7 @@ def _search(percent: int, groups: int):
         q, p = CountTree(points, sizes).pairs(points, sizes, percent)
         different = (label[q] != label[p]) & (h[q] < h[p])
         q, p = q[different], p[different]
-        similar = overlap_bounds(fine, q, p) >= needed_overlap(sizes[q], sizes[p], percent)
+        similar = may_be_similar(fine, [r["parity"] for r in rows], sizes, q, p, percent)
         return h[q[similar]], h[p[similar]]
 
     def single_leaves(buckets: list[list[dict]]):
@@ -361,8 +407,8 @@ def _search(percent: int, groups: int):
         _, once = np.unique(code[q] * len(known) + code[p], return_index=True)
         q, p = q[once], p[once]
         used, place = np.unique(np.concatenate([q, p]), return_inverse=True)
-        fine = [unpacked_point(rows[i]["point"]) for i in used.tolist()]
-        similar = overlap_bounds(fine, place[: len(q)], place[len(q) :]) >= needed_overlap(sizes[q], sizes[p], percent)
+        fine, parities = [unpacked_point(rows[i]["point"]) for i in used.tolist()], [rows[i]["parity"] for i in used.tolist()]
+        similar = may_be_similar(fine, parities, sizes[used], place[: len(q)], place[len(q) :], percent)
         return h[q[similar]], h[p[similar]]
 
     def search(batches):
@@ -442,7 +488,7 @@ def similar_documents(
     involved = classes.join(shared.select("h").distinct(), "h").select("row_key", "h")
     # The one shuffle of all texts; rows that repeat are side by side then.
     texts = kept(keyed.select("row_key", "text").join(involved, "row_key").dropDuplicates(["row_key"]).select("text", "h"), "texts")
-    points = kept(texts.mapInArrow(_points(size, groups), "h long, n long, point binary"), "points")
+    points = kept(texts.mapInArrow(_points(size, groups), "h long, n long, point binary, parity binary"), "points")
 
     close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
 
@@ -452,7 +498,7 @@ def similar_documents(
 
     def bounded(sized: DataFrame) -> DataFrame:
         for x in "ab":
-            sized = sized.join(points.select(F.col("h").alias(x), F.col("point").alias(f"point_{x}")), x)
+            sized = sized.join(points.select(F.col("h").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("point", "parity")]), x)
         return kept(sized.mapInArrow(_possible(percent), "a long, b long"), "close")
 
     # The firsts with which a class shares most n-grams: enough to join most near copies.
