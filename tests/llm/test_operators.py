@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from tidemark.llm import (  # noqa: E402
-    decontaminate, impacts, jaccard, language, personal, pieces, repeats, secrets, suffixes, texts, token_files, word_pieces,
+    decontaminate, graphs, impacts, jaccard, language, personal, pieces, repeats, secrets, suffixes, texts, token_files, word_pieces,
 )
 
 public = pytest.importorskip("public_tokenizers")
@@ -229,6 +229,57 @@ def test_similar_documents(spark):
     assert jaccard.similar_documents(table(spark, [])).count() == 0
 
 
+def test_pairs_of_a_large_group_come_in_bounded_rounds():
+    n = 120
+    point, parity = jaccard.packed_point(np.arange(128)), bytes(8 * 512)
+    rows = [{"token": 1, "low": 0, "high": 0, "h": i - 60, "n": int(np.arange(128).sum()), "label": i, "point": point, "parity": parity} for i in range(n)]
+    upto, most, seen, rounds = -1, 2, set(), 0
+    while upto is not None:
+        batch = pa.RecordBatch.from_pylist([r | {"upto": upto} for r in rows])
+        out = [r for b in jaccard._search(80, 128, most)(iter([batch])) for r in b.to_pylist()]
+        pairs = {(r["a"], r["b"]) for r in out if r["a"] is not None}
+        assert len(pairs) <= most * n and not pairs & seen and (pairs or rounds)
+        (cut,) = [r for r in out if r["a"] is None] or [None]
+        upto, most, seen, rounds = cut and cut["upto"], 8 * most, seen | pairs, rounds + 1
+    assert seen == {(a - 60, b - 60) for b in range(n) for a in range(b)} and rounds == 3
+
+
+def test_similar_documents_in_several_rounds(spark, monkeypatch):
+    """Near copies on either side of the least similarity: pieces of work have more pairs than the first round puts out."""
+    monkeypatch.setattr(jaccard, "PAIRS_PER_CLASS", 1)
+    monkeypatch.setattr(jaccard, "MORE_PAIRS", 2)
+    asked, verify = [], jaccard.verified_links
+    monkeypatch.setattr(jaccard, "verified_links", lambda pairs, *rest: asked.append(pairs.count()) or verify(pairs, *rest))
+    rng = np.random.default_rng(8)
+    base, rows = [f"v{i}" for i in rng.permutation(400)], []
+    for i in range(90):
+        words = list(base)
+        for k in rng.permutation(400)[: (1, 9, 16)[i % 3]]:
+            words[k] = f"own{i}_{k}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(396)} for w in (t.split() for _, t in rows)]
+    least = list(range(90))
+    for _ in range(90):
+        for i in range(90):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    least[i] = least[j] = min(least[i], least[j])
+        if all(least[least[i]] == least[i] for i in range(90)):
+            break
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(table(spark, rows)).collect()}
+    assert got == dict(enumerate(least)) and 1 < len(set(least)) < 90
+    assert len(asked) > 2
+
+
+def test_joined_components(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (9, 9)], "id long, label long")
+    links = spark.createDataFrame([(2, 4), (1, 3), (3, 4), (7, 9), (5, 6), (6, 5)], "a long, b long")
+    found = {r["id"]: r["label"] for r in graphs.joined_components(labels, links).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 9: 7}
+    assert graphs.joined_components(labels, links.where("a < 0")).count() == 5
+
+
 def test_count_tree_loses_no_pair():
     rng = np.random.default_rng(4)
     sizes = rng.integers(20, 60, 200)

@@ -29,3 +29,19 @@ def components(links: DataFrame) -> DataFrame:
         if labels.where("changed").isEmpty():
             forget(both)
             return labels.select("id", "label")
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """id, label of every id in ``labels`` (as ``components`` gives them) or in further links (a, b).
+
+    Only links between components count, each pair of components once.
+    """
+    one, two = (labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab")
+    ends = [F.coalesce(f"{c}_label", c).alias(f"{c}_label") for c in "ab"]
+    named = kept(links.join(one, "a", "left").join(two, "b", "left").select("a", "b", *ends), "named")
+    across = named.where("a_label <> b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    moved = components(across.distinct()).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    known = labels.union(named.select("a", "a_label")).union(named.select("b", "b_label")).distinct()
+    joined = kept(known.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "joined")
+    forget(named)
+    return joined

@@ -16,7 +16,9 @@ so buckets of classes that share such an n-gram are small unless the classes are
 3. The pairs that are left are verified on whole sets.
 
 Pairs within a component found before need no test, as only components are asked for. Buckets of
-many classes are cut into blocks, and pairs of blocks are separate pieces of work.
+many classes are cut into blocks, and pairs of blocks are separate pieces of work. A piece with many more pairs than
+classes first puts out a few for each class, by a hash of the pair; when those are verified and their components joined,
+it is searched again for pairs of components that are still apart, until no piece has any left.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.graphs import components
+from tidemark.llm.graphs import components, joined_components
 from tidemark.llm.texts import Slice, documents, forget, kept, lower_ascii, packed, pair_hash, row_key, segments, slices, unpacked, word_hashes, words
 
 SHINGLE = 5
@@ -39,6 +41,9 @@ PARITIES = 4
 LEAF = 16
 #: Classes of a bucket that are searched together.
 BLOCK_ROWS = 1024
+#: Pairs that a piece of work puts out for each of its classes in the first round, and how many times more in each further one.
+PAIRS_PER_CLASS = 2
+MORE_PAIRS = 8
 #: Classes of a block whose sets are verified together.
 VERIFY_ROWS = 1024
 #: Counters of the sketch that tells frequent n-grams, and how far above the mean they are.
@@ -372,8 +377,16 @@ class CountTree:
         return query, self.order[node]
 
 
-def _search(percent: int, groups: int):
-    """Rows come sorted by bucket and pair of blocks; emits pairs of different components that may be similar."""
+FOUND_SCHEMA = "a long, b long, token long, low int, high int, upto long"
+
+
+def _search(percent: int, groups: int, most: int):
+    """Rows come sorted by bucket and pair of blocks; emits pairs of different components that may be similar.
+
+    Of a piece of work that has more than ``most`` for each class, the first ones by a hash of the pair, and a row that
+    names the piece and the last hash: a later round goes on behind it.
+    """
+    cuts = []
 
     def found(rows: list[dict]):
         fine = [unpacked_point(r["point"]) for r in rows]
@@ -387,8 +400,16 @@ def _search(percent: int, groups: int):
         q, p = CountTree(points, sizes).pairs(points, sizes, percent)
         different = (label[q] != label[p]) & (h[q] < h[p])
         q, p = q[different], p[different]
+        spread = (pair_hash(h[q].view(np.uint64), h[p].view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        rest = spread > rows[0]["upto"]
+        q, p, spread = q[rest], p[rest], spread[rest]
         similar = may_be_similar(fine, [r["parity"] for r in rows], sizes, q, p, percent)
-        return h[q[similar]], h[p[similar]]
+        q, p, spread = q[similar], p[similar], spread[similar]
+        if len(q) > most * len(rows):
+            upto = np.partition(spread, most * len(rows) - 1)[most * len(rows) - 1]
+            q, p = q[spread <= upto], p[spread <= upto]
+            cuts.append((rows[0]["token"], rows[0]["low"], rows[0]["high"], int(upto)))
+        return h[q], h[p]
 
     def single_leaves(buckets: list[list[dict]]):
         """Many buckets that are a single leaf each, at once."""
@@ -439,21 +460,27 @@ def _search(percent: int, groups: int):
                     if held > 8192:
                         leaves()
                     if size > 50_000:
-                        yield _pairs(out)
+                        yield _found(out, cuts)
                         out, size = [], 0
+                        cuts.clear()
                 key = own
                 rows.append(row)
         ended()
         leaves()
         if out:
-            yield _pairs(out)
+            yield _found(out, cuts)
 
     return search
 
 
-def _pairs(found) -> pa.RecordBatch:
+def _found(found, cuts: list[tuple]) -> pa.RecordBatch:
+    """Distinct pairs, and the pieces of work that have more of them."""
     both = np.unique(np.stack([np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["a", "b"])
+    pairs = {"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())}
+    left = {c: pa.array([x[i] for x in cuts], t) for i, (c, t) in enumerate((("token", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("upto", pa.int64())))}
+    columns = {c: pa.concat_arrays([x, pa.nulls(len(cuts), x.type)]) for c, x in pairs.items()}
+    columns |= {c: pa.concat_arrays([pa.nulls(len(both), x.type), x]) for c, x in left.items()}
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def similar_documents(
@@ -528,18 +555,28 @@ def similar_documents(
     several = open_.where("rows > 2").groupBy("rows", "mixed", "summed").agg(F.min("token").alias("token")).select("token", blocks)
     left = labelled.drop("n", "at").join(several, "token").withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
     work = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", "h", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        "token", "h", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.lit(-1).cast("long").alias("upto")
     )
-    searched = work.join(points, "h").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    maybe = searched.mapInArrow(_search(percent, groups), "a long, b long").distinct()
-    untried = kept(maybe.join(done, ["a", "b"], "left_anti").union(single).distinct(), "maybe")
-    forget(open_, single)
-    forget(labelled)
-    more = verified_links(untried, texts, size, percent)
-    forget(texts, points, untried)
-    final = components(links.union(more))
-
-    named = classes.join(final.withColumnRenamed("id", "h"), "h", "left").select("h", "least", F.coalesce("label", "h").alias("label"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little data may be much work
+    piece, most, asked, superseded, cut = ["token", "low", "high"], PAIRS_PER_CLASS, [], [open_, single, labelled], None
+    while cut is None or not cut.isEmpty():
+        if cut is not None:
+            again = kept(work.drop("label", "upto").join(cut, piece), "again")
+            forget(maybe, *superseded)
+            relabelled = again.join(labels.withColumnRenamed("id", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
+            apart = relabelled.groupBy(*piece).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*piece)
+            work, most, superseded = relabelled.join(apart, piece, "left_semi"), most * MORE_PAIRS, [again]
+        searched = work.join(points, "h").repartition(tasks, *piece).sortWithinPartitions(*piece)
+        maybe = kept(searched.mapInArrow(_search(percent, groups, most), FOUND_SCHEMA).distinct(), "maybe")
+        pairs = maybe.where("a IS NOT NULL").select("a", "b").join(done, ["a", "b"], "left_anti")
+        asked.append(kept(pairs if asked else pairs.union(single).distinct(), "untried"))
+        done = done.union(asked[-1])
+        labels = joined_components(labels, verified_links(asked[-1], texts, size, percent))
+        cut = maybe.where("token IS NOT NULL").select(*piece, "upto")
+    forget(maybe, *superseded, *asked)
+    forget(texts, points)
+
+    named = classes.join(labels.withColumnRenamed("id", "h"), "h", "left").select("h", "least", F.coalesce("label", "h").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "label").select("h", "component_id")
     joined = sizes.join(by_class, "h", "left")
