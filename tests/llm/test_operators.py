@@ -130,6 +130,19 @@ def test_words_are_remembered_by_later_tasks(monkeypatch):
     assert first.select(["n_tokens", "planes", "doc_tokens"]) == second.select(["n_tokens", "planes", "doc_tokens"])
 
 
+def test_latin_texts_are_lowered_whole_and_others_are_not():
+    coder = token_files.WordCoder(WORD_FILE)
+    coder.encode("Été ÉTÉ, été Word\nWORD wORD.")
+    assert set(coder.words) == {"été", "été,", ",", "word", "word.", "."}
+    rng = np.random.default_rng(2)
+    cased = [chr(c) for c in range(256)] + list("  aAzZ'SST\n")
+    drawn = ["".join(rng.choice(cased, 40)) for _ in range(300)]
+    special = ["<|EndOfText|> Été <|endoftext|>", "J\u030c T\u0308 W\u030a A\u0301 Été", "ΑΣ ΣΑΣ Été", "İstanbul Été", "µ ß ÿ Þ ª º À×÷"]
+    for text in drawn + special + ["".join(map(chr, range(256)))]:
+        want = coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == want, text
+
+
 def test_batches_and_slices_are_bounded_by_bytes(spark):
     docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
 

@@ -25,7 +25,7 @@ from tidemark.llm.texts import Memo, documents, segments, ship, slices
 BLOCK_TOKENS = 1 << 20
 SUPER = 512
 #: Bytes of words and their ids that a worker remembers.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 192 << 20
 
 SHARD_SCHEMA = (
     "part int, block int, n_tokens long, width int, zeros array<long>, planes array<binary>, ranks array<binary>,"
@@ -142,13 +142,24 @@ def _little_endian(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordCoder:
     """Ids of texts by a tokenizer that drops white space and never joins across it.
 
     Texts are cut at spaces and line feeds and a distinct word is encoded once while it is remembered. A word that ends
     in ASCII marks after a letter or digit is encoded in two parts, as the tokenizer's own pattern ends a
     match there. A part of small Latin letters is one match that normalising leaves alone, so it goes to the model.
-    What is remembered is bounded and serves all tasks of a worker.
+    What is remembered is bounded and serves all tasks of a worker. A text of Latin-1 characters is lower-cased whole: the
+    tokenizer does that to each of them alone, and composes none of them.
     """
 
     def __init__(self, path: str):
@@ -176,7 +187,11 @@ class WordCoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        if "<|" not in text and _is_latin(text):
+            text = text.lower()
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
