@@ -54,36 +54,39 @@ WORD_BYTES = np.ones(256, dtype=bool)
 WORD_BYTES[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def shingle_sets(part: Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Document and hash of the distinct shingles of each document, by document and hash.
+def shingles(part: Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles each document has, and their hashes by document and place.
 
     A document of fewer words has all of them as its only shingle; one without words has none.
     """
     data = lower_ascii(part.data)
     begin, end, doc = words(data, part.starts, part.ends, WORD_BYTES)
     hashed = word_hashes(data, begin, end)
-    count = len(part.starts)
-    n = np.bincount(doc, minlength=count)
+    n = np.bincount(doc, minlength=len(part.starts))
     first = np.cumsum(n) - n
     joined = hashed
     if len(hashed) >= size:
         joined = hashed[: len(hashed) - size + 1]
         for k in range(1, size):
             joined = pair_hash(joined, hashed[k : k + len(joined)])
-    full = np.maximum(n - size + 1, 0)
-    at = np.repeat(first, full) + segments(full)
-    owner, value = np.repeat(np.arange(count), full), joined[at] if len(at) else np.zeros(0, np.uint64)
-    short = np.flatnonzero((n > 0) & (n < size))
-    if len(short):
-        extra = []
-        for d in short.tolist():
-            h = np.array([n[d]], dtype=np.uint64)
-            for w in hashed[first[d] : first[d] + n[d]]:
-                h = pair_hash(h, np.array([w]))
-            extra.append(h[0])
-        owner, value = np.concatenate([owner, short]), np.concatenate([value, np.array(extra, dtype=np.uint64)])
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
+    many = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+    value = joined[np.minimum(np.repeat(first, many) + segments(many), max(0, len(joined) - 1))]
+    place = np.cumsum(many) - many
+    for d in np.flatnonzero((n > 0) & (n < size)).tolist():
+        h = np.array([n[d]], dtype=np.uint64)
+        for w in hashed[first[d] : first[d] + n[d]]:
+            h = pair_hash(h, np.array([w]))
+        value[place[d]] = h[0]
+    return many, value
+
+
+def shingle_sets(part: Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of the distinct shingles of each document, by document and hash."""
+    many, value = shingles(part, size)
+    end = np.cumsum(many)
+    for b, e in zip((end - many).tolist(), end.tolist()):
+        value[b:e].sort()
+    owner = np.repeat(np.arange(len(many)), many)
     new = np.ones(len(owner), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     return owner[new], value[new]
@@ -94,14 +97,15 @@ def _counters(value: np.ndarray) -> np.ndarray:
 
 
 def _sketch(size: int):
-    """Counters of a task that are well above its mean."""
+    """Counters of a task that are well above its mean, and the sum of all of them as counter -1."""
 
     def sketch(batches):
         seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for part in slices(batches):
-            seen += np.bincount(_counters(shingle_sets(part, size)[1]), minlength=len(seen))
-        high = np.flatnonzero(seen > 2 * seen.mean() + 8)
-        yield pa.RecordBatch.from_pydict({"counter": pa.array(high, pa.int32()), "n": pa.array(seen[high], pa.int64())})
+            seen += np.bincount(_counters(shingles(part, size)[1]), minlength=len(seen))
+        high = np.flatnonzero(seen > 2 * seen.mean() + 2)
+        counter, n = np.append(high, -1), np.append(seen[high], seen.sum())
+        yield pa.RecordBatch.from_pydict({"counter": pa.array(counter, pa.int32()), "n": pa.array(n, pa.int64())})
 
     return sketch
 
@@ -113,7 +117,8 @@ def frequent_levels(texts: DataFrame, size: int) -> np.ndarray:
     levels = np.zeros(1 << SKETCH_BITS, dtype=np.int8)
     if rows:
         counter, n = np.array([r["counter"] for r in rows]), np.array([r["n"] for r in rows], dtype=float)
-        usual = max(1.0, float(np.median(n)))
+        usual = max(1.0, n[counter < 0].sum() / len(levels))
+        counter, n = counter[counter >= 0], n[counter >= 0]
         levels[counter] = np.maximum(0, np.log2(n / (FREQUENT * usual)) + 1).astype(np.int8)
     return levels
 
@@ -128,10 +133,16 @@ def _documents(size: int, percent: int, levels: np.ndarray):
             n = np.bincount(owner, minlength=count)
             end = np.cumsum(n)
             known = np.zeros(count, dtype=np.uint64)
-            for d in np.flatnonzero(n).tolist():
-                mixed = pair_hash(value[end[d] - n[d] : end[d]], np.uint64(n[d]))
-                known[d] = pair_hash(np.bitwise_xor.reduce(mixed, keepdims=True), mixed.sum(dtype=np.uint64))[0]
-            order = np.lexsort((value, levels[_counters(value)], owner))
+            if len(value):
+                some = np.flatnonzero(n)
+                begin, mixed = (end - n)[some], pair_hash(value, n.astype(np.uint64)[owner])
+                known[some] = pair_hash(np.bitwise_xor.reduceat(mixed, begin), np.add.reduceat(mixed, begin))
+            # By document, level and hash: only documents with frequent n-grams are not in that order yet.
+            order, level = np.arange(len(value)), levels[_counters(value)]
+            frequent = np.zeros(count, dtype=bool)
+            frequent[owner[level > 0]] = True
+            moved = np.flatnonzero(frequent[owner])
+            order[moved] = moved[np.argsort(owner[moved] << 8 | level[moved], kind="stable")]
             # A set of n shares at least ceil(t n) n-grams with one that is similar.
             prefix = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
             at = np.repeat(end - n, prefix) + segments(prefix)
@@ -380,93 +391,115 @@ class CountTree:
 FOUND_SCHEMA = "a long, b long, token long, low int, high int, upto long"
 
 
+def whole_pieces(batches):
+    """Batches cut where a bucket and pair of blocks ends; rows come sorted by these."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "low", "high")], 1)
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]).any(axis=1)
+        new[0] = last is not None and bool((key[0] != last).any())
+        last, cuts = key[-1], np.flatnonzero(new)
+        if len(cuts):
+            held.append(batch.slice(0, cuts[-1]))
+            if any(b.num_rows for b in held):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        held.append(batch.slice(cuts[-1] if len(cuts) else 0))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _search(percent: int, groups: int, most: int):
     """Rows come sorted by bucket and pair of blocks; emits pairs of different components that may be similar.
 
-    Of a piece of work that has more than ``most`` for each class, the first ones by a hash of the pair, and a row that
-    names the piece and the last hash: a later round goes on behind it.
+    Of two blocks the pairs between them are searched. A pair that is similar shares its first common n-gram early enough
+    in the order (``at``, the place of the bucket's n-gram in the set); it comes from that bucket.
+    Of a piece of work with more than ``most`` pairs for each class, which all ``pieces`` of the class share, and more
+    than a few, the first ones by a hash, and a row that names the piece and the last hash: a later round goes on behind it.
     """
     cuts = []
 
-    def found(rows: list[dict]):
-        fine = [unpacked_point(r["point"]) for r in rows]
-        points = np.stack([folded(p, groups) for p in fine])
-        if points.max() < 1 << 16:
-            points = points.astype(np.uint16)
-        sizes = np.array([r["n"] for r in rows], dtype=np.int64)
-        label, h = np.array([r["label"] for r in rows]), np.array([r["h"] for r in rows])
-        if (label == label[0]).all():
+    def early(rows, q, p):
+        """Whether what is left of both sets from here on is enough."""
+        rest = np.minimum(rows["n"][q] - rows["at"][q], rows["n"][p] - rows["at"][p])
+        return rest >= needed_overlap(rows["n"][q], rows["n"][p], percent)
+
+    def found(rows: dict, points, parities):
+        label, h, sizes, block = rows["label"], rows["h"], rows["n"], rows["block"]
+        names, own = np.unique(label, return_inverse=True)
+        if len(names) == 1:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        q, p = CountTree(points, sizes).pairs(points, sizes, percent)
-        different = (label[q] != label[p]) & (h[q] < h[p])
-        q, p = q[different], p[different]
-        spread = (pair_hash(h[q].view(np.uint64), h[p].view(np.uint64)) >> np.uint64(1)).astype(np.int64)
-        rest = spread > rows[0]["upto"]
+        fine = [unpacked_point(p) for p in points.to_pylist()]
+        table = np.stack([folded(p, groups) for p in fine])
+        if table.max() < 1 << 16:
+            table = table.astype(np.uint16)
+        # No pair lies within the largest component, so its classes ask for none.
+        usual = own == np.bincount(own).argmax()
+        asks = np.flatnonzero(~usual)
+        q, p = CountTree(table, sizes).pairs(table[asks], sizes[asks], percent)
+        q = asks[q]
+        good = (label[q] != label[p]) & (usual[p] | (h[q] < h[p])) & early(rows, q, p)
+        if rows["low"][0] != rows["high"][0]:
+            good &= block[q] != block[p]
+        q, p = q[good], p[good]
+        q, p = np.where(h[q] < h[p], q, p), np.where(h[q] < h[p], p, q)
+        token = np.uint64(int(rows["token"][0]) & (1 << 64) - 1)
+        spread = (pair_hash(pair_hash(h[q].view(np.uint64), h[p].view(np.uint64)), token) >> np.uint64(1)).astype(np.int64)
+        rest = spread > rows["upto"][0]
         q, p, spread = q[rest], p[rest], spread[rest]
-        similar = may_be_similar(fine, [r["parity"] for r in rows], sizes, q, p, percent)
+        similar = may_be_similar(fine, parities.to_pylist(), sizes, q, p, percent)
         q, p, spread = q[similar], p[similar], spread[similar]
-        if len(q) > most * len(rows):
-            upto = np.partition(spread, most * len(rows) - 1)[most * len(rows) - 1]
+        limit = int(most * max((1 / rows["pieces"]).sum(), LEAF // 2))
+        if len(q) > limit:
+            upto = np.partition(spread, limit - 1)[limit - 1]
             q, p = q[spread <= upto], p[spread <= upto]
-            cuts.append((rows[0]["token"], rows[0]["low"], rows[0]["high"], int(upto)))
+            cuts.append((rows["token"][0], rows["low"][0], rows["high"][0], int(upto)))
         return h[q], h[p]
 
-    def single_leaves(buckets: list[list[dict]]):
+    def single_leaves(rows: dict, length: np.ndarray, points, parities):
         """Many buckets that are a single leaf each, at once."""
-        rows = [r for bucket in buckets for r in bucket]
-        length = np.array([len(b) for b in buckets])
         first = np.repeat(np.cumsum(length) - length, length)
         width = np.repeat(length, length)
-        q = np.repeat(np.arange(len(rows)), width)
+        q = np.repeat(np.arange(len(first)), width)
         p = np.repeat(first, width) + segments(width)
-        sizes = np.array([r["n"] for r in rows], dtype=np.int64)
-        label, h = np.array([r["label"] for r in rows]), np.array([r["h"] for r in rows])
+        sizes, label, h = rows["n"], rows["label"], rows["h"]
+        good = (label[q] != label[p]) & (h[q] < h[p])
+        q, p = q[good], p[good]
         low, high = np.minimum(sizes[q], sizes[p]), np.maximum(sizes[q], sizes[p])
-        good = (label[q] != label[p]) & (h[q] < h[p]) & (100 * low >= percent * high)
+        good = (100 * low >= percent * high) & early(rows, q, p)
         q, p = q[good], p[good]
         known, code = np.unique(h, return_inverse=True)
         _, once = np.unique(code[q] * len(known) + code[p], return_index=True)
         q, p = q[once], p[once]
         used, place = np.unique(np.concatenate([q, p]), return_inverse=True)
-        fine, parities = [unpacked_point(rows[i]["point"]) for i in used.tolist()], [rows[i]["parity"] for i in used.tolist()]
-        similar = may_be_similar(fine, parities, sizes[used], place[: len(q)], place[len(q) :], percent)
+        fine, used_parities = [unpacked_point(x) for x in points.take(pa.array(used)).to_pylist()], parities.take(pa.array(used)).to_pylist()
+        similar = may_be_similar(fine, used_parities, sizes[used], place[: len(q)], place[len(q) :], percent)
         return h[q[similar]], h[p[similar]]
 
     def search(batches):
-        rows, key, out, size, small, held = [], None, [], 0, [], 0
-
-        def ended() -> None:
-            nonlocal rows, small, held, size
-            if len(rows) > LEAF:
-                out.append(found(rows))
+        out, size = [], 0
+        for batch in whole_pieces(batches):
+            rows = {c: batch.column(c).to_numpy() for c in batch.schema.names if c not in ("point", "parity")}
+            rows = {"at": np.zeros(batch.num_rows, np.int64), "block": rows["low"], "pieces": np.ones(batch.num_rows)} | rows
+            points, parities = batch.column("point"), batch.column("parity")
+            key = np.stack([rows[c] for c in ("token", "low", "high")], 1)
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+            length = np.diff(np.append(first, batch.num_rows))
+            for f, n in zip(first[length > LEAF].tolist(), length[length > LEAF].tolist()):
+                out.append(found({c: x[f : f + n] for c, x in rows.items()}, points.slice(f, n), parities.slice(f, n)))
                 size += len(out[-1][0])
-            elif rows:
-                small.append(rows)
-                held += len(rows)
-            rows = []
-
-        def leaves() -> None:
-            nonlocal small, held, size
-            if small:
-                out.append(single_leaves(small))
+            small = np.flatnonzero(np.repeat(length <= LEAF, length))
+            if len(small):
+                at = pa.array(small)
+                out.append(single_leaves({c: x[small] for c, x in rows.items()}, length[length <= LEAF], points.take(at), parities.take(at)))
                 size += len(out[-1][0])
-            small, held = [], 0
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = (row["token"], row["low"], row["high"])
-                if own != key:
-                    ended()
-                    if held > 8192:
-                        leaves()
-                    if size > 50_000:
-                        yield _found(out, cuts)
-                        out, size = [], 0
-                        cuts.clear()
-                key = own
-                rows.append(row)
-        ended()
-        leaves()
+            if size > 50_000:
+                yield _found(out, cuts)
+                out, size = [], 0
+                cuts.clear()
         if out:
             yield _found(out, cuts)
 
@@ -552,11 +585,15 @@ def similar_documents(
     single = bounded(twos.where(close & enough).select("a", "b", "n_a", "n_b").distinct().join(done, ["a", "b"], "left_anti"))
     # Buckets of the same classes give the same pairs: one of them is searched.
     blocks = F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")
-    several = open_.where("rows > 2").groupBy("rows", "mixed", "summed").agg(F.min("token").alias("token")).select("token", blocks)
-    left = labelled.drop("n", "at").join(several, "token").withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
+    first_token = F.min_by("token", "one.at").alias("token")  # the first of them in the order of its classes
+    several = open_.where("rows > 2").groupBy("rows", "mixed", "summed").agg(first_token).select("token", blocks)
+    left = labelled.drop("n").join(several, "token").withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
     work = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", "h", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.lit(-1).cast("long").alias("upto")
+        "token", "h", "label", "at", "block", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        F.lit(-1).cast("long").alias("upto"),
     )
+    # A class is in about as many buckets as n-grams of it come first.
+    pieces = F.col("blocks") * (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little data may be much work
     piece, most, asked, superseded, cut = ["token", "low", "high"], PAIRS_PER_CLASS, [], [open_, single, labelled], None
     while cut is None or not cut.isEmpty():
@@ -566,7 +603,7 @@ def similar_documents(
             relabelled = again.join(labels.withColumnRenamed("id", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
             apart = relabelled.groupBy(*piece).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*piece)
             work, most, superseded = relabelled.join(apart, piece, "left_semi"), most * MORE_PAIRS, [again]
-        searched = work.join(points, "h").repartition(tasks, *piece).sortWithinPartitions(*piece)
+        searched = work.join(points, "h").withColumn("pieces", pieces).drop("blocks").repartition(tasks, *piece).sortWithinPartitions(*piece)
         maybe = kept(searched.mapInArrow(_search(percent, groups, most), FOUND_SCHEMA).distinct(), "maybe")
         pairs = maybe.where("a IS NOT NULL").select("a", "b").join(done, ["a", "b"], "left_anti")
         asked.append(kept(pairs if asked else pairs.union(single).distinct(), "untried"))
