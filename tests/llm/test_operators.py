@@ -104,6 +104,19 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_reading_token_files_does_not_shuffle_blocks(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(400))) for i in range(40)]
+    token_files.write_tokens(table(spark, rows), str(tmp_path / "t"), WORD_FILE, end_id=2, block_tokens=500)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(64 << 10))
+    try:
+        plan = token_files.read_tokens(spark, str(tmp_path / "t"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_memo_keeps_frequent_words_within_its_bytes():
     made = Counter()
 
@@ -143,6 +156,20 @@ def test_latin_texts_are_lowered_whole_and_others_are_not():
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == want, text
 
 
+def test_words_of_letters_digits_and_marks_are_put_together_from_matches(monkeypatch):
+    coder = token_files.WordCoder(WORD_FILE)
+    rng = np.random.default_rng(5)
+    signs = list("abzqßàöøÿé019.,:;-_/@[]`{|}~!\"#$%&()*+<=>?\\^'") + ["×", "÷", "²", "½", "ª", "µ", "×", "\xa0", "\xad", "\u0301", "'s", "<|"]
+    for _ in range(1500):
+        word = "".join(rng.choice(signs, rng.integers(1, 16)))
+        want = coder.tokenizer.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(coder.encode(word), "<u4").tolist() == want, word
+    coder = token_files.WordCoder(WORD_FILE)
+    whole, coder.tokenizer = [], SimpleNamespace(encode=lambda word, **_: whole.append(word) or SimpleNamespace(ids=[len(word)]))
+    coder.encode("71.187.144.186 été@7.fr, x=1")
+    assert all(len(set(w)) == 1 for w in whole) and len(whole) == len(set(whole))
+
+
 def test_batches_and_slices_are_bounded_by_bytes(spark):
     docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
 
@@ -156,6 +183,20 @@ def test_batches_and_slices_are_bounded_by_bytes(spark):
     assert max(r["bytes"] for r in found) <= 2 * texts.BATCH_BYTES and max(r["slice"] for r in found) <= 1 << 20
 
 
+def test_word_hashes():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    begin = np.sort(rng.integers(0, 2990, 200))
+    end = begin + rng.integers(1, 10, 200)
+    want = []
+    for b, e in zip(begin.tolist(), end.tolist()):
+        total = sum((x + 1) * pow(texts._BASE, k + 1, 1 << 64) for k, x in enumerate(data[b:e].tolist())) % (1 << 64)
+        want.append(texts.mix(np.array([total ^ ((e - b) << 56)], dtype=np.uint64))[0])
+    assert (texts.word_hashes(data, begin, end) == np.array(want)).all()
+    long = np.concatenate([np.zeros(2 * texts.SLICE_BYTES, np.uint8), data])
+    assert (texts.word_hashes(long, begin + 2 * texts.SLICE_BYTES, end + 2 * texts.SLICE_BYTES) == np.array(want)).all()
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n in (0, 1, 511, 512, 513, 4000):
@@ -257,6 +298,61 @@ def test_pairs_of_a_large_group_come_in_bounded_rounds():
     assert seen == {(a - 60, b - 60) for b in range(n) for a in range(b)} and rounds == 3
 
 
+def piece_rows(n: int, token: int, **more) -> list[dict]:
+    point, parity = jaccard.packed_point(np.arange(128)), bytes(8 * 512)
+    row = {"token": token, "low": 0, "high": 0, "n": 8128, "at": 0, "block": 0, "pieces": 1, "upto": -1, "point": point, "parity": parity}
+    return [row | {"h": i, "label": i} | more for i in range(n)]
+
+
+def searched(rows: list[dict], most: int) -> list[dict]:
+    """Rows of the search, which gets them in batches that end anywhere."""
+    batches = [pa.RecordBatch.from_pylist(rows[at : at + 37]) for at in range(0, len(rows), 37)]
+    return [r for b in jaccard._search(80, 128, most)(iter(batches)) for r in b.to_pylist()]
+
+
+def test_buckets_of_the_same_group_share_what_its_classes_put_out():
+    n, buckets = 120, 40
+    upto, most, seen, rounds = {t: -1 for t in range(buckets)}, 2, set(), 0
+    while upto:
+        # Hashes of another bucket differ, so the buckets put out different pairs.
+        rows = [r for t, u in upto.items() for r in piece_rows(n, t, pieces=buckets, upto=u)]
+        out = searched(rows, most)
+        pairs = [(r["a"], r["b"]) for r in out if r["a"] is not None]
+        assert len(pairs) <= most * max(n, buckets * jaccard.LEAF // 2)
+        assert rounds or len(set(pairs)) > n
+        upto = {r["token"]: r["upto"] for r in out if r["a"] is None}
+        most, seen, rounds = 8 * most, seen | set(pairs), rounds + 1
+    assert seen == {(a, b) for b in range(n) for a in range(b)}
+
+
+def test_pieces_of_two_blocks_put_out_the_pairs_between_them():
+    halves = [[r | {"block": i % 2} for i, r in enumerate(piece_rows(60, 5))][b::2] for b in (0, 1)]
+    parts = [halves[0], [r | {"high": 1} for r in halves[0] + halves[1]], [r | {"low": 1, "high": 1} for r in halves[1]]]
+    out = searched([r for p in parts for r in p], 100)
+    assert sorted((r["a"], r["b"]) for r in out) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+
+def test_classes_of_the_largest_component_are_paired_with_the_others_only():
+    rows = [r | {"label": min(r["h"], 50) if r["h"] < 70 else 70} for r in piece_rows(90, 5)]
+    label = [r["label"] for r in rows]
+    want = [(a, b) for a in range(90) for b in range(a + 1, 90) if label[a] != label[b]]
+    assert sorted((r["a"], r["b"]) for r in searched(rows, 100)) == want
+
+
+def test_a_bucket_leaves_out_pairs_whose_rest_is_too_short():
+    for n in (10, 40):  # a leaf, and a tree
+        rows = [r | {"at": 904 if r["h"] % 2 else 903} for r in piece_rows(n, 5)]  # 8128 - 903 are needed
+        assert sorted((r["a"], r["b"]) for r in searched(rows, 100)) == [(a, b) for a in range(0, n, 2) for b in range(a + 2, n, 2)]
+
+
+def test_frequent_ngrams_are_told_in_small_tasks(spark):
+    docs = table(spark, [(i, f"a b c d e own{i} f{i} g{i} h{i} i{i}") for i in range(300)])
+    levels = [jaccard.frequent_levels(docs.repartition(k), 5) for k in (1, 60)]
+    part = next(texts.slices(iter([pa.RecordBatch.from_pydict({"text": pa.array(["a b c d e"])})])))
+    (counter,) = jaccard._counters(jaccard.shingles(part)[1])
+    assert all(x[counter] > 0 and (x > 0).sum() < 10 for x in levels)
+
+
 def test_similar_documents_in_several_rounds(spark, monkeypatch):
     """Near copies on either side of the least similarity: pieces of work have more pairs than the first round puts out."""
     monkeypatch.setattr(jaccard, "PAIRS_PER_CLASS", 1)

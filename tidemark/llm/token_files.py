@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import Memo, documents, segments, ship, slices
+from tidemark.llm.texts import Memo, documents, kept, segments, ship, slices
 
 #: Tokens of a block, unless one document alone has more; bounds the memory of a task.
 BLOCK_TOKENS = 1 << 20
@@ -33,6 +34,9 @@ SHARD_SCHEMA = (
 )
 
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: Small Latin letters, digits and ASCII marks but the apostrophe, and the matches of the tokenizer's pattern in such words.
+_PLAIN = re.compile("[!-&(-@[-~ß-öø-ÿ]+")
+_MATCHES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-/:-@[-`{-~]+")
 #: ASCII marks that may be cut off the end of a word before it is encoded.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -51,13 +55,14 @@ class WaveletMatrix:
             packed = np.packbits(bit, bitorder="little")
             whole = np.zeros(-(-len(packed) // (SUPER // 8)) * (SUPER // 8), dtype=np.uint8)
             whole[: len(packed)] = packed
-            ones = np.cumsum(np.bitwise_count(whole).reshape(-1, SUPER // 8).sum(axis=1, dtype=np.int64))
+            ones = np.cumsum(np.bitwise_count(whole.view(np.uint64)).reshape(-1, SUPER // 64).sum(axis=1, dtype=np.int64))
             planes.append(packed)
             ranks.append(np.concatenate([[0], ones[:-1]])[: len(ones)].astype(np.uint32))
             zeros.append(len(row) - int(ones[-1]) if len(ones) else 0)
             parted = np.empty_like(row)
-            parted[: zeros[-1]] = row[~bit]
-            parted[zeros[-1] :] = row[bit]
+            # Places first: a mask over the ids themselves is slower.
+            np.take(row, np.flatnonzero(~bit), out=parted[: zeros[-1]], mode="clip")
+            np.take(row, np.flatnonzero(bit), out=parted[zeros[-1] :], mode="clip")
             row = parted
         return cls(len(ids), zeros, planes, ranks)
 
@@ -126,20 +131,23 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All tokens in order: the partings of the planes are undone from the last one up."""
-        value = np.zeros(self.n, dtype=np.uint32)
         width = len(self.planes)
+        value = np.zeros(self.n, dtype=np.uint16 if width <= 16 else np.uint32)
         for level in range(width - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            above = np.empty(self.n, dtype=np.uint32)
-            above[~bit] = value[: self.zeros[level]]
-            above[bit] = value[self.zeros[level] :] | np.uint32(1 << (width - 1 - level))
+            above = np.empty_like(value)
+            above[np.flatnonzero(~bit)] = value[: self.zeros[level]]
+            above[np.flatnonzero(bit)] = value[self.zeros[level] :] | value.dtype.type(1 << (width - 1 - level))
             value = above
-        return value
+        return value.astype(np.uint32)
+
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def _little_endian(ids: list[int]) -> bytes:
     """As 32-bit integers; for a few ids quicker than an array of numpy."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _is_latin(text: str) -> bool:
@@ -155,9 +163,10 @@ def _is_latin(text: str) -> bool:
 class WordCoder:
     """Ids of texts by a tokenizer that drops white space and never joins across it.
 
-    Texts are cut at spaces and line feeds and a distinct word is encoded once while it is remembered. A word that ends
-    in ASCII marks after a letter or digit is encoded in two parts, as the tokenizer's own pattern ends a
-    match there. A part of small Latin letters is one match that normalising leaves alone, so it goes to the model.
+    Texts are cut at spaces and line feeds and a distinct word is encoded once while it is remembered. A word of small Latin
+    letters, digits and ASCII marks is encoded by the matches of the tokenizer's own pattern: runs of letters, single digits,
+    runs of marks. Any other that ends in ASCII marks after a letter or digit is encoded in two parts, as a
+    match ends there. A part of small Latin letters is one match that normalising leaves alone, so it goes to the model.
     What is remembered is bounded and serves all tasks of a worker. A text of Latin-1 characters is lower-cased whole: the
     tokenizer does that to each of them alone, and composes none of them.
     """
@@ -166,18 +175,24 @@ class WordCoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.split = self.tokenizer.model.tokenize
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.spelling = {c: spelled(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        spelling = list(map(chr, range(256)))  # by byte of UTF-8; of all above ASCII only those of small Latin letters are asked for
+        for c in range(0xDF, 0x100):
+            for byte, letter in zip(chr(c).encode(), spelled(chr(c))[0][0], strict=True):
+                spelling[byte] = letter
+        self.spelling = "".join(spelling)
         self.words = Memo(self._word, MEMO_BYTES)
         self.top = self.tokenizer.get_vocab_size(with_added_tokens=True) - 1
 
     def _word(self, word: str) -> bytes:
         if _LETTERS.fullmatch(word):
-            spelled = word if word.isascii() else word.translate(self.spelling)
-            return _little_endian([t.id for t in self.model.tokenize(spelled)])
+            spelled = word if word.isascii() else charmap_decode(word.encode(), "strict", self.spelling)[0]
+            return _little_endian([t.id for t in self.split(spelled)])
         # A special token such as <|name|> ends in marks and has to stay whole.
         if "<|" not in word:
+            if _PLAIN.fullmatch(word) and len(matches := _MATCHES.findall(word)) > 1:
+                return b"".join(map(self.words.__getitem__, matches))
             head = word.rstrip(_MARKS)
             if head and len(head) < len(word) and (head[-1].isalpha() or head[-1].isnumeric()):
                 return self.words[head] + self.words[word[len(head) :]]
@@ -281,6 +296,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     sizes = blocks.select("part", "block", "n_tokens")
     starts = sizes.select("part", "block", (F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("within"))
     known = starts.join(offsets, "part").select("part", "block", (F.col("within") + F.col("part_start")).alias("before"))
+    # Written first, so that its size is known and the blocks need no shuffle while it is small.
+    known = kept(known, "starts")
     rows = blocks.join(known, ["part", "block"]).select(
         "n_tokens", "width", "zeros", "planes", "ranks", "doc_ids", "doc_tokens", "before"
     )
