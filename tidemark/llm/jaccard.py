@@ -452,7 +452,7 @@ def _search(percent: int, groups: int, most: int):
         q, p, spread = q[rest], p[rest], spread[rest]
         similar = may_be_similar(fine, parities.to_pylist(), sizes, q, p, percent)
         q, p, spread = q[similar], p[similar], spread[similar]
-        limit = int(most * max((1 / rows["pieces"]).sum(), LEAF // 2))
+        limit = int(most * min(len(h), max((1 / rows["pieces"]).sum(), 8 * LEAF)))
         if len(q) > limit:
             upto = np.partition(spread, limit - 1)[limit - 1]
             q, p = q[spread <= upto], p[spread <= upto]
@@ -587,13 +587,13 @@ def similar_documents(
     blocks = F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")
     first_token = F.min_by("token", "one.at").alias("token")  # the first of them in the order of its classes
     several = open_.where("rows > 2").groupBy("rows", "mixed", "summed").agg(first_token).select("token", blocks)
-    left = labelled.drop("n").join(several, "token").withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
+    # A class is in about as many buckets as n-grams of it come first.
+    pieces = (F.col("blocks") * (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).cast("int").alias("pieces")
+    left = labelled.join(several, "token").withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
     work = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", "h", "label", "at", "block", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "token", "h", "label", "at", "block", pieces, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         F.lit(-1).cast("long").alias("upto"),
     )
-    # A class is in about as many buckets as n-grams of it come first.
-    pieces = F.col("blocks") * (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little data may be much work
     piece, most, asked, superseded, cut = ["token", "low", "high"], PAIRS_PER_CLASS, [], [open_, single, labelled], None
     while cut is None or not cut.isEmpty():
@@ -603,7 +603,7 @@ def similar_documents(
             relabelled = again.join(labels.withColumnRenamed("id", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
             apart = relabelled.groupBy(*piece).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*piece)
             work, most, superseded = relabelled.join(apart, piece, "left_semi"), most * MORE_PAIRS, [again]
-        searched = work.join(points, "h").withColumn("pieces", pieces).drop("blocks").repartition(tasks, *piece).sortWithinPartitions(*piece)
+        searched = work.join(points, "h").repartition(tasks, *piece).sortWithinPartitions(*piece)
         maybe = kept(searched.mapInArrow(_search(percent, groups, most), FOUND_SCHEMA).distinct(), "maybe")
         pairs = maybe.where("a IS NOT NULL").select("a", "b").join(done, ["a", "b"], "left_anti")
         asked.append(kept(pairs if asked else pairs.union(single).distinct(), "untried"))
