@@ -381,6 +381,44 @@ def test_similar_documents_in_several_rounds(spark, monkeypatch):
     assert len(asked) > 2
 
 
+def test_only_rows_with_a_pair_go_to_the_search(monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRED_AT_ONCE", 50)
+    rng, rows = np.random.default_rng(4), []
+    for token, count in enumerate((3, 20, jaccard.PAIRED_ROWS + 1, 2, 9)):
+        low, high = (0, 1) if token == 1 else (0, 0)
+        n = rng.choice([40, 100, 110, 900], count)
+        rows += [
+            {"token": token, "h": 1000 * token + i, "n": int(k), "label": int(rng.integers(0, 3)), "at": int(rng.integers(0, k // 5)), "block": i % 2 * high,
+             "pieces": 1, "low": low, "high": high, "upto": -1} for i, k in enumerate(n)
+        ]
+    batches = [pa.RecordBatch.from_pylist(rows[at : at + 11]) for at in range(0, len(rows), 11)]
+    got = [r for b in jaccard._paired(80)(iter(batches)) for r in b.to_pylist()]
+
+    def fits(a, b):
+        rest = min(a["n"] - a["at"], b["n"] - b["at"])
+        apart = a["low"] == a["high"] or a["block"] != b["block"]
+        return a["token"] == b["token"] and a["label"] != b["label"] and apart and rest >= jaccard.needed_overlap(a["n"], b["n"])
+
+    want = [a for a in rows if a["token"] == 2 or any(fits(a, b) for b in rows)]
+    assert got == want and 0 < len([r for r in want if r["token"] != 2]) < 34
+
+
+def test_buckets_are_searched_in_passes_of_bounded_bytes(spark, monkeypatch):
+    """Groups of five texts that share most of their words: two of them are near copies, the others not similar enough."""
+    rows = []
+    for i in range(50):
+        own = [f"o{i // 5}_{k}" for k in range(60 + 20 * (i // 5))]
+        part = len(own) // 8 * (i % 5 % 4)
+        own[part : part + len(own) // 8] = [f"new{i}_{k}" if i % 5 else f"new{i + 4}_{k}" for k in range(len(own) // 8)]
+        rows.append((i, " ".join(own + [f"last{i}"])))
+    want = rows_of(jaccard.similar_documents(table(spark, rows), block_rows=8))
+    names, keep = [], jaccard.kept
+    monkeypatch.setattr(jaccard, "kept", lambda df, name: names.append(name) or keep(df, name))
+    monkeypatch.setattr(jaccard, "PASS_POINTS", 1)
+    assert rows_of(jaccard.similar_documents(table(spark, rows), block_rows=8)) == want
+    assert all(names.count(name) > 1 for name in ("open", "work", "maybe")) and len({c for _, _, c in want}) == 40
+
+
 def test_joined_components(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (9, 9)], "id long, label long")
     links = spark.createDataFrame([(2, 4), (1, 3), (3, 4), (7, 9), (5, 6), (6, 5)], "a long, b long")

@@ -19,13 +19,19 @@ Pairs within a component found before need no test, as only components are asked
 many classes are cut into blocks, and pairs of blocks are separate pieces of work. A piece with many more pairs than
 classes first puts out a few for each class, by a hash of the pair; when those are verified and their components joined,
 it is searched again for pairs of components that are still apart, until no piece has any left.
+
+Points go with every class of a bucket, so the larger buckets are many times the documents. A class gets its point only where
+sizes and places leave it another one in its piece, and pieces are searched in passes of bounded bytes, one after the other.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graphs import components, joined_components
@@ -44,6 +50,12 @@ BLOCK_ROWS = 1024
 #: Pairs that a piece of work puts out for each of its classes in the first round, and how many times more in each further one.
 PAIRS_PER_CLASS = 2
 MORE_PAIRS = 8
+#: Bytes that a pass may shuffle, in bytes of all points; and what a row without its point takes.
+PASS_POINTS = 3
+ROW_BYTES = 100
+#: Classes of a piece of work at most for which it is told before whether they have a pair, and pairs looked at together.
+PAIRED_ROWS = 256
+PAIRED_AT_ONCE = 1 << 19
 #: Classes of a block whose sets are verified together.
 VERIFY_ROWS = 1024
 #: Counters of the sketch that tells frequent n-grams, and how far above the mean they are.
@@ -388,6 +400,7 @@ class CountTree:
         return query, self.order[node]
 
 
+WORK_SCHEMA = "token long, h long, n long, label long, at int, block int, pieces int, low int, high int, upto long"
 FOUND_SCHEMA = "a long, b long, token long, low int, high int, upto long"
 
 
@@ -412,6 +425,57 @@ def whole_pieces(batches):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def piece_lengths(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+    """First row and number of rows of each piece of work."""
+    key = np.stack([rows[c] for c in ("token", "low", "high")], 1)
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+    return first, np.diff(np.append(first, len(key)))
+
+
+def early(rows: dict, q: np.ndarray, p: np.ndarray, percent: int) -> np.ndarray:
+    """Whether what is left of both sets from here on is enough."""
+    rest = np.minimum(rows["n"][q] - rows["at"][q], rows["n"][p] - rows["at"][p])
+    return rest >= needed_overlap(rows["n"][q], rows["n"][p], percent)
+
+
+def _paired(percent: int):
+    """Rows with another one in their piece of work that they may be similar to, as far as sizes and places tell.
+
+    Rows come sorted by piece; those of a large piece stay.
+    """
+
+    def paired(batches):
+        for batch in whole_pieces(batches):
+            rows = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            first, length = piece_lengths(rows)
+            good = np.repeat(length > PAIRED_ROWS, length)
+            first, length = first[length <= PAIRED_ROWS], length[length <= PAIRED_ROWS]
+            part = np.cumsum(length**2) // PAIRED_AT_ONCE
+            for k in np.unique(part).tolist():
+                own = length[part == k]
+                begin, width = np.repeat(first[part == k], own), np.repeat(own, own)
+                q = np.repeat(begin + segments(own), width)
+                p = np.repeat(begin, width) + segments(width)
+                asked = (rows["label"][q] != rows["label"][p]) & ((rows["low"][q] == rows["high"][q]) | (rows["block"][q] != rows["block"][p]))
+                q, p = q[asked], p[asked]
+                good[q[early(rows, q, p, percent)]] = True
+            yield batch.filter(pa.array(good))
+
+    return paired
+
+
+def point_bytes(n: str) -> Column:
+    """About what the counts and parities of a set of this size take."""
+    return F.lit(GROUPS + 2 * ROW_BYTES) + F.col(n) * 1.25
+
+
+def in_passes(rows: DataFrame, key: list[str], weight: Column, most: float) -> list[DataFrame]:
+    """All of ``rows`` in parts by a hash of ``key``, of about ``most`` bytes each by ``weight``."""
+    count = max(1, math.ceil((rows.agg(F.sum(weight)).first()[0] or 0) / most))
+    place = F.pmod(F.xxhash64(F.lit(count), *key), F.lit(count))
+    return [rows] if count == 1 else [rows.where(place == i) for i in range(count)]
+
+
 def _search(percent: int, groups: int, most: int):
     """Rows come sorted by bucket and pair of blocks; emits pairs of different components that may be similar.
 
@@ -422,11 +486,6 @@ def _search(percent: int, groups: int, most: int):
     """
     cuts = []
 
-    def early(rows, q, p):
-        """Whether what is left of both sets from here on is enough."""
-        rest = np.minimum(rows["n"][q] - rows["at"][q], rows["n"][p] - rows["at"][p])
-        return rest >= needed_overlap(rows["n"][q], rows["n"][p], percent)
-
     def found(rows: dict, points, parities):
         label, h, sizes, block = rows["label"], rows["h"], rows["n"], rows["block"]
         names, own = np.unique(label, return_inverse=True)
@@ -441,7 +500,7 @@ def _search(percent: int, groups: int, most: int):
         asks = np.flatnonzero(~usual)
         q, p = CountTree(table, sizes).pairs(table[asks], sizes[asks], percent)
         q = asks[q]
-        good = (label[q] != label[p]) & (usual[p] | (h[q] < h[p])) & early(rows, q, p)
+        good = (label[q] != label[p]) & (usual[p] | (h[q] < h[p])) & early(rows, q, p, percent)
         if rows["low"][0] != rows["high"][0]:
             good &= block[q] != block[p]
         q, p = q[good], p[good]
@@ -469,7 +528,7 @@ def _search(percent: int, groups: int, most: int):
         good = (label[q] != label[p]) & (h[q] < h[p])
         q, p = q[good], p[good]
         low, high = np.minimum(sizes[q], sizes[p]), np.maximum(sizes[q], sizes[p])
-        good = (100 * low >= percent * high) & early(rows, q, p)
+        good = (100 * low >= percent * high) & early(rows, q, p, percent)
         q, p = q[good], p[good]
         known, code = np.unique(h, return_inverse=True)
         _, once = np.unique(code[q] * len(known) + code[p], return_index=True)
@@ -485,9 +544,7 @@ def _search(percent: int, groups: int, most: int):
             rows = {c: batch.column(c).to_numpy() for c in batch.schema.names if c not in ("point", "parity")}
             rows = {"at": np.zeros(batch.num_rows, np.int64), "block": rows["low"], "pieces": np.ones(batch.num_rows)} | rows
             points, parities = batch.column("point"), batch.column("parity")
-            key = np.stack([rows[c] for c in ("token", "low", "high")], 1)
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-            length = np.diff(np.append(first, batch.num_rows))
+            first, length = piece_lengths(rows)
             for f, n in zip(first[length > LEAF].tolist(), length[length > LEAF].tolist()):
                 out.append(found({c: x[f : f + n] for c, x in rows.items()}, points.slice(f, n), parities.slice(f, n)))
                 size += len(out[-1][0])
@@ -549,6 +606,14 @@ def similar_documents(
     # The one shuffle of all texts; rows that repeat are side by side then.
     texts = kept(keyed.select("row_key", "text").join(involved, "row_key").dropDuplicates(["row_key"]).select("text", "h"), "texts")
     points = kept(texts.mapInArrow(_points(size, groups), "h long, n long, point binary, parity binary"), "points")
+    in_pass = PASS_POINTS * (points.agg(F.sum(point_bytes("n"))).first()[0] or 1)
+
+    def together(tables: list[DataFrame], name: str) -> DataFrame:
+        if len(tables) == 1:
+            return tables[0]
+        joined = kept(reduce(DataFrame.unionByName, tables), name)
+        forget(*tables)
+        return joined
 
     close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
 
@@ -556,10 +621,14 @@ def similar_documents(
         one, two = (points.select(F.col("h").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
         return bounded(pairs.join(one, "a").join(two, "b").where(close))
 
-    def bounded(sized: DataFrame) -> DataFrame:
-        for x in "ab":
-            sized = sized.join(points.select(F.col("h").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("point", "parity")]), x)
-        return kept(sized.mapInArrow(_possible(percent), "a long, b long"), "close")
+    def bounded(pairs: DataFrame) -> DataFrame:
+        pairs, found = kept(pairs.select("a", "b", "n_a", "n_b"), "sized"), []
+        for sized in in_passes(pairs, ["a", "b"], point_bytes("n_a") + point_bytes("n_b"), in_pass):
+            for x in "ab":
+                sized = sized.join(points.select(F.col("h").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("point", "parity")]), x)
+            found.append(kept(sized.mapInArrow(_possible(percent), "a long, b long"), "close"))
+        forget(pairs)
+        return together(found, "close")
 
     # The firsts with which a class shares most n-grams: enough to join most near copies.
     firsts = shared.where("first <> h").groupBy(F.col("first").alias("a"), F.col("h").alias("b")).agg(F.count("*").alias("n"))
@@ -572,11 +641,17 @@ def similar_documents(
     labelled = kept(labelled.select("token", "h", "n", "at", F.coalesce("label", "h").alias("label")), "labelled")
     forget(shared)
     entry, mixed = F.struct("h", "n", "at"), F.xxhash64("h")
-    buckets = labelled.groupBy("token").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows"), F.min(entry).alias("one"), F.max(entry).alias("two"),
-        F.bit_xor(mixed).alias("mixed"), F.sum(F.shiftright(mixed, 24)).alias("summed"),
-    )
-    open_ = kept(buckets.where("x <> y").drop("x", "y"), "open")
+    parts = in_passes(labelled, ["token"], F.lit(ROW_BYTES), in_pass)
+    open_ = together([
+        kept(
+            some.groupBy("token").agg(
+                F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows"), F.min(entry).alias("one"), F.max(entry).alias("two"),
+                F.bit_xor(mixed).alias("mixed"), F.sum(F.shiftright(mixed, 24)).alias("summed"),
+            ).where("x <> y").drop("x", "y"),
+            "open",
+        )
+        for some in parts
+    ], "open")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # If a pair shares no n-gram before this one, it shares no more than the shorter rest of the two.
     rest = F.least(F.col("n_a") - F.col("one.at"), F.col("n_b") - F.col("two.at"))
@@ -586,32 +661,40 @@ def similar_documents(
     # Buckets of the same classes give the same pairs: one of them is searched.
     blocks = F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")
     first_token = F.min_by("token", "one.at").alias("token")  # the first of them in the order of its classes
-    several = open_.where("rows > 2").groupBy("rows", "mixed", "summed").agg(first_token).select("token", blocks)
+    several = kept(open_.where("rows > 2").groupBy("rows", "mixed", "summed").agg(first_token).select("token", blocks), "several")
+    forget(open_)
     # A class is in about as many buckets as n-grams of it come first.
     pieces = (F.col("blocks") * (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).cast("int").alias("pieces")
-    left = labelled.join(several, "token").withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
-    work = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", "h", "label", "at", "block", pieces, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        F.lit(-1).cast("long").alias("upto"),
-    )
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little data may be much work
-    piece, most, asked, superseded, cut = ["token", "low", "high"], PAIRS_PER_CLASS, [], [open_, single, labelled], None
+    piece, superseded = ["token", "low", "high"], []
+    for some in parts:
+        left = some.join(several, "token").withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
+        dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "token", "h", "n", "label", "at", "block", pieces, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+            F.lit(-1).cast("long").alias("upto"),
+        )
+        in_order = dealt.repartition(tasks, *piece).sortWithinPartitions(*piece)
+        superseded.append(kept(in_order.mapInArrow(_paired(percent), WORK_SCHEMA), "work"))
+    forget(several, labelled)
+    work, most, asked, cut = reduce(DataFrame.unionByName, superseded), PAIRS_PER_CLASS, [], None
     while cut is None or not cut.isEmpty():
         if cut is not None:
             again = kept(work.drop("label", "upto").join(cut, piece), "again")
-            forget(maybe, *superseded)
+            forget(*searched, *superseded)
             relabelled = again.join(labels.withColumnRenamed("id", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
             apart = relabelled.groupBy(*piece).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*piece)
             work, most, superseded = relabelled.join(apart, piece, "left_semi"), most * MORE_PAIRS, [again]
-        searched = work.join(points, "h").repartition(tasks, *piece).sortWithinPartitions(*piece)
-        maybe = kept(searched.mapInArrow(_search(percent, groups, most), FOUND_SCHEMA).distinct(), "maybe")
+        searched = []
+        for some in in_passes(work, piece, point_bytes("n"), in_pass):
+            in_order = some.join(points.drop("n"), "h").repartition(tasks, *piece).sortWithinPartitions(*piece)
+            searched.append(kept(in_order.mapInArrow(_search(percent, groups, most), FOUND_SCHEMA).distinct(), "maybe"))
+        maybe = reduce(DataFrame.unionByName, searched)
         pairs = maybe.where("a IS NOT NULL").select("a", "b").join(done, ["a", "b"], "left_anti")
-        asked.append(kept(pairs if asked else pairs.union(single).distinct(), "untried"))
+        asked.append(kept((pairs if asked else pairs.union(single)).distinct(), "untried"))
         done = done.union(asked[-1])
         labels = joined_components(labels, verified_links(asked[-1], texts, size, percent))
         cut = maybe.where("token IS NOT NULL").select(*piece, "upto")
-    forget(maybe, *superseded, *asked)
-    forget(texts, points)
+    forget(*searched, *superseded, *asked, single, texts, points)
 
     named = classes.join(labels.withColumnRenamed("id", "h"), "h", "left").select("h", "least", F.coalesce("label", "h").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
